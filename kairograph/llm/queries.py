@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kairograph.llm import ngram_join, packing, substring_dedup
+from kairograph.llm import line_dedup, ngram_join, packing, substring_dedup
 from kairograph.llm.common import table
 
 
@@ -15,6 +16,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, how many went, and the digest of what is left."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("kept").alias("kept_md5"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -25,8 +32,24 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+        WITH firsts AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+        lines AS (
+            SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents WHERE text IS NOT NULL),
+        common AS (
+            SELECT trim(line) AS line FROM lines SEMI JOIN firsts USING (doc_id, text) WHERE trim(line) <> ''
+            GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}),
+        judged AS (SELECT l.*, c.line IS NULL AS stays FROM lines l LEFT JOIN common c ON trim(l.line) = c.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+               md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_md5
+        FROM judged GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
+}
