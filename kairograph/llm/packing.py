@@ -25,7 +25,7 @@ from kairograph.llm.common import cut, pick, ship
 CAPACITY = 1024
 END_ID = 2
 #: Chunks remembered by each Python worker; a full memory is emptied, so it is bounded.
-MEMORY = 300_000
+MEMORY = 800_000
 #: The plan table is broadcast up to this many rows (five numbers each), else joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Pieces that one task ranks at most, on average: the ranks of a length are dealt over salts.
@@ -111,17 +111,38 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
 
 
 class _Memory(dict):
-    """Chunk of text -> its ids as little-endian unsigned 32-bit bytes."""
+    """Chunk of text -> its ids as little-endian unsigned 32-bit bytes, or None for a chunk that does
+    not end in a letter or digit, after which the quick split of ``encoder`` may be wrong."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, find):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.find, self.known = Tokenizer.from_file(path), find, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
+        # Byte-level vocabularies write each byte as a printable character.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [c for c in range(256) if c not in set(shown)]
+        self.letters = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(hidden)}
+
+    def merged(self, chunk: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(chunk.encode().decode("latin-1").translate(self.letters))])
+
+    def remembered(self, chunk: str) -> bytes:
+        ids = self.known.get(chunk)
+        if ids is None:
+            ids = self.merged(chunk)
+            if len(chunk) <= 64:
+                if len(self.known) >= MEMORY // 4:
+                    self.known.clear()
+                self.known[chunk] = ids
+        return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+    def __missing__(self, chunk: str) -> bytes | None:
+        safe = chunk[-1:].isalnum() or chunk in (",", ".")
+        parts = self.find(chunk) if safe else ()
+        ids = None if not safe else self.merged(chunk) if len(parts) == 1 else b"".join(map(self.remembered, parts))
         if len(chunk) <= 64:
             if len(self) >= MEMORY:
                 self.clear()
@@ -129,24 +150,27 @@ class _Memory(dict):
         return ids
 
 
-_memories: dict[str, _Memory] = {}
-
-
-def _memory(path: str) -> _Memory:
-    if path not in _memories:
-        _memories[path] = _Memory(path)
-    return _memories[path]
+_memories: dict[tuple[str, str], _Memory] = {}
 
 
 def encoder(path: str, pattern: str):
-    """text -> ids as bytes. The tokenizer splits a text by ``pattern`` before it merges, so the
-    ids of a text are those of its chunks; a text with the string of a special token goes whole."""
-    memory, find = _memory(path), regex.compile(pattern).findall
+    """text -> ids as bytes. The tokenizer splits a text by ``pattern`` before it merges, so the ids of a
+    text are those of its chunks. Chunks always part before a space between two others and before a comma
+    or full stop that follows a letter or digit, so a text is split there by plain replacement, and by the
+    pattern where some chunk rules that out. A text with the string of a special token goes whole."""
+    if (path, pattern) not in _memories:
+        _memories[path, pattern] = _Memory(path, regex.compile(pattern).findall)
+    memory = _memories[path, pattern]
 
     def encode(text: str) -> bytes:
         if any(s in text for s in memory.special):
             return b"".join(i.to_bytes(4, "little") for i in memory.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join([memory[c] for c in find(text)])
+        if not ("\0" in text or ".." in text or ",," in text or ".," in text or ",." in text):
+            chunks = text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").split("\0")
+            ids = [memory[c] for c in chunks]
+            if None not in ids:
+                return b"".join(ids)
+        return b"".join(map(memory.remembered, memory.find(text)))
 
     return encode
 
