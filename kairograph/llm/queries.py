@@ -8,14 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import embedding_dedup, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from kairograph.llm import embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, substring_dedup, toxicity, warc
 from kairograph.llm.common import table
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both records of every page; header and block as digests."""
+    out = warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "record_id", "refers_to", "warc_type", "target_uri", warc.digest(F.col("source_headers")).alias("source_headers_digest"), "source_digest", "block_digest", "content_length")
+
+
+def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), report=True)
+    return out.withColumn("probability", F.round("probability", 9))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its lines, how many went, and the digest of what is left."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
@@ -39,7 +54,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_mixing_weights": op2_mixing_weights,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
@@ -48,6 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_derivatives": warc.derivative_sql(),
+    "op2_mixing_weights": mixing.mixing_sql(),
+    "op4_license_scan": licenses.license_sql(),
     "op5_line_dedup": f"""
         WITH firsts AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
         lines AS (
