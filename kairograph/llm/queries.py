@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, substring_dedup, toxicity, warc
-from kairograph.llm.common import table
+from kairograph.llm import audio, embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, substring_dedup, toxicity, warc
+from kairograph.llm.common import cut, table
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, rendered as a recording, fingerprinted and aligned with all others."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("rec_id"), "text")
+    prints = cut(audio.fingerprints(turns, audio.render), "prints")
+    out = audio.align_recordings(prints)
+    return out.select(F.expr("rec_id div 1000000").alias("conv_id"), (F.col("rec_id") % 1_000_000).alias("turn"), "n_ints", "class_id", "n_links", "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_audio_fingerprints": op8_audio_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
