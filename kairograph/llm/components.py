@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut
+from kairograph.llm.common import cut, release
 
 MAX_ROUNDS = 60
 
@@ -37,5 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == seen or not state[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = tuple(state)
-        e = cut(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        before, e = e, cut(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        release(before)
     raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import cut, release
 
 #: Target shares are the observed ones to these powers, where no targets are given.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 ROUNDS, ROUNDS_A_WRITE = 15, 5
 SEED = "mix-1"
 #: Cells are broadcast up to this many rows (four short values each), beyond it joined by shuffle.
@@ -51,19 +51,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
             share = seen.join(targets[d].toDF(d, "_share"), d).select(d, "_share").where("_share > 0")
         else:
             share = seen.select(d, F.pow(F.col("_n").cast("double"), F.lit(temper[d])).alias("_share"))
-        shares[d] = share.join(F.broadcast(share.agg(F.sum("_share").alias("_all"))), how="cross").select(d, (F.col("_share") / F.col("_all")).alias(f"_to_{d}"))
+        whole = share.agg(F.sum("_share")).first()[0]
+        shares[d] = share.select(d, (F.col("_share") / F.lit(whole)).alias(f"_to_{d}"))
     state = cells
     for d in dims:
         state = state.join(shares[d], d, "left")
-    grand = state.agg(F.sum("tokens").alias("_grand"))
-    state = cut(state.join(F.broadcast(grand), how="cross").withColumn("factor", F.lit(1.0)), "cells")
+    grand = F.lit(cells.agg(F.sum("tokens")).first()[0])
+    state = cut(state.withColumn("factor", F.lit(1.0)), "cells")
     done = 0
     while done < rounds:
         before = state
         for _ in range(min(ROUNDS_A_WRITE, rounds - done)):
             for d in dims:
                 now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(d))
-                state = state.withColumn("factor", F.when((now > 0) & F.col(f"_to_{d}").isNotNull(), F.col("factor") * (F.col(f"_to_{d}") * F.col("_grand") / now)).otherwise(F.col("factor")))
+                state = state.withColumn("factor", F.when((now > 0) & F.col(f"_to_{d}").isNotNull(), F.col("factor") * (F.col(f"_to_{d}") * grand / now)).otherwise(F.col("factor")))
             done += 1
         state = cut(state, "cells")
         release(before)
@@ -87,8 +88,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: di
     dims = list(temper)
     cells = cut(plain.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = cut(rake(cells, targets, temper, rounds), "raked")
-    most = raked.where("tokens > 0").agg(F.max("factor").alias("_most"))
-    odds = raked.join(F.broadcast(most), how="cross").select(*dims, F.coalesce(F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / F.col("_most"))), F.lit(1.0)).alias("probability"))
+    most = raked.where("tokens > 0").agg(F.max("factor")).first()[0]
+    odds = raked.select(*dims, F.coalesce(F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / F.lit(most))), F.lit(1.0)).alias("probability"))
     odds = F.broadcast(odds) if raked.count() <= BROADCAST_CELLS else odds
     drawn = plain.join(odds, dims).withColumn("kept", draw(at["doc_id"], seed) < F.col("probability"))
     if report:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut, pick, ship
+from kairograph.llm.common import cut, pick, release, ship
 from kairograph.llm.components import components
 from kairograph.llm.substring_dedup import BASES, window_hashes, word_hashes
 
@@ -220,6 +220,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b").select("a", "b", "va", "vb").mapInArrow(_likely(threshold), "a long, b long")
     stars = members.where(F.col("size") > BUCKET).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = cut(components(pairs.unionByName(stars)).withColumnRenamed("root", "cluster"), "clusters")
+    release(members)
 
     ids = clusters.select("node")
     ids = F.broadcast(ids) if clusters.count() <= BROADCAST_IDS else ids
@@ -231,9 +232,19 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     dealt = held.select("node", "copies", "values", "set", "cluster", "block", other).select("node", "copies", "values", "set", "cluster", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     found = cut(dealt.groupBy("cluster", "i", "j").applyInPandas(_verify(threshold), "node long, links long, root long"), "links")
+    release(reps, clusters)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select("node", "root"))
 
     result = sketches.select("doc_id", "digest").join(classes, "digest", "left").join(links, "node", "left").join(groups, "node", "left")
     near = F.coalesce("root", "node", "doc_id")
     return result.select("doc_id", F.coalesce("node", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), near.alias("component_id"), F.coalesce(F.col("doc_id") == near, F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without those whose document is linked to a smaller one, in any number of
+    steps. Rows without ``doc_id`` stay."""
+    gone = jaccard_join(docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    named = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    key = F.col(f"_c{docs.columns.index('doc_id')}")
+    return named.join(gone, key == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -310,3 +310,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAI
     score = 1 / (1 + F.exp(-z))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``score_toxicity`` would not predict as toxic, with all their columns."""
+    ship(docs.sparkSession)
+    plain = pick(docs, "doc_id", "text")
+    model = language_model(plain)
+    table, w = learn(plain, labels, model, training_rows)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence, memory = Evidence(table), {}
+        for b in batches:
+            found = (evidence.summary(words(t.as_py(), model, memory)) for t in b.column(at))
+            yield b.filter(pa.array([1 / (1 + math.exp(-(w[0] * x + w[1] * y + w[2]))) < 0.5 for x, y in found], pa.bool_()))
+
+    named = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
