@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut, pick, ship
+from kairograph.llm.common import cut, pick, release, ship
 
 WINDOW = 50
 #: Odd multipliers of the two polynomial hashes.
@@ -217,6 +217,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
 
     # Level 2: halves next to the quarters that repeat.
     level = cut(quarters.join(repeated(quarters, "q"), "q", "left_semi").drop("q"), "halves")
+    release(quarters)
     halves = level.select("doc_id", F.explode(F.array("ahead", "back")).alias("half")).where("half != 0")
     again = cut(repeated(halves, "half"), "repeated-halves")
     ahead = level.join(again.withColumnRenamed("half", "ahead").withColumn("_a", F.lit(2)), "ahead", "left")
@@ -228,12 +229,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     # Level 3: full windows.
     held = keyed.select("doc_id", "h1", "text").join(per_doc, ["doc_id", "h1"])
     full = cut(held.select("doc_id", "h1", "text", "at", "alive").mapInArrow(_windows(window), "doc_id long, h1 long, start int, w1 long, w2 long"), "windows")
+    release(level, again)
     least = full.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     gone = full.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "h1").agg(F.collect_list("start").alias("starts"))
 
     whole = keyed.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).where("doc_id > first").select("doc_id", "h1").distinct()
     verdict = gone.select("doc_id", "h1", F.lit(False).alias("copy"), "starts").unionByName(whole.select("doc_id", "h1", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts")))
     verdict = cut(verdict, "verdict")
+    release(full, firsts)
     judged = keyed.select("doc_id", "h1", "text").join(verdict, ["doc_id", "h1"], "left")
     out = judged.select(F.when(F.col("doc_id") != last, F.col("doc_id")).alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
     return out.mapInArrow(_remove(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
