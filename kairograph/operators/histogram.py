@@ -36,27 +36,44 @@ def edge_type_counts(g: Graph) -> DataFrame:
     return typed_edges(g).groupBy("src_type", "label", "dst_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rank_attributes(attrs: DataFrame, gamma: int) -> DataFrame:
+    """attrs: (vtype, attr). The gamma attributes that most types carry: attr, n."""
+    return attrs.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "attr").limit(gamma)
+
+
+def select_active(attrs: DataFrame, gamma: int) -> DataFrame:
+    return attrs.join(F.broadcast(rank_attributes(attrs, gamma).select("attr")), "attr", "left_semi").select("vtype", "attr")
+
+
+def rank_edges(counts: DataFrame, n: int) -> DataFrame:
+    """counts: edge types with n. The n most frequent, with their rank from 1."""
+    top = counts.orderBy(F.desc("n"), "src_type", "label", "dst_type").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "src_type", "label", "dst_type")))
+
+
+def rank_types(counts: DataFrame, top: DataFrame) -> DataFrame:
+    """counts: vertex types with n. Those at an end of a top edge type, before its clean-up, most frequent first
+    by ``rank``."""
+    touched = top.select(F.explode(F.array("src_type", "dst_type")).alias("vtype")).distinct()
+    kept = counts.join(F.broadcast(touched), "vtype", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "vtype")))
+
+
 def top_attributes(g: Graph, gamma: int) -> DataFrame:
-    return attribute_spread(g).orderBy(F.desc("n"), "attr").limit(gamma)
+    return rank_attributes(type_attributes(g), gamma)
 
 
 def active_attributes(g: Graph, gamma: int) -> DataFrame:
     """(vtype, attr) for the top attributes; types without one are absent."""
-    return type_attributes(g).join(F.broadcast(top_attributes(g, gamma).select("attr")), "attr", "left_semi").select("vtype", "attr")
+    return select_active(type_attributes(g), gamma)
 
 
 def top_edges(g: Graph, n: int) -> DataFrame:
-    """The n most frequent edge types, with their rank from 1."""
-    top = edge_type_counts(g).orderBy(F.desc("n"), "src_type", "label", "dst_type").limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "src_type", "label", "dst_type")))
+    return rank_edges(edge_type_counts(g), n)
 
 
 def frequent_vertex_types(g: Graph, n: int) -> DataFrame:
-    """Types at an end of a top edge type, before its clean-up, with counts; most frequent first by ``rank``."""
-    top = top_edges(g, n)
-    touched = top.select(F.explode(F.array("src_type", "dst_type")).alias("vtype")).distinct()
-    kept = vertex_type_counts(g).join(F.broadcast(touched), "vtype", "left_semi")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "vtype")))
+    return rank_types(vertex_type_counts(g), top_edges(g, n))
 
 
 def clean_edges(top: DataFrame, active: DataFrame) -> DataFrame:

@@ -13,28 +13,27 @@ LITERAL = "struct<vtype:string,attr:string,val:string>"
 AT_ONCE = 48
 
 
-def _literal(name: str) -> Column:
-    vtype, attr = split_column(name)
-    return F.struct(F.lit(vtype).alias("vtype"), F.lit(attr).alias("attr"), F.col(f"`{name}`").alias("val"))
+def _literal(name: str) -> str:
+    vtype, attr = (part.replace("'", "\\'") for part in split_column(name))
+    return f"named_struct('vtype', '{vtype}', 'attr', '{attr}', 'val', `{name}`)"
+
+
+def _row(d: Dependency) -> str:
+    full = " AND ".join(f"`{c}` IS NOT NULL" for c in (*d.lhs, d.rhs))
+    x = ", ".join(_literal(c) for c in sorted(d.lhs))
+    name = d.name.replace("'", "\\'")
+    return f"CASE WHEN {full} THEN named_struct('dep', '{name}', 'x', array({x}), 'y', {_literal(d.rhs)}) END"
 
 
 def value_groups(matches: DataFrame, dependencies: list[Dependency]) -> DataFrame:
     """matches: t and columns ``vtype__attr``. Per dependency the groups (dep, x, y, t, n): how many matches
     of a snapshot have these values left and right; rows that lack one of them do not count. One pass
-    over the matches serves all dependencies, and counts are combined before the shuffle."""
-    parts = []
+    over the matches serves ``AT_ONCE`` dependencies, and counts are combined before the shuffle."""
+    out = None
     for s in range(0, len(dependencies), AT_ONCE):
-        each = []
-        for d in dependencies[s : s + AT_ONCE]:
-            full = F.lit(True)
-            for c in (*d.lhs, d.rhs):
-                full = full & F.col(f"`{c}`").isNotNull()
-            row = F.struct(F.lit(d.name).alias("dep"), F.array(*[_literal(c) for c in sorted(d.lhs)]).alias("x"), _literal(d.rhs).alias("y"))
-            each.append(F.when(full, row))
-        parts.append(matches.select("t", F.explode(F.array(*each)).alias("r")).where("r is not null").select("r.dep", "r.x", "r.y", "t").groupBy("dep", "x", "y", "t").agg(F.count(F.lit(1)).alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        each = ", ".join(_row(d) for d in dependencies[s : s + AT_ONCE])
+        part = matches.select("t", F.explode(F.expr(f"array({each})")).alias("r")).where("r is not null").select("r.dep", "r.x", "r.y", "t").groupBy("dep", "x", "y", "t").agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

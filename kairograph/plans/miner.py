@@ -26,16 +26,19 @@ class SearchSpace:
 
 
 def search_space(g: Graph, config: MinerConfig) -> SearchSpace:
-    """From the first snapshot: seed types in order, cleaned edge types in order, active attributes, counts. All are
-    bounded by the top-k settings and the number of types."""
-    first = g.at(0)
-    active_rows = histogram.active_attributes(first, config.gamma)
-    top = histogram.top_edges(first, config.n_edges)
+    """From the first snapshot: seed types in order, cleaned edge types in order, active attributes, counts. The
+    three aggregates have a row for each type, edge type, or type and attribute, never for data; they are
+    computed once and ranked from memory."""
+    spark, first = g.vertices.sparkSession, g.at(0)
+    held = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    attrs, edge_counts, counts = (held(f(first)) for f in (histogram.type_attributes, histogram.edge_type_counts, histogram.vertex_type_counts))
+    active_rows = held(histogram.select_active(attrs, config.gamma))
+    top = held(histogram.rank_edges(edge_counts, config.n_edges))
     edges = [Edge(r["src_type"], r["label"], r["dst_type"]) for r in histogram.clean_edges(top, active_rows).orderBy("rank").collect()]
-    types = [(r["vtype"], r["n"]) for r in histogram.frequent_vertex_types(first, config.n_edges).orderBy("rank").collect()]
+    types = [(r["vtype"], r["n"]) for r in histogram.rank_types(counts, top).orderBy("rank").collect()]
     active: Active = {}
-    for r in active_rows.orderBy("vtype", "attr").collect():
-        active.setdefault(r["vtype"], []).append(r["attr"])
+    for vtype, attr in sorted((r["vtype"], r["attr"]) for r in active_rows.collect()):
+        active.setdefault(vtype, []).append(attr)
     return SearchSpace([t for t, _ in types], edges, active, dict(types))
 
 
