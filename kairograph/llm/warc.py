@@ -89,7 +89,7 @@ def derive(responses: DataFrame) -> DataFrame:
 def record_text(df: DataFrame) -> DataFrame:
     """Each record as text of a WARC file, without the blank lines that end it."""
     line = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{CRLF}{name}: "), F.col(c).cast("string"))).otherwise("")
-    head = F.concat(F.lit(VERSION), line("WARC-Type", "warc_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "target_uri"), line("WARC-Date", "warc_date"), line("WARC-Block-Digest", "block_digest"), line("WARC-Source-Payload-Digest", "source_digest"), F.concat(F.lit(f"{CRLF}WARC-Source-Headers: "), F.base64(F.col("source_headers").cast("binary"))), line("Content-Type", "content_type"), line("Content-Length", "content_length"))
+    head = F.concat(F.lit(VERSION), line("WARC-Type", "warc_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "target_uri"), line("WARC-Date", "warc_date"), line("WARC-Block-Digest", "block_digest"), line("WARC-Source-Payload-Digest", "source_digest"), F.concat(F.lit(f"{CRLF}WARC-Source-Headers: "), F.replace(F.base64(F.col("source_headers").cast("binary")), F.lit(CRLF), F.lit(""))), line("Content-Type", "content_type"), line("Content-Length", "content_length"))
     return df.select(F.concat(head, F.lit(CRLF + CRLF), "block").alias("value"))
 
 
@@ -103,7 +103,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     the block has the length and the digest that its header states."""
     raw = spark.read.option("lineSep", f"{CRLF}{CRLF}{VERSION}{CRLF}").text(path)
     text = F.regexp_replace("value", f"^{VERSION}{CRLF}", "")
-    head = F.substring_index(text, CRLF * 2, 1)
+    head = F.substring_index("t", CRLF * 2, 1)
     block = F.expr(f"substring(t, length(h) + {len(CRLF * 2) + 1})")
     parts = raw.select(text.alias("t")).withColumn("h", head).withColumn("b", block)
     parts = parts.withColumn("b", F.when(F.col("b").endswith(CRLF * 2), F.expr("left(b, length(b) - 4)")).otherwise(F.col("b")))
