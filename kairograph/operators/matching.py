@@ -118,3 +118,15 @@ def match_induced(g: Graph, edges: list[tuple[str, str, str]], types: dict[str,
             if a != b and (a, b) not in drawn:
                 out = out.join(pairs.select("t", F.col("src").alias(a), F.col("dst").alias(b)), ["t", a, b], "left_anti")
     return out.select("t", *bound)
+
+
+def compatible(vtype: Column, attrs: Column, wanted_type: str, wanted_attrs: list[str]) -> Column:
+    """A vertex fits a pattern vertex: the type is equal, and if the pattern names attributes, the vertex has
+    just these."""
+    same = vtype == wanted_type
+    return same & (F.array_sort(F.map_keys(attrs)) == F.array(*[F.lit(a) for a in sorted(wanted_attrs)])) if wanted_attrs else same
+
+
+def concerns(uris: list[str], *columns: Column) -> Column:
+    """One of the columns is one of the uris."""
+    return reduce(lambda a, b: a | b, [F.coalesce(c.isin(uris), F.lit(False)) for c in columns])

@@ -125,3 +125,35 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
     l, r = F.col("l").isNotNull(), F.col("r").isNotNull()
     return both.agg(n(l & r).alias("n_both"), n(l & ~r).alias("n_left_only"), n(~l & r).alias("n_right_only"))
+
+
+def minimal_rules(found: DataFrame) -> DataFrame:
+    """Without rules that a smaller one covers: same right side, a left side that is a proper part of theirs, and
+    an interval that contains theirs."""
+    small = found.select("y", F.col("x").alias("_x"), F.col("dmin").alias("_min"), F.col("dmax").alias("_max")).distinct()
+    inside = (F.size("_x") < F.size("x")) & (F.size(F.array_except("_x", "x")) == 0) & (F.col("_min") <= F.col("dmin")) & (F.col("_max") >= F.col("dmax"))
+    return found.join(small, (found["y"] == small["y"]) & inside, "left_anti")
+
+
+def gather(parts: list[DataFrame]) -> DataFrame:
+    """Rules of several runs as one set."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def gather_counts(parts: list[DataFrame]) -> DataFrame:
+    """Entity counts (dep, entities) of runs over disjoint data, summed."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("dep").agg(F.sum("entities").cast("long").alias("entities"))
+
+
+def with_keys(rules: DataFrame, general: bool = False) -> DataFrame:
+    """Adds ``key``: what rules must share to be merged or to contradict each other. Constant rules: the left
+    literals and the right attribute; general ones: the attributes only. Values are compared, not hashes."""
+    names = F.array_sort(F.transform("x", lambda s: F.concat_ws(".", s["vtype"], s["attr"])))
+    right = F.concat_ws(".", F.col("y.vtype"), F.col("y.attr"))
+    return rules.withColumn("key", F.struct(names.alias("x"), right.alias("y")) if general else F.struct(F.array_sort("x").alias("x"), right.alias("y")))

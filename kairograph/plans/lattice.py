@@ -85,3 +85,8 @@ def unpruned(found: list[Dependency], minimal: list[Dependency]) -> list[Depende
 def covers_types(path: list[tuple[str, str]], p: Pattern) -> bool:
     """The (type, attribute) pairs of a path touch every vertex type."""
     return set(p.vertices) <= {v for v, _ in path}
+
+
+def total_support(nodes: list[PatternNode]) -> float:
+    """Sum of the supports of unpruned patterns."""
+    return sum(n.support or 0.0 for n in nodes if not n.pruned)

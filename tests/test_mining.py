@@ -7,7 +7,7 @@ from kairograph.config import MinerConfig
 from kairograph.functions import choose, delta_of, fold_intervals
 from kairograph.model import EDGES, VERTICES, Dependency, Edge, Graph, Pattern
 from kairograph.operators import histogram, rules, support
-from kairograph.operators.matching import distinct_matches, entity_counts, match
+from kairograph.operators.matching import compatible, concerns, distinct_matches, entity_counts, match
 from kairograph.operators.neighbourhood import khop
 from kairograph.plans import lattice
 from kairograph.plans.miner import mine, search_space
@@ -142,3 +142,26 @@ def test_miner_end_to_end(spark):
     # A larger threshold leaves no pattern, and so no rules.
     none = mine(g, MinerConfig(timestamps=4, k=2, theta_pattern=0.9))
     assert none.constant is None and all(n.pruned for n in none.levels[0])
+
+
+def test_smaller_rules_cover_larger_ones_and_keys(spark):
+    a, b, y = ("a", "x", "1"), ("b", "x", "2"), ("c", "z", "3")
+    kind = f"dep string, x array<{rules.LITERAL}>, y {rules.LITERAL}, dmin int, dmax int"
+    data = [("s", [a], y, 1, 3), ("l", [a, b], y, 2, 3), ("m", [a, b], y, 1, 4), ("o", [b], y, 2, 2)]
+    found = spark.createDataFrame(data, kind)
+    assert sorted(r["dep"] for r in rules.minimal_rules(found).collect()) == ["m", "o", "s"]
+    assert rules.gather([found, found]).count() == 4
+    counts = spark.createDataFrame([("d", 2), ("e", 1)], "dep string, entities long")
+    assert rows(rules.gather_counts([counts, counts.where("dep = 'd'")])) == [("d", 4), ("e", 1)]
+    assert rules.with_keys(found).select("key").distinct().count() == 3
+    assert rules.with_keys(found, general=True).select("key").distinct().count() == 3
+
+
+def test_vertex_compatibility(spark):
+    df = spark.createDataFrame([("x", {"a": "1", "b": "2"}), ("x", {"a": "1"}), ("y", {})], "vtype string, attrs map<string,string>")
+    count = lambda *a: df.where(compatible(F.col("vtype"), F.col("attrs"), *a)).count()
+    assert count("x", []) == 2 and count("x", ["b", "a"]) == 1 and count("y", ["a"]) == 0
+    assert df.where(concerns(["y", "z"], F.col("vtype"))).count() == 1
+    node = lattice.seeds(["a", "b"])
+    node[0].support, node[1].support, node[1].pruned = 0.5, 0.1, True
+    assert lattice.total_support(node) == 0.5
