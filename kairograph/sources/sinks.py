@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The line form of a rule, in both spellings of the interval, and of a literal.
 RULE_LINE = r"TGFD\{dependency=DataDependency\{x=\[(.*?)\], y=\[(.*?)\]\}, delta=Pair\(min=(\d+), max=(\d+)\), tgfdSupport=([\d.eE+-]+), level=(\d+)\}"
-RULE_LINE_YEARS = r"delta=Delta\(min=P(\d+)Y, max=P(\d+)Y.*?\), .*?x=\[(.*?)\], y=\[(.*?)\].*?[sS]upport=([\d.eE+-]+)"
+RULE_LINE_YEARS = r"TGFD\{dependency=DataDependency\{x=\[(.*?)\], y=\[(.*?)\]\}, delta=Delta\{min=P(\d+)[YMD], max=P(\d+)[YMD]\}, support=([\d.eE+-]+)\}"
 LITERAL = r"ConstantLiteral\{vertexType='(.*?)', attrName='(.*?)', attrValue='(.*?)'\}"
 FILES = {"constant": "Constant-TGFD", "general": "General-TGFD"}
 
@@ -27,8 +27,8 @@ def parse_rule_lines(lines: DataFrame) -> DataFrame:
     """value -> x, y, dmin, dmax, support, level; x is sorted. Lines in neither form are left out."""
     part = lambda p, k: F.regexp_extract("value", p, k)
     new = F.col("value").rlike(RULE_LINE)
-    pick = lambda a, b: F.when(new, part(RULE_LINE, a)).otherwise(part(RULE_LINE_YEARS, b))
-    rows = lines.where(new | F.col("value").rlike(RULE_LINE_YEARS)).select(pick(1, 3).alias("xs"), pick(2, 4).alias("ys"), pick(3, 1).cast("int").alias("dmin"), pick(4, 2).cast("int").alias("dmax"), pick(5, 5).cast("double").alias("support"), F.when(new, part(RULE_LINE, 6).cast("int")).otherwise(F.lit(0)).alias("level"))
+    pick = lambda k: F.when(new, part(RULE_LINE, k)).otherwise(part(RULE_LINE_YEARS, k))
+    rows = lines.where(new | F.col("value").rlike(RULE_LINE_YEARS)).select(pick(1).alias("xs"), pick(2).alias("ys"), pick(3).cast("int").alias("dmin"), pick(4).cast("int").alias("dmax"), pick(5).cast("double").alias("support"), F.when(new, part(RULE_LINE, 6).cast("int")).otherwise(F.lit(0)).alias("level"))
     each = lambda c: F.transform(F.regexp_extract_all(c, F.lit(LITERAL), F.lit(0)), lambda s: F.struct(F.trim(F.regexp_extract(s, LITERAL, 1)).alias("vtype"), F.trim(F.regexp_extract(s, LITERAL, 2)).alias("attr"), F.trim(F.regexp_extract(s, LITERAL, 3)).alias("val")))
     return rows.select(F.array_sort(each("xs")).alias("x"), F.try_element_at(each("ys"), F.lit(1)).alias("y"), "dmin", "dmax", "support", "level")
 

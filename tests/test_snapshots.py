@@ -116,6 +116,9 @@ def test_rule_lines_round_trip(spark, tmp_path):
     rule = spark.createDataFrame([([("film", "genre", "drama"), ("actor", "name", "x")], ("country", "name", "usa"), 1, 3, 0.15, 3)], f"x array<{lit}>, y {lit}, dmin int, dmax int, support double, level int")
     line = sinks.rule_lines(rule).first()["value"]
     assert line == "TGFD{dependency=DataDependency{x=[ConstantLiteral{vertexType='film', attrName='genre', attrValue='drama'}, ConstantLiteral{vertexType='actor', attrName='name', attrValue='x'}], y=[ConstantLiteral{vertexType='country', attrName='name', attrValue='usa'}]}, delta=Pair(min=1, max=3), tgfdSupport=0.15, level=3}"
+    years = "TGFD{dependency=DataDependency{x=[ConstantLiteral{vertexType='b', attrName='n', attrValue='1'}, ConstantLiteral{vertexType='a', attrName='n', attrValue='2'}], y=[ConstantLiteral{vertexType='c', attrName='m', attrValue='3'}]}, delta=Delta{min=P2Y, max=P11Y}, support=8.0E-5}"
+    other = sinks.parse_rule_lines(spark.createDataFrame([(years,), ("no rule",)], "value string")).collect()
+    assert [([tuple(x) for x in r["x"]], tuple(r["y"]), r["dmin"], r["dmax"], r["support"], r["level"]) for r in other] == [([("a", "n", "2"), ("b", "n", "1")], ("c", "m", "3"), 2, 11, 8e-5, 0)]
     sinks.write_rules(rule, str(tmp_path))
     back = sinks.read_rules(spark, str(tmp_path)).first()
     assert [tuple(x) for x in back["x"]] == [("actor", "name", "x"), ("film", "genre", "drama")] and tuple(back["y"]) == ("country", "name", "usa")
