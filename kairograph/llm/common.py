@@ -3,15 +3,51 @@ clashing extra columns, and lineage cuts in the shared folder of the cluster."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a Python worker keeps from task to task, for one operator at a time.
+_scratch: dict[str, object] = {}
+
+
+def scratch(name: str, make: Callable[[], object]) -> object:
+    """A value that lives in this worker until another operator's tasks come."""
+    if name not in _scratch:
+        _scratch.clear()
+        _scratch[name] = make()
+    return _scratch[name]
+
+
+def in_worker(name: str, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` as a task of an operator: before it, what other operators left goes; after it, free memory
+    goes back to the system, as idle workers count against their executor."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in _scratch if k != name]:
+            del _scratch[other]
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task
+
+
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut, pick, release, ship
+from kairograph.llm.common import cut, in_worker, pick, release, ship
 from kairograph.llm.components import components
 from kairograph.llm.substring_dedup import BASES, window_hashes, word_hashes
 
@@ -205,7 +205,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     plain = pick(docs, "doc_id", "text")
-    sketches = cut(plain.mapInArrow(_sketch, "doc_id long, digest binary, n int, values binary, bands array<long>"), "sketches")
+    sketches = cut(plain.mapInArrow(in_worker("ngrams", _sketch), "doc_id long, digest binary, n int, values binary, bands array<long>"), "sketches")
     named = sketches.where("doc_id is not null and digest is not null")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies"))
     classes = cut(classes, "classes")
@@ -217,7 +217,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lists = members.where(F.col("size") <= BUCKET).groupBy("band").agg(F.array_sort(F.collect_set("node")).alias("m"))
     pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
     values = reps.select("node", "values")
-    pairs = pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b").select("a", "b", "va", "vb").mapInArrow(_likely(threshold), "a long, b long")
+    pairs = pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b").select("a", "b", "va", "vb").mapInArrow(in_worker("ngrams", _likely(threshold)), "a long, b long")
     stars = members.where(F.col("size") > BUCKET).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = cut(components(pairs.unionByName(stars)).withColumnRenamed("root", "cluster"), "clusters")
     release(members)
@@ -225,7 +225,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ids = clusters.select("node")
     ids = F.broadcast(ids) if clusters.count() <= BROADCAST_IDS else ids
     texts = plain.withColumnRenamed("doc_id", "node").join(ids, "node", "left_semi")
-    sets = texts.mapInArrow(_sets, "node long, set binary")
+    sets = texts.mapInArrow(in_worker("ngrams", _sets), "node long, set binary")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held = reps.select("node", "copies", "values").join(clusters, "node").join(sizes, "cluster").join(sets, "node")
     held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -237,8 +237,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = components(found.select("node", "root"))
 
     result = sketches.select("doc_id", "digest").join(classes, "digest", "left").join(links, "node", "left").join(groups, "node", "left")
-    near = F.coalesce("root", "node", "doc_id")
-    return result.select("doc_id", F.coalesce("node", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), near.alias("component_id"), F.coalesce(F.col("doc_id") == near, F.lit(True)).alias("kept"))
+    named = F.col("doc_id").isNotNull()
+    near = F.when(named, F.coalesce("root", "node", "doc_id"))
+    n = F.when(named, F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).otherwise(0)
+    return result.select("doc_id", F.when(named, F.coalesce("node", "doc_id")).alias("class_id"), n.cast("long").alias("n_links"), near.alias("component_id"), F.coalesce(F.col("doc_id") == near, F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

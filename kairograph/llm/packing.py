@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut, pick, ship
+from kairograph.llm.common import cut, in_worker, pick, scratch, ship
 
 CAPACITY = 1024
 END_ID = 2
 #: Chunks remembered by each Python worker; a full memory is emptied, so it is bounded.
-MEMORY = 800_000
+MEMORY = 400_000
 #: The plan table is broadcast up to this many rows (five numbers each), else joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Pieces that one task ranks at most, on average: the ranks of a length are dealt over salts.
@@ -150,17 +150,15 @@ class _Memory(dict):
         return ids
 
 
-_memories: dict[tuple[str, str], _Memory] = {}
-
-
 def encoder(path: str, pattern: str):
     """text -> ids as bytes. The tokenizer splits a text by ``pattern`` before it merges, so the ids of a
     text are those of its chunks. Chunks always part before a space between two others and before a comma
     or full stop that follows a letter or digit, so a text is split there by plain replacement, and by the
     pattern where some chunk rules that out. A text with the string of a special token goes whole."""
-    if (path, pattern) not in _memories:
-        _memories[path, pattern] = _Memory(path, regex.compile(pattern).findall)
-    memory = _memories[path, pattern]
+    memories = scratch("packing", dict)
+    if (path, pattern) not in memories:
+        memories[path, pattern] = _Memory(path, regex.compile(pattern).findall)
+    memory = memories[path, pattern]
 
     def encode(text: str) -> bytes:
         if any(s in text for s in memory.special):
@@ -206,7 +204,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, PIECES_IDS if with_ids else PIECES)
+    return pick(docs, "doc_id", "text").mapInArrow(in_worker("packing", run), PIECES_IDS if with_ids else PIECES)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut, pick, ship
+from kairograph.llm.common import cut, in_worker, pick, release, ship
 
 #: Rows of labelled text the evidence is learnt from at most: the smallest hashes of ``doc_id``.
 TRAINING_ROWS = 20_000
@@ -34,7 +34,7 @@ BEGINNINGS = (3, 4, 5, 6)
 #: exceed what the best of all features would reach by chance, about twice the logarithm of their number.
 STRONG = 1.5
 EVIDENCE = 50_000
-MEMORY = 400_000
+MEMORY = 200_000
 SYMBOLS = 64
 
 # Signs and digits and the letters they imitate.
@@ -114,7 +114,7 @@ def _trigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def language_model(docs: DataFrame) -> np.ndarray:
     """Log probabilities [a, b, c] of symbol c after a, b, from all texts: trigrams interpolated with
     bigrams and single symbols. At most 64^3 counts reach the driver, whatever the corpus holds."""
-    counts = docs.where("text is not null").select("text").mapInArrow(_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = docs.where("text is not null").select("text").mapInArrow(in_worker("toxicity", _trigrams), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     n = np.zeros(SYMBOLS**3)
     for r in counts.collect():
         n[r["code"]] = r["n"]
@@ -217,12 +217,16 @@ def features(word: str) -> list[str]:
     return ["=" + word] + ["^" + word[:n] for n in BEGINNINGS if len(word) > n]
 
 
-def _counts(model: np.ndarray):
+def _counts(model: np.ndarray, known: set[str] | None):
+    """Texts of each label that hold a word; or, given the words that count by themselves, that hold a
+    beginning in any other word, lest a beginning count for one word alone."""
+    of = (lambda w: ["=" + w]) if known is None else (lambda w: features(w)[1:] if "=" + w not in known else [])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total[label].update({f for w in words(text.as_py(), model) for f in features(w)})
+                total[label].update({f for w in words(text.as_py(), model) for f in of(w)})
         for label, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([label] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "label", "n"])
 
@@ -230,7 +234,7 @@ def _counts(model: np.ndarray):
 
 
 class Evidence:
-    """Log odds of a word: that of its strongest significant feature, 0 without one."""
+    """Log odds of a word: its own, else those of its strongest significant beginning, else 0."""
 
     def __init__(self, table: dict[str, float]):
         self.table, self.memory = table, {}
@@ -240,7 +244,11 @@ class Evidence:
         if v is None:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            v = self.memory[word] = max((self.table.get(f, 0.0) for f in features(word)), default=0.0)
+            whole, *parts = features(word)
+            v = self.table.get(whole)
+            if v is None:
+                v = max((self.table.get(f, 0.0) for f in parts), default=0.0)
+            self.memory[word] = v
         return v
 
     def summary(self, found: set[str]) -> tuple[float, float]:
@@ -269,6 +277,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return w
 
 
+def significant(texts: DataFrame, model: np.ndarray, known: set[str] | None, bad: int, good: int) -> dict[str, float]:
+    """Feature -> log odds, of the features of ``_counts`` that tell the labels apart: the ``EVIDENCE`` most
+    significant at most."""
+    n = texts.mapInArrow(in_worker("toxicity", _counts(model, known)), "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
+    odds = F.log((F.col("p") + 0.5) / (F.lit(bad) + 1)) - F.log((F.col("q") + 0.5) / (F.lit(good) + 1)) - F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    # Log-likelihood ratio of seeing p and q against one rate for both.
+    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    both = F.col("p") + F.col("q")
+    ratio = 2 * (part(F.col("p"), both * bad / (bad + good)) + part(F.col("q"), both * good / (bad + good)))
+    n = cut(n, "features")
+    least = 2 * math.log(max(n.count(), 2))
+    rows = n.select("feature", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") >= least) & (F.col("odds") >= STRONG)).orderBy(F.desc("ratio"), "feature").limit(EVIDENCE).collect()
+    release(n)
+    return {r["feature"]: r["odds"] for r in rows}
+
+
 def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, training_rows: int = TRAINING_ROWS) -> tuple[dict[str, float], np.ndarray]:
     """Evidence table and weights from rows whose crc32(doc_id) modulo 5 is not 0: at most
     ``training_rows`` of them, those with the smallest hashes. Equal texts count once."""
@@ -279,18 +303,10 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, training_rows:
     by = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     bad, good = by.get(1, 0), by.get(0, 0)
     if not bad or not good:
-        return {}, np.array([0.0, 0.0, math.log((bad + 0.5) / (good + 0.5))])
-    n = texts.mapInArrow(_counts(model), "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
-    odds = F.log((F.col("p") + 0.5) / (F.lit(bad) + 1)) - F.log((F.col("q") + 0.5) / (F.lit(good) + 1)) - F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    # Log-likelihood ratio of seeing p and q against one rate for both.
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    both = F.col("p") + F.col("q")
-    ratio = 2 * (part(F.col("p"), both * bad / (bad + good)) + part(F.col("q"), both * good / (bad + good)))
-    n = cut(n, "features")
-    significant = 2 * math.log(max(n.count(), 2))
-    rows = n.select("feature", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") >= significant) & (F.col("odds") >= STRONG)).orderBy(F.desc("ratio"), "feature").limit(EVIDENCE).collect()
-    table = {r["feature"]: r["odds"] for r in rows}
-    seen = texts.select("toxic", "text").mapInArrow(_summaries(model, table, ["toxic"], [pa.int32()]), "toxic int, strongest double, amount double").toPandas()
+        return {}, np.array([0.0, 0.0, math.log((bad + 0.5) / (good + 1.5))])
+    table = significant(texts, model, None, bad, good)
+    table |= significant(texts, model, set(table), bad, good)
+    seen = texts.select("toxic", "text").mapInArrow(in_worker("toxicity", _summaries(model, table, ["toxic"], [pa.int32()])), "toxic int, strongest double, amount double").toPandas()
     return table, fit_logistic(seen[["strongest", "amount"]].to_numpy(), seen["toxic"].to_numpy(dtype=float))
 
 
@@ -299,13 +315,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAI
 
     Null and empty texts get the score of a text without evidence. Labels of documents that are not there,
     null labels and labels other than 0 and 1 are ignored; of several labels of a document the larger holds.
-    Without labels of both kinds the score is the base rate. An empty table gives an empty result. Repeated
+    Without labels of both kinds the score is the base rate, and 1/4 without any. An empty table gives an empty result. Repeated
     rows are scored alike. Other columns are not looked at."""
     ship(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
     model = language_model(docs)
     table, w = learn(docs, labels, model, training_rows)
-    scored = docs.mapInArrow(_summaries(model, table, ["doc_id"], [pa.int64()]), "doc_id long, strongest double, amount double")
+    scored = docs.mapInArrow(in_worker("toxicity", _summaries(model, table, ["doc_id"], [pa.int64()])), "doc_id long, strongest double, amount double")
     z = F.lit(float(w[0])) * F.col("strongest") + F.lit(float(w[1])) * F.col("amount") + F.lit(float(w[2]))
     score = 1 / (1 + F.exp(-z))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -327,4 +343,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINI
             yield b.filter(pa.array([1 / (1 + math.exp(-(w[0] * x + w[1] * y + w[2]))) < 0.5 for x, y in found], pa.bool_()))
 
     named = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
+    return named.mapInArrow(in_worker("toxicity", run), named.schema).toDF(*docs.columns)
