@@ -6,9 +6,9 @@ quantised to two bits each and packed into one 32-bit integer a frame. Recording
 integers are aligned: the histogram of offsets between equal integers gives the place, and
 bit errors between the integers along the shared stretch decide.
 
-Equal fingerprints are one class. Buckets of equal integers give pairs while they are small and a star
-around the smallest recording otherwise; the resulting clusters are compared in blocks, whose
-tasks return link counts and a spanning forest, so output grows with recordings, not with pairs.
+Equal fingerprints are one class. Recordings that share an integer are tied to the smallest of them, so
+each integer gives a star and not its pairs; within the resulting clusters all pairs are compared, in
+blocks, whose tasks return link counts and a spanning forest, so output grows with recordings.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut, release, ship
+from kairograph.llm.common import cut, in_worker, release, ship
 from kairograph.llm.components import components
 
 RATE, FRAME, HOP = 4096, 256, 256
@@ -33,7 +33,7 @@ WINDOW, CONTRASTS = 8, 16
 LEVELS, GRAY = (-0.2, 0.0, 0.2), (0, 1, 3, 2)
 #: Equal integers at one offset that an alignment needs, and bit errors it may have.
 MIN_HITS, MAX_ERRORS = 4, 0.2
-BUCKET, BLOCK = 16, 256
+BLOCK = 256
 LOW_C = 523.2511306
 
 
@@ -132,7 +132,7 @@ def _print(load: Callable):
         for b in batches:
             prints = [fingerprint(chroma(load(v.as_py()))) for v in b.column(1)]
             keys = [xxhash.xxh3_128_digest(p.tobytes()) if len(p) else None for p in prints]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.astype(np.int64) for p in prints], pa.list_(pa.int64())), pa.array(keys, pa.binary())], names=["rec_id", "ints", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.view(np.int32) for p in prints], pa.list_(pa.int32())), pa.array(keys, pa.binary())], names=["rec_id", "ints", "digest"])
 
     return run
 
@@ -141,7 +141,7 @@ def fingerprints(recordings: DataFrame, load: Callable = decode_pcm) -> DataFram
     """``rec_id, ints, digest`` from two columns: an id and what ``load`` turns into samples. Null, empty
     and too short recordings have no integers and a null digest."""
     ship(recordings.sparkSession)
-    return recordings.mapInArrow(_print(load), "rec_id long, ints array<long>, digest binary")
+    return recordings.mapInArrow(in_worker("audio", _print(load)), "rec_id long, ints array<int>, digest binary")
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray], same: bool, min_hits: int = MIN_HITS, max_errors: float = MAX_ERRORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def align(a: list[np.ndarray], b: list[np.ndarray], same: bool, min_hits: int =
             p = mine[code == place[k]]
             s, e, o = int(p.min()), int(p.max()) + 1, int(place[k] & 0xFFFFFFFF) - (1 << 31)
             y = b[int(where[k])]
-            errors = np.bitwise_count((x[s:e] ^ y[s + o : e + o]).astype(np.uint64)).sum()
+            errors = np.bitwise_count(x[s:e] ^ y[s + o : e + o]).sum()
             if errors <= max_errors * 32 * (e - s):
                 out.append((i, int(where[k]), o))
     m = np.array(out, dtype=np.int64).reshape(-1, 3)
@@ -184,7 +184,7 @@ def _blocks(min_hits: int, max_errors: float):
         empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
         if not len(parts[0]) or not len(parts[1]):
             return empty
-        i, j, _ = align(*[[np.asarray(x, dtype=np.int64) for x in p["ints"]] for p in parts], i_block == j_block, min_hits, max_errors)
+        i, j, _ = align(*[[np.asarray(x, dtype=np.int32).view(np.uint32) for x in p["ints"]] for p in parts], i_block == j_block, min_hits, max_errors)
         nodes, copies = [p["node"].to_numpy() for p in parts], [p["copies"].to_numpy() for p in parts]
         links = [np.bincount(i, copies[1][j], len(nodes[0])).astype(np.int64), np.bincount(j, copies[0][i], len(nodes[1])).astype(np.int64)]
         root: dict[int, int] = {}
@@ -220,17 +220,13 @@ def align_recordings(prints: DataFrame, min_hits: int = MIN_HITS, max_errors: fl
     reps = cut(named.join(classes, "digest").where("rec_id = node").dropDuplicates(["node"]).select("node", "copies", "ints"), "reps")
     postings = reps.select("node", F.explode(F.array_distinct("ints")).alias("code"))
     buckets = postings.groupBy("code").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1")
-    members = cut(postings.join(buckets, "code"), "members")
-    lists = members.where(F.col("size") <= BUCKET).groupBy("code").agg(F.array_sort(F.collect_set("node")).alias("m"))
-    pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    pairs = pairs.select("p.a", "p.b").distinct()
-    large = members.where(F.col("size") > BUCKET).where("node <> hub").select(F.col("node").alias("b"), F.col("hub").alias("a")).distinct()
-    clusters = cut(components(pairs.unionByName(large)).withColumnRenamed("root", "cluster"), "clusters")
-    release(members)
+    stars = postings.join(buckets, "code").where("node <> hub").select("node", "hub").distinct()
+    clusters = cut(components(stars).withColumnRenamed("root", "cluster"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held = reps.join(clusters, "node").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("node", "copies", "ints", "cluster", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     found = cut(dealt.groupBy("cluster", "i", "j").applyInPandas(_blocks(min_hits, max_errors), "node long, links long, root long"), "links")
+    release(reps, clusters)
     links, groups = found.groupBy("node").agg(F.sum("links").alias("links")), components(found.select("node", "root"))
     out = prints.join(classes, "digest", "left").join(links, "node", "left").join(groups, "node", "left")
     plain = F.col("rec_id").isNull()

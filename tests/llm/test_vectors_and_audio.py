@@ -48,7 +48,7 @@ def test_recordings_align_where_they_share_a_stretch(spark):
     got = {r["rec_id"]: (r["class_id"], r["n_links"], r["component_id"]) for r in audio.align_recordings(prints).collect()}
     assert got == {1: (1, 2, 1), 2: (2, 2, 1), 7: (7, 2, 1), 3: (3, 1, 3), 8: (3, 1, 3), 4: (4, 0, 4), 5: (5, 0, 5), 6: (6, 0, 6), None: (None, 0, None)}
     assert audio.align_recordings(prints.limit(0)).count() == 0
-    i, j, offset = audio.align(*[[audio.fingerprint(audio.chroma(audio.render(" ".join(texts[k])))).astype(np.int64)] for k in (1, 2)], same=False)
+    i, j, offset = audio.align(*[[audio.fingerprint(audio.chroma(audio.render(" ".join(texts[k]))))] for k in (1, 2)], same=False)
     assert offset.tolist() == [-20]
 
 
