@@ -1,10 +1,11 @@
 """Toxicity by a noisy channel: deobfuscate, then score.
 
 1. A character trigram model is counted over all documents (64 symbols, so at most 64^3 counts).
-2. Runs that look disguised (letters mixed with digits or signs, letters held down, letters set apart)
-   become lattices: every character may stand for itself or for letters it imitates, a repeated letter may
-   be one or two, a separator inside a spaced word may be nothing. Viterbi picks the restored text
-   under the model. Plain words have one path and stay.
+2. Runs that look disguised (letters mixed with digits or signs, letters held down or doubled, letters set
+   apart by any sign or space) become lattices: every character may stand for itself or for letters it
+   imitates, a repeated letter may be one or two, a separator inside a spaced word may be nothing. Viterbi
+   picks the restored text under the model. Plain words have one path and stay; figures without any letter
+   are figures.
 3. Restored and plain words are scored. Evidence of words and of word beginnings comes from labelled
    texts; a document's score is a logistic function of the strength and number of its evidence.
 
@@ -69,7 +70,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(rf"(?<![\w{_SIGNS}])[^\W\d_]*+[\d{_SIGNS}][\w{_SIGNS}]*")
 _HELD = re.compile(r"([^\W\d_])\1\1")
 _AROUND = re.compile(r"\w+")
-_APART = re.compile(rf"(?<![\w{_SIGNS}])[\w{_SIGNS}](?:[ .\-_*][\w{_SIGNS}](?![\w{_SIGNS}])){{3,}}")
+_DOUBLED = re.compile(r"(.)\1")
+#: One character of a word set apart, and what may lie between two: spaces, or other signs with spaces around them.
+_ONE = rf"(?:[^\W_]|[{_SIGNS}])"
+_GAP = rf"(?:\s{{1,4}}|\s{{0,2}}(?:[^\w\s{_SIGNS}]|_){{1,3}}\s{{0,2}})"
+_WIDEST = 8
+_APART = re.compile(rf"(?<![^\W_])(?<![{_SIGNS}]){_ONE}(?:{_GAP}{_ONE}(?!{_ONE})){{2,}}")
+#: Letters set apart by one of the signs that also imitate letters.
+_APART_BY_SIGN = re.compile(rf"[^\W_]([{_SIGNS}])[^\W_](?:\1[^\W_])+")
+#: Signs that imitate a letter even in a run without letters; those of money do not lead it.
+_STANDS_ALONE, _MONEY = "@$!|€£¡", "$€£"
 
 
 def _symbols() -> np.ndarray:
@@ -89,6 +99,11 @@ _TABLE = _symbols()
 #: 1 for letters, 2 for digits and imitating signs, 0 for the rest.
 _KIND = np.minimum(_TABLE, 1)
 _KIND[[ord(c) for c in IMITATED]] = _KIND[48:58] = 2
+#: Letters, digits and imitating signs, which are not separators.
+_FULL = np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
+_FULL[[ord(c) for c in IMITATED]] = True
+_ALONE = np.zeros(0x110000, dtype=bool)
+_ALONE[[ord(c) for c in _STANDS_ALONE]] = True
 
 
 def encode(text: str) -> np.ndarray:
@@ -127,20 +142,22 @@ def language_model(docs: DataFrame) -> np.ndarray:
 def lattice(run: str) -> list[list[tuple[str, float]]]:
     """For each place of a disguised run the strings it may stand for, with their channel cost."""
     run = run.lower()
-    apart = bool(_APART.fullmatch(run))
+    apart = bool(_APART.fullmatch(run) or _APART_BY_SIGN.fullmatch(run))
+    gap = lambda c: apart and not c.isalnum() and c not in IMITATED
+    least = min((len(g) for g in re.findall(_GAP, run)), default=0) if apart else 0
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(run):
         c, n = run[i], 1
-        while i + n < len(run) and run[i + n] == c:
+        while i + n < len(run) and (run[i + n] == c or gap(c) and gap(run[i + n])):
             n += 1
         here = IMITATED.get(c, "")
-        if c.isalpha():
+        if gap(c):  # wider than others, it may part two words
+            out.append([("", APART), (" ", APART if n > least else LITERAL)])
+        elif c.isalpha():
             out.append([(c, KEPT)] if n == 1 else [(c + c, KEPT), (c, IMITATES)] if n == 2 else [(c, HELD), (c + c, HELD)])
         elif here:
-            out.append([(c, LITERAL)] + [(h, IMITATES) for h in here] + ([(h + h, IMITATES + HELD) for h in here] if n > 1 else []))
-        elif apart and c in " .-_*" and i:
-            out.append([("", APART), (" ", LITERAL)])
+            out.append([(c, LITERAL)] + [(h, IMITATES) for h in here] + ([(h + h, IMITATES + HELD) for h in here] if n > 1 else []) + ([("", APART)] if apart and i and not c.isdigit() else []))
         else:
             out.append([(c, LITERAL)])
         i += n
@@ -171,31 +188,38 @@ def decode(run: str, model: np.ndarray) -> str:
     return "".join(reversed(out))[:-1]
 
 
-def disguised(text: str) -> list[str]:
-    """Runs that may be obfuscated words. Array operations tell which kinds a text has at all."""
+def restorable(run: str) -> bool:
+    """Whether a run may be a word: it has a letter, or a sign that stands for one and is no price."""
+    return any(map(str.isalpha, run)) or any(c in _STANDS_ALONE for c in run.lstrip(_MONEY)) or sum(c in _MONEY for c in run) > 1
+
+
+def disguised(text: str, plain: set[str] | None = None) -> list[str]:
+    """Runs that may be obfuscated words; ``plain``: the words of the text, if they are at hand. Array operations
+    tell which kinds a text has at all."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     kind = _KIND[points]
     runs: list[str] = []
-    if ((kind[1:] + kind[:-1]) == 3).any():
-        runs += [r for m in _MIXED.finditer(text) if len(r := m.group().rstrip("!|+(<")) > 2 and sum(map(str.isalpha, r)) > 1 and not r.isalpha()]
+    if ((kind[1:] + kind[:-1]) == 3).any() or (_ALONE[points[:-1]] & (kind[1:] == 2)).any() or (_ALONE[points[1:]] & (kind[:-1] == 2)).any():
+        runs += [r for m in _MIXED.finditer(text) if len(r := m.group().rstrip("!|+(<")) > 2 and restorable(r) and not r.isalpha()]
+    if ((points[1:] == points[:-1]) & (kind[1:] == 1)).any() or plain is None:
+        runs += [w for w in (_WORD.findall(text.lower()) if plain is None else plain) if _DOUBLED.search(w)]
     if len(points) > 2 and ((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]) & (kind[2:] == 1)).any():
         held = {m.start() for m in _HELD.finditer(text)}
         runs += [m.group() for m in _AROUND.finditer(text) if any(m.start() <= h < m.end() for h in held)] if len(held) < 8 else [m.group() for m in _AROUND.finditer(text) if _HELD.search(m.group())]
-    if len(points) > 6:
-        alone = np.zeros(len(kind) + 2, dtype=bool)
-        full = alone.copy()
-        full[1:-1] = kind > 0
-        alone[1:-1] = full[1:-1] & ~full[:-2] & ~full[2:]
-        if (alone[:-6] & alone[2:-4] & alone[4:-2] & alone[6:]).any():
-            runs += [m.group() for m in _APART.finditer(text)]
+    if len(points) > 4:
+        full = np.zeros(len(points) + 2, dtype=bool)
+        full[1:-1] = _FULL[points]
+        alone = np.flatnonzero(full[1:-1] & ~full[:-2] & ~full[2:])
+        if (alone[2:] - alone[:-2] <= 2 * _WIDEST).any():
+            runs += [r for m in _APART.finditer(text) if restorable(r := m.group())]
     return runs
 
 
-def restored(text: str, model: np.ndarray, memory: dict[str, str] | None = None) -> list[str]:
+def restored(text: str, model: np.ndarray, memory: dict[str, str] | None = None, plain: set[str] | None = None) -> list[str]:
     """Restored strings of the disguised runs of a text; the rest of it reads as it is."""
     memory = {} if memory is None else memory
     out = []
-    for r in set(disguised(text)):
+    for r in set(disguised(text, plain)):
         if r not in memory:
             if len(memory) >= MEMORY // 4:
                 memory.clear()
@@ -208,7 +232,7 @@ def words(text: str | None, model: np.ndarray, memory: dict[str, str] | None = N
     if not text:
         return set()
     found = set(_WORD.findall(text.lower()))
-    for r in restored(text, model, memory):
+    for r in restored(text, model, memory, found):
         found.update(_WORD.findall(r))
     return found
 

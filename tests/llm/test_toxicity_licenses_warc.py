@@ -56,6 +56,25 @@ def test_disguised_words_count(spark):
     assert [by[1000 + k] for k in range(5)] == [1] * 5
 
 
+def test_every_form_of_disguise_is_restored(spark):
+    d, _ = corpus(spark)
+    model = toxicity.language_model(d.where("doc_id < 700"))
+    digits = ("1d107", "57up1d", "$7up1d")
+    apart = ("i_d_i_o_t", "i d i o t", "i  d  i  o  t", "i,d,i,o,t", "i/d/i/o/t", "i, d, i, o, t", "i|d|i|o|t", "i+d+i+o+t", "i\u2192d\u2192i\u2192o\u2192t", "i\u00a0d\u00a0i\u00a0o\u00a0t")
+    for shown, meant in ((digits[0], "idiot"), (digits[1], "stupid"), (digits[2], "stupid"), *((a, "idiot") for a in apart), ("iddiiott", "idiot"), ("ssttuuppiidd", "stupid"), ("i d i o t  m o r o n", "idiot moron")):
+        assert meant in toxicity.restored(f"the {shown} again", model), shown
+    assert toxicity.disguised("$h17 now") == ["$h17"] and toxicity.disguised("then d i e now") == ["d i e"]
+    assert set(toxicity.restored("a yellow letter in summer", model)) == {"yellow", "letter", "summer"}
+    assert toxicity.restored("it cost $500, (456) or 10 20 30 and 1, 2, 3", model) == []
+
+
+def test_every_form_of_disguise_counts(spark):
+    for form in ("_".join, "/".join, "  ".join, lambda w: "".join(c + c for c in w)):
+        d, labels = corpus(spark, form)
+        by = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(d.where("doc_id < 2000"), labels).collect()}
+        assert [by[1000 + k] for k in range(5)] == [1] * 5
+
+
 def test_canonical_forms_of_licenses(spark):
     mit = dict(reversed(licenses.KNOWN[:3]))["MIT"]
     rows = [
