@@ -2,15 +2,19 @@
 
 Texts are brought to a canonical form (case, punctuation, copyright lines, equivalent spellings)
 and hashed; the digests of whole documents, and of their lines, are hash-joined to those of known
-licences and notices. All of it is built-in functions. The join sends out digests only.
+licences and notices. A notice has one form however it grants a licence (licensed, released, SPDX). All
+of it is built-in functions. The join sends out digests only.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import pick
+from kairograph.llm.license_texts import WHOLE
 
 #: Known digests are broadcast up to this many (100 bytes each), beyond it joined by shuffle.
 BROADCAST_KNOWN = 100_000
@@ -33,6 +37,9 @@ SPELLINGS = (
     ("https", "http"),
 )
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright [^a-z\n]|\(c\)|©)[^\n]*"
+_PROSE = r"(?!(?i:holders?|owners?|notices?|licen[cs]es?|licensed|laws?|statements?|interests?|and|or|is|in|to|the|on|of|as|for|by|treat(?:y|ies)|protection|permissions?|disclaimers?|infringement|rights?|acts?|status|management|office)\b)"
+#: Lines that begin with copyright and a name or a year, in the case they are written in.
+COPYRIGHT_NAME = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?i:copyright)(?:[ \t]*:[ \t]*[\p{{Lu}}\p{{N}}(©<\[{{]|[ \t]+(?:by[ \t]+)?(?:[Tt]he[ \t]+)?{_PROSE}\p{{Lu}}|[ \t]+{_PROSE}[^\n]{{0,80}}?\b(?:19|20)\p{{Nd}}{{2}}\b)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 _DISCLAIMER = (
@@ -71,10 +78,32 @@ KNOWN = (
     ("all-rights-reserved", "All rights reserved."),
 )
 
+#: What grants a licence by name, in canonical form; the name follows, with or without "license".
+GRANT = (
+    r"^ *(?:spdx license identifier |license (?!identifier )|(?:(?:this|the)(?: [a-z]+){1,3} (?:is|are) )?(?:dual )?(?:licensed|released|distributed|published|provided|shared|(?:made )?available) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?)"
+    r"([^\n]{1,80}?)(?: license)? *$"
+)
+_GNU = (("GPL", ("gpl", "gnu gpl", "gnu general public license")), ("LGPL", ("lgpl", "gnu lgpl", "gnu lesser general public license")), ("AGPL", ("agpl", "gnu agpl", "gnu affero general public license")))
+_VERSIONS = (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))
+#: Further names of licences in canonical form. "Only" and "or later" name the same licence here.
+NAMES = (
+    ("MIT", ("mit", "expat", "mit expat")),
+    ("ISC", ("isc",)),
+    ("0BSD", ("0bsd", "bsd zero clause", "zero clause bsd")),
+    ("Apache-2.0", ("apache 2 0", "apache 2", "apache v2", "apache v2 0", "apache license 2 0", "apache license version 2 0", "apache license version 2", "apache license v2", "apache license v2 0", "apache version 2 0")),
+    *((f"BSD-{n}-Clause", (f"bsd {n} clause", f"{n} clause bsd", f"{word} clause bsd", f"bsd {word} clause", f"{other} bsd", f"bsd {n} clause {other}")) for n, word, other in ((2, "two", "simplified"), (3, "three", "new"))),
+    ("BSD-3-Clause", ("modified bsd", "revised bsd")),
+    ("MPL-2.0", ("mpl 2 0", "mpl v2 0", "mpl version 2 0", "mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v2 0", "mozilla public license v 2 0")),
+    *((f"CC-BY{k}-4.0", tuple(f"{cc}{n}{v}" for cc, n in (("cc ", f"by{k.replace('-', ' ').lower()}"), ("creative commons ", f"by{k.replace('-', ' ').lower()}"), ("creative commons ", long)) for v in (" 4 0", " v4 0", " 4 0 international", " 4 0 international public", " license 4 0", " version 4 0"))) for k, long in (("", "attribution"), ("-SA", "attribution sharealike"), ("-NC", "attribution noncommercial"), ("-ND", "attribution noderivatives"), ("-NC-SA", "attribution noncommercial sharealike"), ("-NC-ND", "attribution noncommercial noderivatives"))),
+    ("CC0-1.0", ("cc0 1 0", "cc0", "cc0 1 0 universal", "creative commons zero 1 0", "creative commons zero v1 0 universal", "creative commons cc0 1 0 universal")),
+    *((f"{kind}-{v}", tuple(f"{n} {lead}{number}{tail}" for k, names in _GNU if k == kind for n in names for lead in ("", "v", "version ") for number in {v.replace(".", " "), v.removesuffix(".0").replace(".", " ")} for tail in ("", " only", " or later", " or any later version", " or at your option any later version"))) for kind, v in _VERSIONS),
+    *((f"{kind}-{v}", (f"{kind.lower()}v{v.replace('.', ' ')}", f"{kind.lower()}v{v.removesuffix('.0').replace('.', ' ')}")) for kind, v in _VERSIONS),
+)
+
 
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its line ends."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_NAME, "")), COPYRIGHT_LINE, "")
     out = F.regexp_replace(out, NOT_WORD, " ")
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
@@ -91,9 +120,21 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("k")).select("k.license_id", "k.text")
 
 
+def notice(line: Column) -> Column:
+    """A canonical line or text; a line that grants a licence by name in its one form."""
+    return F.regexp_replace(line, GRANT, "licensed under $1")
+
+
+def further_digests(spark: SparkSession) -> DataFrame:
+    """license_id, digest of the whole texts that are held as digests and of the further names."""
+    rows = [f"{name} {digest}" for name, digest in WHOLE] + [f"{name} {hashlib.sha256(f'licensed under {n}'.encode()).hexdigest()}" for name, names in NAMES for n in names]
+    pair = F.split("pair", " ")
+    return spark.range(1).select(F.explode(F.split(F.lit(",".join(rows)), ",")).alias("pair")).select(pair[0].alias("license_id"), pair[1].alias("digest"))
+
+
 def digests(known: DataFrame) -> DataFrame:
     """license_id, digest; texts that are equal in canonical form take the least name."""
-    return known.select("license_id", F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return known.select("license_id", F.sha2(notice(canonical(canonical_lines(F.col("text")))), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -104,13 +145,17 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     lines. Null and empty texts have the digest of the empty string and match nothing. Rows of one ``doc_id``
     share their notices. An empty table gives an empty result. Other columns are not looked at."""
     spark = docs.sparkSession
-    ids = digests(known if known is not None else known_licenses(spark)).where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
+    ids = digests(known if known is not None else known_licenses(spark))
+    if known is None:
+        ids = ids.unionByName(further_digests(spark)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    ids = ids.where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).withColumnRenamed("digest", "_key")
     if ids.count() <= BROADCAST_KNOWN:
         ids = F.broadcast(ids)
     lines = pick(docs, "doc_id", "text").select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    whole = lines.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("digest")).join(ids, "digest", "left")
+    text = lines.select("doc_id", canonical(F.col("lines")).alias("text"))
+    whole = text.select("doc_id", F.sha2("text", 256).alias("digest"), F.sha2(notice(F.col("text")), 256).alias("_key")).join(ids, "_key", "left")
     each = lines.select("doc_id", F.explode(F.split("lines", "\n")).alias("line")).where(F.trim("line") != "")
-    found = each.select("doc_id", F.sha2(F.trim("line"), 256).alias("digest")).join(ids, "digest").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    found = each.select("doc_id", F.sha2(notice(F.trim("line")), 256).alias("_key")).join(ids, "_key").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", "digest", "license_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), "notices")
 

@@ -1,6 +1,7 @@
 """Toxicity on held-out rows and disguised words, license forms, WARC round trips."""
 
 import random
+import textwrap
 
 from helpers import awkward, docs
 from pyspark.sql import functions as F
@@ -99,6 +100,32 @@ def test_canonical_forms_of_licenses(spark):
     assert [r["license_id"] for r in licenses.scan_licenses(docs(spark, [(1, "ONLY, this")]), own).collect()] == ["X"]
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_whole_texts_wordings_and_copyright_lines(spark):
+    mit = dict(reversed(licenses.KNOWN[:3]))["MIT"]
+    narrow = lambda t: "\n".join(textwrap.fill(x, 30) for x in t.split("\n\n"))
+    whole = [(f"{line}\n\n{mit}", "MIT") for line in ("Copyright Jane Doe 2020", "Copyright: 2020 X", "copyright jane doe, 2020", "Copyright by Jane Doe", "Copyright The Regents of X", "Copyright 2020", "COPYRIGHT JANE DOE")]
+    whole += [("BSD 3-Clause License\n\nCopyright Jane Doe\nAll rights reserved.\n\n" + BSD, "BSD-3-Clause"), (narrow(BSD), "BSD-3-Clause"), (narrow(BSD).upper(), "BSD-3-Clause"), ("\n".join(x for x in BSD.split("\n\n") if x[0] != "3"), "BSD-2-Clause"), (BSD + " And more.", None)]
+    lines = ["Licensed under the BSD 3-Clause License.", "Released under CC BY 4.0.", "// SPDX-License-Identifier: Apache-2.0", "Distributed under the terms of the GNU General Public License v3.0 or later", "License: MPL-2.0", "This project is licensed under the MIT License", "Published under Creative Commons Attribution-ShareAlike 4.0", "# SPDX-License-Identifier: LGPL-2.1-only", "This is not licensed under the MIT License", "MIT"]
+    named = ["BSD-3-Clause", "CC-BY-4.0", "Apache-2.0", "GPL-3.0", "MPL-2.0", "MIT", "CC-BY-SA-4.0", "LGPL-2.1", None, None]
+    rows = [(k, t) for k, (t, _) in enumerate(whole)] + [(100 + k, f"prose\n{x}\nprose") for k, x in enumerate(lines)] + [(200 + k, x) for k, x in enumerate(lines)]
+    by = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert [by[k]["license_id"] for k in range(len(whole))] == [name for _, name in whole]
+    assert [by[100 + k]["notices"] for k in range(len(lines))] == named
+    assert [by[200 + k]["license_id"] for k in range(len(lines))] == named
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= {name for name, _ in licenses.WHOLE}
+
+
 PAGES = [
     (1, "http://a/x", '<html lang="de"><head><title>T &amp; <b>U</b></title><script>var t="</p>";</script></head><body><p>One&nbsp;two</p><!-- no --><p>three<br>four &lt;x&gt;</p><a href="/l?a=1&amp;b=2">link</a></body></html>'),
     (2, None, None),
