@@ -7,6 +7,8 @@ repeated run gives the same records. Records can be written as WARC files and re
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,21 @@ CRLF = "\r\n"
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
 BREAKING = r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAG = r"<[^>]*>"
-LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
+#: Attributes of a tag before the one sought, and a value with its quotes, if any.
+_BEFORE = r"(?=[\s/])(?:[^>=\s/]++|[\s/]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+){0,500}?(?<=[\s/\"'])"
+_VALUE = r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)"
+LINK = rf"(?i)<a{_BEFORE}href{_VALUE}"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-LANGUAGE = r"(?i)<html\b[^>]*?\blang\s*=\s*\"([^\"]*)\""
+LANGUAGE = rf"(?i)<html{_BEFORE}(?:xml:)?lang{_VALUE}"
+#: The forms that the SQL reads: double quotes alone.
+SQL_LINK, SQL_LANGUAGE = r"(?i)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"", r"(?i)<html\b[^>]*?\blang\s*=\s*\"([^\"]*)\""
 # Character references that become characters; the ampersand comes last.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"))
+_OTHERS = "&(?!(?:" + "|".join(name[1:-1] for name, _ in REFERENCES) + ");)(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]*;)"
+#: The named references of HTML that end with a semicolon, and how numbers below 161 are read.
+NAMED = {**{n: c for n, c in html5.items() if n.endswith(";")}, **{name[1:]: c for name, c in REFERENCES if "#" not in name}}
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)"
+_CONTROLS = {str(k): bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)} | {"160": " "}
 
 RECORD = ("record_id", "refers_to", "warc_type", "target_uri", "warc_date", "content_type", "source_headers", "source_digest", "block_digest", "content_length", "block")
 
@@ -39,18 +51,50 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
+def _table(of: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in of.items())), F.lit("\1"), F.lit("\2"))
+
+
+def _named() -> Column:
+    """Name -> characters, by first letter, as a map is searched from its start."""
+    first = sorted({n[0] for n in NAMED})
+    return F.create_map(*[c for a in first for c in (F.lit(a), _table({n: v for n, v in NAMED.items() if n[0] == a}))])
+
+
+def character(reference: Column) -> Column:
+    """What a reference stands for; unknown names stay as they are."""
+    body = F.regexp_replace(reference, "^&#?|;$", "")
+    digits = F.regexp_replace(body, "^[xX]?0*", "")
+    based = lambda base: F.conv(F.concat(F.lit("0"), digits), base, 10)
+    code = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(F.when(body.rlike("^[xX]"), based(16)).otherwise(based(10)).cast("int"))
+    point = F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(code)
+    number = F.coalesce(F.try_element_at(_table(_CONTROLS), point.cast("string")), F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    name = F.substring(reference, 2, 64)
+    return F.when(reference.startswith("&#"), number).otherwise(F.coalesce(F.try_element_at(F.try_element_at(_named(), F.substring(name, 1, 1)), name), reference))
+
+
 def readable(text: Column) -> Column:
-    for name, character in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """References resolved, once each. Texts with the common ones alone need no search."""
+    plain = text
+    for name, c in REFERENCES:
+        plain = F.replace(plain, F.lit(name), F.lit(c))
+    pieces, found = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    rest = F.zip_with(found, F.slice(pieces, F.lit(2), F.size(found)), lambda r, p: F.concat(character(r), p))
+    return F.when(text.rlike(_OTHERS), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(plain)
+
+
+def unquoted(value: Column) -> Column:
+    return F.when(value.startswith('"') | value.startswith("'"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def untagged(html: Column) -> Column:
+    """A page without hidden parts and tags, one block a line."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAKING, "\n"), TAG, "")
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page, one block a line: hidden parts and tags out, references resolved."""
-    out = F.regexp_replace(html, HIDDEN, " ")
-    out = F.regexp_replace(out, BREAKING, "\n")
-    out = readable(F.regexp_replace(out, TAG, ""))
-    out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
+def plain_text(untagged: Column) -> Column:
+    """Text of a page from ``untagged``: references resolved, one block a line."""
+    out = F.regexp_replace(readable(untagged), r"[ \t\r\f]+", " ")
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[\n ]*", "\n"), r"^[\n ]+|[\n ]+$", "")
 
 
@@ -72,13 +116,15 @@ def derive(responses: DataFrame) -> DataFrame:
     extra = [c for c in responses.columns if c not in (*RECORD, "http_headers", "payload")]
     r = responses.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("_digest", digest(F.col("payload")))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    found = lambda pattern: F.trim(readable(F.regexp_replace(F.regexp_replace(F.regexp_extract("payload", pattern, 1), TAG, ""), r"\s+", " ")))
-    links = F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))
+    found = lambda value: F.regexp_replace(F.regexp_replace(value, TAG, ""), r"\s+", " ")
+    # Columns of their own, as what an expression holds twice is computed twice.
+    r = r.select("*", found(F.regexp_extract("payload", TITLE, 1)).alias("_title"), found(unquoted(F.regexp_extract("payload", LANGUAGE, 1))).alias("_language"), F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)).alias("_links"), untagged(F.col("payload")).alias("_untagged"))
+    links = F.transform("_links", unquoted)
     outlinks = F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), readable(x), F.lit(f" L a/@href{CRLF}"))), "")
-    fields = F.concat(field("title", found(TITLE)), field("language", found(LANGUAGE)), field("source-digest", F.col("_digest")), field("outlinks", F.size(links).cast("string")), outlinks)
+    fields = F.concat(field("title", F.trim(readable(F.col("_title")))), field("language", F.trim(readable(F.col("_language")))), field("source-digest", F.col("_digest")), field("outlinks", F.size("_links").cast("string")), outlinks)
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_untagged")).alias("block")),
     )
     d = r.select(*extra, F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("_digest").alias("source_digest"), F.explode(kinds).alias("k"))
     d = d.select("*", "k.warc_type", "k.content_type", "k.block").drop("k")
@@ -129,10 +175,10 @@ def derivative_sql(source: str = "pages") -> str:
     end = "chr(13) || chr(10)"
     return f"""
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5('response ' || coalesce(page_id::VARCHAR, '-') || ' ' || coalesce(url, '-')) AS m FROM {source}),
-        r AS (SELECT *, {uuid("m")} AS refers_to, 'sha256:' || sha256(html) AS source_digest, regexp_extract_all(html, {quote(LINK)}, 1) AS links FROM p),
+        r AS (SELECT *, {uuid("m")} AS refers_to, 'sha256:' || sha256(html) AS source_digest, regexp_extract_all(html, {quote(SQL_LINK)}, 1) AS links FROM p),
         k AS (
             SELECT page_id, url, refers_to, source_digest, html, 'metadata' AS warc_type,
-                   'title: ' || {found(TITLE)} || {end} || 'language: ' || {found(LANGUAGE)} || {end} || 'source-digest: ' || source_digest || {end}
+                   'title: ' || {found(TITLE)} || {end} || 'language: ' || {found(SQL_LANGUAGE)} || {end} || 'source-digest: ' || source_digest || {end}
                    || 'outlinks: ' || len(links) || {end} || array_to_string(list_transform(links, lambda x: 'outlink: ' || {read("x")} || ' L a/@href' || {end}), '') AS block
             FROM r
             UNION ALL SELECT page_id, url, refers_to, source_digest, html, 'conversion', {text} FROM r),

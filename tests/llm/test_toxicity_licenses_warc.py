@@ -150,6 +150,18 @@ def test_derived_records_link_to_their_response(spark):
     assert warc.derive(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+def test_any_quotes_and_any_reference(spark):
+    html = "<html class=x lang='de'><title>It&#8217;s &#x27;caf&eacute;&#x27; &amp;#8217; &#128; &#0; &unknown; &#x1F600; &copy 2020 &notin;</title><a href='/x?a=1&amp;b=2&copy=3'>1</a><a class=b href=/y>2</a><a title=\"href=/no\" href = \"/z&#x26;lt;\">3</a><a data-href='/no'>4</a><A title=it's HREF=/w>5</A><a href=\"it's\">6</a><p>A&#x2014;B&Omega;&#38;lt;&lt;"
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", "<html lang=fr><a href=q>"), (3, "w", '<html xml:lang="it">'), (4, "x", "<a " + "word " * 20000 + "&" * 1000)], "page_id long, url string, html string")
+    by = {(r["page_id"], r["warc_type"]): r["block"] for r in warc.derive(warc.responses_of_pages(pages)).collect()}
+    meta, text = by[1, "metadata"], by[1, "conversion"]
+    title = "It\u2019s 'caf\u00e9' &#8217; \u20ac \ufffd &unknown; \U0001f600 &copy 2020 \u2209"
+    assert meta.startswith(f"title: {title}\r\nlanguage: de\r\n")
+    assert [x[9:].split(" L ")[0] for x in meta.split("\r\n") if x.startswith("outlink: ")] == ["/x?a=1&b=2&copy=3", "/y", "/z&lt;", "/w", "it's"] and "outlinks: 5\r\n" in meta
+    assert text.startswith(title) and text.endswith("A\u2014B\u03a9&lt;<")
+    assert "language: fr\r\n" in by[2, "metadata"] and "outlink: q L" in by[2, "metadata"] and "language: it\r\n" in by[3, "metadata"] and "outlinks: 0" in by[4, "metadata"]
+
+
 def test_records_survive_files(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     out = warc.derive(warc.responses_of_pages(pages)).select(*warc.RECORD)
