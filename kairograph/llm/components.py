@@ -1,8 +1,14 @@
-"""Connected components by alternating large and small stars, each a pair of DataFrame joins.
-The edge list never grows, and rounds grow with the logarithm of the largest component."""
+"""Connected components by alternating large and small stars.
+
+The edge list never grows, and rounds grow with the logarithm of the largest component. Of each star only
+the nodes that have something to move are joined; these are few after the first rounds, and written first, so
+that Spark knows their size: it broadcasts few and splits the partition of a hub when there are many.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,32 +17,63 @@ from kairograph.llm.common import cut, release
 MAX_ROUNDS = 60
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every neighbour v > u of u moves to the least of u's neighbourhood."""
+def forest(pairs: Iterable[tuple]) -> dict:
+    """The least id reachable from each id on the pairs of one task."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(root)}
+
+
+def _falling(e: DataFrame) -> DataFrame:
+    """Nodes with smaller and larger neighbours, and the least of them."""
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).where("m < a and a < x").select(F.col("a").alias("u"), "m")
+
+
+def _large_star(e: DataFrame, falling: DataFrame) -> DataFrame:
+    """Every larger neighbour of u moves to the least of u's neighbourhood, u included. e: a > b."""
+    return e.join(falling, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _torn(e: DataFrame) -> DataFrame:
+    """Nodes with several smaller neighbours, and the least of these."""
+    return e.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).where("m < x").select(F.col("a").alias("u"), "m")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    """u and its smaller neighbours move to the least of them."""
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("s")).select(F.col("s.a").alias("a"), F.col("s.m").alias("b")).where("a <> b")
+def _small_star(e: DataFrame, torn: DataFrame) -> DataFrame:
+    """u and its smaller neighbours move to the least of them. e: a > b."""
+    moved = e.join(torn, F.col("a") == F.col("u"), "left")
+    own = F.struct(F.col("a"), F.coalesce("m", "b").alias("b"))
+    other = F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.select(F.explode(F.when(F.col("m") < F.col("b"), F.array(own, other)).otherwise(F.array(own))).alias("s")).select("s.a", "s.b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: two columns of long ids, in any order and direction, repeated or not. Returns ``node, root``
-    for every id on an edge between different ids; root is the least id reachable. No edges: no rows."""
-    a, b = edges.columns
-    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    """edges: two columns of ids of one orderable type, in any order and direction, repeated or not. Returns
+    ``node, root`` for every id on an edge between different ids; root is the least id reachable. Edges with
+    a null end are left out. No edges: no rows. The result is a written table."""
+    a, b = (F.col(c) for c in edges.columns)
+    e = cut(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = tuple(state)
-        before, e = e, cut(_small_star(_large_star(e).distinct()).distinct(), "edges")
-        release(before)
+        falling = cut(_falling(e), "falling")
+        large = e if falling.isEmpty() else cut(_large_star(e, falling), "edges")
+        torn = cut(_torn(large), "torn")
+        small = large if torn.isEmpty() else cut(_small_star(large, torn), "edges")
+        release(falling, torn, *{id(x): x for x in (e, large) if x is not small}.values())
+        if small is e:
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out = cut(out, "components")
+            release(e)
+            return out
+        e = small
     raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")

@@ -47,10 +47,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, rendered as a recording, fingerprinted and aligned with all others."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("rec_id"), "text")
-    prints = cut(audio.fingerprints(turns, audio.render), "prints")
-    out = audio.align_recordings(prints)
-    return out.select(F.expr("rec_id div 1000000").alias("conv_id"), (F.col("rec_id") % 1_000_000).alias("turn"), "n_ints", "class_id", "n_links", "component_id")
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("rec_id"), "text")
+    out = audio.align_recordings(cut(audio.fingerprints(turns, audio.render), "prints"))
+    part = lambda name: [F.col(f"{name}_id.{x}").alias(f"{name}_{x}") for x in ("conv_id", "turn")]
+    return out.select("rec_id.conv_id", "rec_id.turn", "n_ints", *part("class"), "n_links", *part("component"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

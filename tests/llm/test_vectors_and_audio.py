@@ -1,6 +1,7 @@
 """Embeddings and audio against plain versions; components."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 from helpers import awkward, groups
@@ -52,6 +53,78 @@ def test_recordings_align_where_they_share_a_stretch(spark):
     assert offset.tolist() == [-20]
 
 
+def plain_alignments(ints, keyed=True):
+    """Pairs aligned at any offset, looked at one by one; with ``keyed`` only where they share a key."""
+    out, keys = set(), {k: dict(zip(*map(np.ndarray.tolist, audio.selected(x)), strict=True)) for k, x in ints.items()}
+    for (a, x), (b, y) in combinations(ints.items(), 2):
+        for o in range(-len(x) + 1, len(y)):
+            if keyed and not any(keys[b].get(p + o) == h for p, h in keys[a].items()):
+                continue
+            s, e = max(0, -o), min(len(x), len(y) - o)
+            best, best_hits, total, hits = 0, 0, 0, 0
+            for n in np.bitwise_count(x[s:e] ^ y[s + o : e + o]).tolist():
+                if total <= 0:
+                    total, hits = 0, 0
+                total, hits = total + 640 - 100 * n, hits + (n == 0)
+                if total > best:
+                    best, best_hits = total, hits
+            if best_hits >= audio.MIN_HITS:
+                out.add((a, b))
+                break
+    return out
+
+
+def hop_prints(pcm):
+    return audio.fingerprint(audio.chroma(pcm, hop=audio.FRAME // audio.STEP), audio.STEP)
+
+
+def test_alignments_match_every_pair_and_offset(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    draw = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows, base = [], draw(60)
+    for k in range(25):
+        w = draw(rnd.randrange(0, 30))
+        lo = rnd.randrange(0, 50)
+        part = base[lo : lo + rnd.randrange(4, 40)]
+        for _ in range(rnd.randrange(3)):
+            part[rnd.randrange(len(part))] = rnd.choice(words)
+        rows.append((k, " ".join(w + part + draw(rnd.randrange(0, 20)))))
+    rows += [(30, "la " * 200), (31, "la " * 260), (32, "so la " * 90), (33, " ".join(base)), (34, " ".join(base)), (34, " ".join(base))]
+    ints = {k: hop_prints(audio.render(t)) for k, t in rows}
+    pairs = plain_alignments(ints)
+    assert 15 < len(pairs) < 300 and (30, 31) in pairs
+    assert len(pairs) >= 0.9 * len(plain_alignments(ints, keyed=False))
+    plain = groups(pairs, list(ints))
+    monkeypatch.setattr(audio, "BLOCK", 2000)
+    prints = audio.fingerprints(spark.createDataFrame(rows, "rec_id long, text string"), audio.render).cache()
+    got = {r["rec_id"]: (r["n_links"], r["component_id"]) for r in audio.align_recordings(prints).collect()}
+    assert got == plain
+    monkeypatch.setattr(audio, "AT_ONCE", 500)
+    names = list(ints)
+    i, j, _ = audio.align(list(ints.values()), list(ints.values()), same=True)
+    assert {(names[x], names[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)} == pairs
+
+
+def test_cuts_inside_a_frame_still_align():
+    rnd = random.Random(9)
+    song = audio.render(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(120)))
+    whole = hop_prints(song)
+    for cut_at in (1, 31, 32, 33, 64, 100, 128, 200, 255, 1000, 5003):
+        i, _, offset = audio.align([hop_prints(song[cut_at:])], [whole], same=False)
+        assert len(i) == 1 and abs(offset[0] - cut_at / 64) < 1
+
+
+def test_recordings_short_repeated_or_long(spark):
+    rows = [((1, 0), "a b c"), ((2, 0), "a b c"), ((2, 1), "a b d"), ((3, 0), " "), ((4, 0), ""), ((10**13, None), "la " * 4000), ((5, 1), "la " * 2000), ((None, 7), "a b c"), ((6, 0), "a b c"), ((6, 0), "x y z")]
+    df = spark.createDataFrame(rows, "rec_id struct<conv:long,turn:long>, text string")
+    prints = audio.fingerprints(df, audio.render).cache()
+    got = sorted(((tuple(r["rec_id"]), r["n_ints"], tuple(r["class_id"]), r["n_links"], tuple(r["component_id"])) for r in audio.align_recordings(prints).collect()), key=str)
+    none = (None, 7)
+    want = [((1, 0), 0, none, 3, none), ((2, 0), 0, none, 3, none), ((2, 1), 0, (2, 1), 0, (2, 1)), ((3, 0), 0, (3, 0), 0, (3, 0)), ((4, 0), 0, (4, 0), 0, (4, 0)), ((5, 1), 7969, (5, 1), 1, (5, 1)), ((10**13, None), 15969, (10**13, None), 1, (5, 1)), (none, 0, none, 3, none), ((6, 0), 0, none, 3, none), ((6, 0), 0, (6, 0), 0, (6, 0))]
+    assert got == sorted(want, key=str)
+
+
 def test_chroma_of_a_pure_tone_and_pcm_samples():
     t = np.arange(4096) / audio.RATE
     image = audio.chroma(np.sin(2 * np.pi * audio.LOW_C * 2 ** (9 / 12) * t) * 1000)
