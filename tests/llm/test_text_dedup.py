@@ -4,6 +4,7 @@ import hashlib
 import random
 from itertools import combinations
 
+import pytest
 from helpers import WORD, awkward, docs, groups
 
 from kairograph.llm import line_dedup, ngram_join, substring_dedup
@@ -106,6 +107,38 @@ def test_near_copies_match_the_plain_version(spark):
     assert kept == {root for _, root in plain.values()}
 
 
+def test_near_copies_at_other_thresholds_and_in_large_groups(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = []
+    for size, copies, changes in ((40, 60, 12), (30, 8, 3), (300, 5, 40), (9, 6, 2)):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rnd.randrange(changes + 1)):
+                w[rnd.randrange(size)] = f"v{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    repeated = rows + [rows[0]] * 1000
+    monkeypatch.setattr(ngram_join, "BUCKET", 3)  # large buckets, in several pieces
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    for t in (0.5, 0.855):
+        plain = plain_jaccard(rows, t=t)
+        got = {(r["doc_id"], r["n_links"], r["component_id"]) for r in ngram_join.jaccard_join(docs(spark, repeated), t).collect()}
+        assert got == {(d, *v) for d, v in plain.items()}
+    assert [ngram_join.shape_for(t) for t in (0.8, 0.5, 0.4)] == [(32, 4), (64, 2), (128, 1)]
+    with pytest.raises(ValueError):
+        ngram_join.shape_for(0.05)
+
+
+def test_near_copies_of_one_id_with_several_texts_and_very_long_ones(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "a b c d e f g"), (3, "p q r s t u v"), (4, long), (5, long + " x")]
+    got = sorted((tuple(r) for r in ngram_join.jaccard_join(docs(spark, rows)).collect()), key=str)
+    assert got == [(1, 1, 1, 1, True), (1, 1, 1, 1, True), (2, 1, 1, 1, False), (3, 1, 1, 1, False), (4, 4, 1, 4, True), (5, 5, 1, 4, False)]
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "p q r s t u v")]
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each(docs(spark, rows)).collect())
+    assert kept == [(1, "a b c d e f g"), (2, "p q r s t u v")]
+
+
 def test_near_copies_without_ids_or_rows(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "a b c d e f g")]
     got = sorted(((r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in ngram_join.jaccard_join(docs(spark, rows)).collect()), key=str)
