@@ -20,7 +20,6 @@ recordings. Recordings with equal fingerprints are one class and compared once.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import cut, in_worker, release, ship
-from kairograph.llm.components import components, forest
+from kairograph.llm.components import components, linked
 
 RATE, FRAME, HOP = 4096, 256, 256
 #: Fingerprints take frames a quarter of a frame apart, so that any cut lies within an eighth of a frame of one.
@@ -293,22 +292,13 @@ def _aligned(min_hits: int, max_errors: float):
 
 def _blocks(min_hits: int, max_errors: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i_block, j_block = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        parts = [pdf[pdf["block"] == k] for k in (i_block, j_block)]
-        empty = pd.DataFrame({"node": pd.Series(dtype="object"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="object")})
-        if not len(parts[0]) or not len(parts[1]):
-            return empty
-        i, j, _ = align(*[[np.asarray(x, dtype=np.int32).view(np.uint32) for x in p["ints"]] for p in parts], i_block == j_block, min_hits, max_errors)
-        if not len(i):
-            return empty
-        nodes, copies = [p["node"].tolist() for p in parts], [p["copies"].to_numpy() for p in parts]
-        links: Counter = Counter()
-        for names, here, n in ((nodes[0], i, copies[1][j]), (nodes[1], j, copies[0][i])):
-            for k, v in enumerate(np.bincount(here, n, len(names)).astype(np.int64).tolist()):
-                if v:
-                    links[names[k]] += v
-        root = forest(zip((nodes[0][k] for k in i.tolist()), (nodes[1][k] for k in j.tolist()), strict=True))
-        return pd.DataFrame({"node": list(links), "links": list(links.values()), "root": [root[x] for x in links]}).astype({"links": "int64"})
+        blocks = [int(pdf[k].iloc[0]) for k in ("i", "j")]
+        parts = [pdf[pdf["block"] == k] for k in blocks]
+        pairs = []
+        if all(map(len, parts)):
+            i, j, _ = align(*[[np.asarray(x, dtype=np.int32).view(np.uint32) for x in p["ints"]] for p in parts], blocks[0] == blocks[1], min_hits, max_errors)
+            pairs = [(i, j)]
+        return linked([p["node"].tolist() for p in parts], [p["copies"].to_numpy() for p in parts], pairs)
 
     return run
 
@@ -352,10 +342,10 @@ def align_recordings(prints: DataFrame, min_hits: int = MIN_HITS, max_errors: fl
     release(clusters, sizes, several)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select("node", "root"))
-    first = groups.join(classes, groups["node"] == classes["digest"]).groupBy("root").agg(F.min("class_id").alias("component_id"))
+    first = cut(groups.join(classes, groups["node"] == classes["digest"]).groupBy("root").agg(F.min("class_id").alias("component_id")), "first")
     linked = links.join(groups.join(first, "root").select("node", "component_id"), "node", "left").withColumnRenamed("node", "digest")
     verdict = cut(classes.where("n > 1").select("digest", "class_id", "copies").join(linked, "digest", "full"), "verdict")
-    release(found, groups, classes)
+    release(found, groups, classes, first)
     out = prints.join(verdict, "digest", "left")
     plain = F.col("rec_id").isNull()
     n = F.when(plain, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0)))

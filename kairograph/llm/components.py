@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,37 @@ from kairograph.llm.common import cut, release
 MAX_ROUNDS = 60
 
 
-def forest(pairs: Iterable[tuple]) -> dict:
-    """The least id reachable from each id on the pairs of one task."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in pairs:
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return {x: find(x) for x in list(root)}
+class Labels:
+    """Groups of 0..n-1 under links that come in batches; ``at`` holds the least member of each one's group."""
+
+    def __init__(self, n: int):
+        self.at = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        at = self.at
+        while len(i):
+            a, b = at[i], at[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(at, np.maximum(a, b), np.minimum(a, b))
+            while (at[at] != at).any():
+                at = at[at]
+        self.at = at
+
+
+def linked(nodes: list[list[bytes]], copies: list[np.ndarray], pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """What a task returns of the links between two lists of nodes, or of one list with itself: of each linked node the
+    number of copies that it links to, and the least node it reaches. pairs: batches of positions in both lists."""
+    names = sorted({*nodes[0], *nodes[1]})
+    place = {x: k for k, x in enumerate(names)}
+    at = [np.array([place[x] for x in part], dtype=np.int64) for part in nodes]
+    links, labels = np.zeros(len(names)), Labels(len(names))
+    for i, j in pairs:
+        a, b = at[0][i], at[1][j]
+        links += np.bincount(a, copies[1][j], len(names)) + np.bincount(b, copies[0][i], len(names))
+        labels.join(a, b)
+    found = np.flatnonzero(links).tolist()
+    return pd.DataFrame({"node": pd.Series([names[k] for k in found], dtype="object"), "links": links[found].astype(np.int64), "root": pd.Series([names[k] for k in labels.at[found].tolist()], dtype="object")})
 
 
 def _falling(e: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ margin is that small meets all its partners: the search is exact, not only likel
 bounded sample; every vector is indexed.
 
 Within a cell, blocks of home vectors are compared with each other and with blocks of guests in double
-precision. A task holds two blocks and returns link counts and a spanning forest, never the pairs.
-Equal vectors are one vector with a count. Components come from the forest.
+precision. Blocks are bounded in bytes and as large as a task can hold, as each row goes to every pair of blocks that its
+block is part of; for the same reason cells hold thousands. A task returns link counts and a spanning forest, never
+the pairs. Equal vectors are one vector with a count. Components come from the forest. Vectors without any structure visit
+more cells the more cells there are; then the work is that of comparing all with all, in blocks.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import cut, pick, ship
-from kairograph.llm.components import components
+from kairograph.llm.common import cut, pick, release, ship
+from kairograph.llm.components import components, linked
 
 THRESHOLD = 0.95
-#: Vectors that the cells are fitted on at most (the smallest hashes), and vectors a cell should hold.
-SAMPLE, PER_CELL, MAX_CELLS = 20_000, 1000, 2048
+#: Vectors that the cells of a dimension are fitted on at most (the smallest hashes), in rows and in bytes, and vectors a cell should hold.
+SAMPLE, SAMPLE_BYTES, PER_CELL, MAX_CELLS = 20_000, 32 << 20, 4096, 2048
 ROUNDS = 8
-BLOCK = 2048
+#: Bytes of vectors in a block, and vectors handled at once.
+BLOCK_BYTES, AT_ONCE = 8 << 20, 512
 SEED = 20240229
 
 
@@ -39,16 +42,20 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in b.column(1):
             v = v.as_py()
             x = np.array(v, dtype=np.float64) if v and None not in v else np.zeros(0)
-            with np.errstate(over="ignore"):
-                ok = len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf
+            ok = x.any() and np.isfinite(x).all()
             raw.append(x.tobytes() if ok else None), dim.append(len(x) if ok else 0)
             key.append(xxhash.xxh3_128_digest((x + 0.0).tobytes()) if ok else None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(dim, pa.int32()), pa.array(key, pa.binary())], names=["vec_id", "raw", "dim", "key"])
 
 
-def _matrix(raw: Iterable[bytes], dim: int) -> np.ndarray:
+def _scaled(raw: Iterable[bytes], dim: int) -> np.ndarray:
+    """Vectors divided by a power of two, which keeps their digits, so that no square overflows or vanishes."""
     x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(-1, dim)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _matrix(raw: Iterable[bytes], dim: int) -> np.ndarray:
+    x = _scaled(raw, dim)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -82,115 +89,111 @@ def places(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray,
 def _assign(c: np.ndarray, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                home, guest = places(_matrix(b.column(2).to_pylist(), c.shape[1]), c, threshold)
+            for part in range(0, b.num_rows, AT_ONCE):
+                held = b.slice(part, AT_ONCE)
+                home, guest = places(_matrix(held.column(2).to_pylist(), c.shape[1]), c, threshold)
                 visits = [np.flatnonzero(g).astype(np.int32) for g in guest]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(home.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], names=["node", "copies", "raw", "home", "visits"])
+                yield pa.RecordBatch.from_arrays([*held.columns, pa.array(home.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], names=["node", "copies", "raw", "dim", "home", "visits"])
 
     return run
 
 
-def _compare(dim: int, threshold: float, cells: int):
+def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, left_at, right_at, guests = (int(pdf[n].iloc[0]) for n in ("cell", "i", "j", "guests"))
+        dim, cell, left_at, right_at, guests = (int(pdf[n].iloc[0]) for n in ("dim", "cell", "i", "j", "guests"))
         left = pdf[(pdf["role"] == 0) & (pdf["block"] == left_at)]
         right = pdf[(pdf["role"] == 1) & (pdf["block"] == right_at)] if guests else pdf[(pdf["role"] == 0) & (pdf["block"] == right_at)]
-        empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        if not len(left) or not len(right):
-            return empty
-        x, y = _matrix(left["raw"], dim), _matrix(right["raw"], dim)
-        visits = np.zeros((len(left), cells), dtype=bool)
-        for k, v in enumerate(left["visits"]):
-            visits[k, v] = True
-        other = right["home"].to_numpy()
-        ids, copies = [p["node"].to_numpy() for p in (left, right)], [p["copies"].to_numpy() for p in (left, right)]
-        links = [np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)]
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for s in range(0, len(x), 512):
-            cos = x[s : s + 512] @ y.T
-            i, j = np.nonzero(cos >= threshold - 1e-9)
-            close = cos[i, j] < threshold + 1e-9
-            if close.any():  # near the threshold by the plain formula
-                raw = [np.frombuffer(b"".join(p["raw"]), dtype=np.float64).reshape(-1, dim) for p in (left, right)]
-                a, b = raw[0][s + i[close]], raw[1][j[close]]
-                good = np.ones(len(i), dtype=bool)
-                good[close] = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)) >= threshold
-                i, j = i[good], j[good]
-            i = i + s
-            if guests:  # a pair that also meets in the guest's home counts in the smaller cell
-                keep = ~visits[i, other[j]] | (cell < other[j])
-            elif left_at == right_at:
-                keep = i < j
-            else:
-                keep = np.ones(len(i), dtype=bool)
-            i, j = i[keep], j[keep]
-            links[0] += np.bincount(i, copies[1][j], len(left)).astype(np.int64)
-            links[1] += np.bincount(j, copies[0][i], len(right)).astype(np.int64)
-            # joining each vector of the right with the first and each of the left with its roots
-            for a, b in zip(ids[0][i].tolist(), ids[1][j].tolist(), strict=True):
-                a, b = find(a), find(b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        out = pd.DataFrame({"node": np.concatenate(ids), "links": np.concatenate(links)}).groupby("node", as_index=False)["links"].sum()
-        out = out[out["links"] > 0]
-        return out.assign(root=[find(v) for v in out["node"].tolist()]).astype({"root": "int64"}) if len(out) else empty
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            x, y = _matrix(left["raw"], dim), _matrix(right["raw"], dim)
+            other = right["home"].to_numpy()
+            visits = np.zeros((len(left), int(other.max()) + 1 if guests else 0), dtype=bool)
+            for k, v in enumerate(left["visits"] if guests else ()):
+                v = np.asarray(v)
+                visits[k, v[v < visits.shape[1]]] = True
+            plain = None
+            for s in range(0, len(x), AT_ONCE):
+                cos = x[s : s + AT_ONCE] @ y.T
+                i, j = np.nonzero(cos >= threshold - 1e-9)
+                close = cos[i, j] < threshold + 1e-9
+                i = i + s
+                if close.any():  # near the threshold by the plain formula
+                    plain = plain or [_scaled(p["raw"], dim) for p in (left, right)]
+                    a, b = plain[0][i[close]], plain[1][j[close]]
+                    good = np.ones(len(i), dtype=bool)
+                    good[close] = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)) >= threshold
+                    i, j = i[good], j[good]
+                if guests:  # a pair that also meets in the guest's home counts in the smaller cell
+                    keep = ~visits[i, other[j]] | (cell < other[j])
+                    i, j = i[keep], j[keep]
+                elif left_at == right_at:
+                    i, j = i[i < j], j[i < j]
+                yield i, j
+
+        copies = [p["copies"].to_numpy() for p in (left, right)]
+        return linked([p["node"].tolist() for p in (left, right)], copies, pairs() if len(left) and len(right) else [])
 
     return run
 
 
-def _links(vectors: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
-    """node, links, root of each task over vectors of one dimension (columns node, copies, raw)."""
-    spark: SparkSession = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("raw").toPandas()
+def _placed(vectors: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
+    """Vectors of one dimension (node, copies, raw, dim) with home and visits."""
+    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("raw").toPandas()
     x = _matrix(sample["raw"], dim)
     c = spherical_kmeans(x, int(min(MAX_CELLS, max(1, n // PER_CELL), max(1, len(x) // 4))))
-    at = cut(vectors.select("node", "copies", "raw").mapInArrow(_assign(c, threshold), "node long, copies long, raw binary, home int, visits array<int>"), "cells")
-    home = at.select("node", "copies", "raw", "home", "visits", F.col("home").alias("cell"), F.lit(0).alias("role"))
+    return vectors.mapInArrow(_assign(c, threshold), "node binary, copies long, raw binary, dim int, home int, visits array<int>")
+
+
+def _links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """node, links, root of each task over unique vectors (node, copies, raw, dim)."""
     none = F.array().cast("array<int>")
-    guest = at.select("node", "copies", "raw", "home", none.alias("visits"), F.explode("visits").alias("cell"), F.lit(1).alias("role"))
-    sizes = home.select("cell", "role").unionByName(guest.select("cell", "role")).groupBy("cell").agg(*[F.ceil(F.sum((F.col("role") == r).cast("int")) / BLOCK).cast("int").alias(f"blocks{r}") for r in (0, 1)])
-    rows = home.unionByName(guest).join(F.broadcast(sizes), "cell")  # at most MAX_CELLS rows
+    sizes = cut(vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dimensions")
+    at = vectors.join(sizes.where(F.col("n") <= PER_CELL).select("dim"), "dim", "left_semi").select("node", "copies", "raw", "dim", F.lit(0).alias("home"), none.alias("visits"))
+    for r in sizes.where(F.col("n") > PER_CELL).collect():  # no more than rows / PER_CELL
+        at = at.unionByName(_placed(vectors.where(F.col("dim") == r["dim"]).select("node", "copies", "raw", "dim"), r["dim"], r["n"], threshold))
+    at = cut(at, "cells")
+    release(sizes)
+    home = at.select("*", F.col("home").alias("cell"), F.lit(0).alias("role"))
+    guest = at.select("node", "copies", "raw", "dim", "home", none.alias("visits"), F.explode("visits").alias("cell"), F.lit(1).alias("role"))
+    blocks = lambda r: F.ceil(F.sum((F.col("role") == r).cast("long") * 8 * F.col("dim")) / BLOCK_BYTES).cast("int").alias(f"blocks{r}")
+    held = cut(home.select("dim", "cell", "role").unionByName(guest.select("dim", "cell", "role")).groupBy("dim", "cell").agg(blocks(0), blocks(1)).where("blocks0 > 0"), "blocks")
+    rows = home.unionByName(guest).join(held, ["dim", "cell"])
     own = F.when(F.col("role") == 0, F.col("blocks0")).otherwise(F.col("blocks1"))
-    rows = rows.where("blocks0 > 0").withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
     key = lambda i, j, g: F.struct(i.alias("i"), j.alias("j"), F.lit(g).alias("guests"))
     b = F.col("block")
     homes = F.transform(upto(F.col("blocks0")), lambda o: key(F.least(b, o), F.greatest(b, o), 0))
     meets = F.transform(upto(F.col("blocks1")), lambda o: key(b, o, 1))
     visited = F.transform(upto(F.col("blocks0")), lambda o: key(o, b, 1))
-    dealt = rows.select("node", "copies", "raw", "home", "visits", "cell", "role", "block", F.explode(F.when(F.col("role") == 0, F.concat(homes, meets)).otherwise(visited)).alias("t"))
-    dealt = dealt.select("node", "copies", "raw", "home", "visits", "cell", "role", "block", "t.i", "t.j", "t.guests")
-    return dealt.groupBy("cell", "i", "j", "guests").applyInPandas(_compare(dim, threshold, len(c)), "node long, links long, root long")
+    columns = ["node", "copies", "raw", "dim", "home", "visits", "cell", "role", "block"]
+    dealt = rows.select(*columns, F.explode(F.when(F.col("role") == 0, F.concat(homes, meets)).otherwise(visited)).alias("t")).select(*columns, "t.i", "t.j", "t.guests")
+    out = cut(dealt.groupBy("dim", "cell", "i", "j", "guests").applyInPandas(_compare(threshold), "node binary, links long, root binary"), "links")
+    release(at, held)
+    return out
 
 
 def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vectors`` (``vec_id``, ``embedding``).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so
-    does a row without ``vec_id``. Vectors of different dimension do not link. Rows of one ``vec_id`` with one
-    vector are one vector. An empty table gives an empty result. Other columns are not looked at."""
+    does a row without ``vec_id``. Vectors of different dimension do not link. Repeated rows are one vector; rows
+    of one ``vec_id`` with different vectors are vectors of their own, which may link with each other. An empty table gives an
+    empty result. Other columns are not looked at."""
     ship(vectors.sparkSession)
-    read = cut(pick(vectors, "vec_id", "embedding").mapInArrow(_read, "vec_id long, raw binary, dim int, key binary"), "vectors")
+    plain = pick(vectors, "vec_id", "embedding")
+    read = cut(plain.mapInArrow(_read, f"vec_id {plain.schema['vec_id'].dataType.simpleString()}, raw binary, dim int, key binary"), "vectors")
     valid = read.where("key is not null and vec_id is not null")
-    unique = cut(valid.groupBy("key", "dim").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies"), F.first("raw").alias("raw")), "unique")
-    found = None
-    for r in unique.groupBy("dim").count().where("count > 1").collect():
-        part = _links(unique.where(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = read.sparkSession.createDataFrame([], "node long, links long, root long")
-    found = cut(found, "links")
+    unique = cut(valid.groupBy("key", "dim").agg(F.min("vec_id").alias("class_id"), F.count_distinct("vec_id").alias("copies"), F.first("raw").alias("raw")).withColumnRenamed("key", "node"), "unique")
+    found = _links(unique.select("node", "copies", "raw", "dim"), threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select("node", "root"))
-    out = read.select("vec_id", "key").join(unique.select("key", "node", "copies"), "key", "left").join(links, "node", "left").join(groups, "node", "left")
-    near = F.coalesce("root", "node", "vec_id")
-    near = F.when(F.col("vec_id").isNull(), F.col("vec_id")).otherwise(near)
-    n = F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0)))
+    least = cut(groups.join(unique.select("node", "class_id"), "node").groupBy("root").agg(F.min("class_id").alias("component_id")), "least")
+    linked_to = links.join(groups.join(least, "root").select("node", "component_id"), "node")
+    verdict = cut(unique.select("node", "class_id", "copies").join(linked_to, "node", "left").withColumnRenamed("node", "key"), "verdict")
+    release(unique, found, groups, least)
+    out = read.select("vec_id", "key").join(verdict, "key", "left")
+    named = F.col("vec_id").isNotNull()
+    near = F.when(named, F.coalesce("component_id", "class_id", "vec_id"))
+    n = F.when(named, F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).otherwise(0)
     return out.select("vec_id", n.cast("long").alias("n_links"), near.alias("component_id"), F.coalesce(F.col("vec_id") == near, F.lit(True)).alias("kept"))

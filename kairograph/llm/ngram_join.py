@@ -19,7 +19,6 @@ Bands follow from the threshold: a pair at it shares no band with probability ``
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from math import comb, isqrt
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import cut, in_worker, parallelism, pick, release, ship
-from kairograph.llm.components import components, forest
+from kairograph.llm.components import components, linked
 from kairograph.llm.substring_dedup import BASES, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -191,13 +190,8 @@ def _ties(threshold: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = _parts(pdf)
-        out = pd.DataFrame({"a": pd.Series(dtype="object"), "b": pd.Series(dtype="object")})
-        if all(map(len, parts)):
-            i, j = _near(parts, threshold)
-            nodes = [p["node"].tolist() for p in parts]
-            root = forest((nodes[0][x], nodes[1][y]) for x, y in zip(i.tolist(), j.tolist(), strict=True))
-            out = pd.DataFrame({"a": list(root), "b": list(root.values())}, columns=["a", "b"], dtype="object")
-        return out
+        near = _near(parts, threshold) if all(map(len, parts)) else (np.zeros(0, dtype=np.int64),) * 2
+        return linked([p["node"].tolist() for p in parts], [np.ones(len(p)) for p in parts], [near])[["node", "root"]]
 
     return run
 
@@ -207,27 +201,16 @@ def _verify(threshold: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = _parts(pdf)
-        empty = pd.DataFrame({"node": pd.Series(dtype="object"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="object")})
-        if not all(map(len, parts)):
-            return empty
-        sets = [[np.frombuffer(s, dtype=np.uint64) for s in p["set"]] for p in parts]
-        i, j = _near(parts, threshold)
-        both = intersections(*sets, i, j)
-        sizes = [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
-        # |A & B| / |A | B| >= threshold, in integers
-        good = both * ratio.denominator >= ratio.numerator * (sizes[0][i] + sizes[1][j] - both)
-        i, j = i[good], j[good]
-        if not len(i):
-            return empty
-        nodes = [p["node"].tolist() for p in parts]
-        copies = [p["copies"].to_numpy() for p in parts]
-        links: Counter = Counter()
-        for names, here, n in ((nodes[0], i, copies[1][j]), (nodes[1], j, copies[0][i])):
-            for k, v in enumerate(np.bincount(here, n, len(names)).astype(np.int64).tolist()):
-                if v:
-                    links[names[k]] += v
-        root = forest((nodes[0][x], nodes[1][y]) for x, y in zip(i.tolist(), j.tolist(), strict=True))
-        return pd.DataFrame({"node": list(links), "links": list(links.values()), "root": [root[x] for x in links]}).astype({"links": "int64"})
+        pairs = []
+        if all(map(len, parts)):
+            sets = [[np.frombuffer(s, dtype=np.uint64) for s in p["set"]] for p in parts]
+            i, j = _near(parts, threshold)
+            both = intersections(*sets, i, j)
+            sizes = [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
+            # |A & B| / |A | B| >= threshold, in integers
+            good = both * ratio.denominator >= ratio.numerator * (sizes[0][i] + sizes[1][j] - both)
+            pairs = [(i[good], j[good])]
+        return linked([p["node"].tolist() for p in parts], [p["copies"].to_numpy() for p in parts], pairs)
 
     return run
 
@@ -263,9 +246,9 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
         same = cut(same.groupBy("size", "sum").agg(F.min("band").alias("band")).select("band"), "same")
         held = large.select("band", "size", "node").join(same, "band", "left_semi").join(values, "node")
         blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("size") / SMALL), F.lit(busy(spark)))).cast("int")
-        more = cut(_dealt(held, "band", blocks).select("band", "i", "j", "block", "node", "values").groupBy("band", "i", "j").applyInPandas(_ties(threshold), "a binary, b binary"), "ties")
+        more = cut(_dealt(held, "band", blocks).select("band", "i", "j", "block", "node", "values").groupBy("band", "i", "j").applyInPandas(_ties(threshold), "node binary, root binary"), "ties")
         release(clusters, same)
-        clusters = components(edges.unionByName(more))
+        clusters = components(edges.union(more))
         release(more)
     release(members, edges, torn)
     return clusters
@@ -319,10 +302,10 @@ def _joined(docs: DataFrame, threshold: float) -> DataFrame:
     release(reps, clusters, sizes)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select("node", "root"))
-    least = groups.join(classes.select("digest", "class_id"), groups["node"] == classes["digest"]).groupBy("root").agg(F.min("class_id").alias("component_id"))
+    least = cut(groups.join(classes.select("digest", "class_id"), groups["node"] == classes["digest"]).groupBy("root").agg(F.min("class_id").alias("component_id")), "least")
     linked = links.join(groups.join(least, "root").select("node", "component_id"), "node").withColumnRenamed("node", "digest")
     verdict = cut(classes.where("rows > 1").select("digest", "class_id", "copies").join(linked, "digest", "full"), "verdict")
-    release(found, groups, classes)
+    release(found, groups, classes, least)
     result = sketches.select("doc_id", "k1", "k2", "digest").join(verdict, "digest", "left")
     named = F.col("doc_id").isNotNull()
     near = F.when(named, F.coalesce("component_id", "class_id", "doc_id"))

@@ -27,7 +27,7 @@ def test_embeddings_match_all_pairs(spark, monkeypatch):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
     odd = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [float("inf")] + [1.0] * 15), (1005, [None] * 16), (1006, [1.0] * 3), (1007, [2.0] * 3)]
     monkeypatch.setattr(embedding_dedup, "PER_CELL", 40)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 16 * 16 * 8)
     df = awkward(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)))
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.dedup_embeddings(df).collect()}
     m = np.array([v for _, v in rows])
@@ -39,6 +39,13 @@ def test_embeddings_match_all_pairs(spark, monkeypatch):
     assert embedding_dedup.dedup_embeddings(df.limit(0)).count() == 0
 
 
+def test_vectors_large_small_or_several_of_one_id(spark):
+    rows = [(1, [1e200, 1.0]), (2, [1.0, 0.0]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0]), (5, [0.0, 1e300]), (7, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.1]), (8, [0.0, 2.0, 0.0]), (8, [0.0, 2.0, 0.0]), (None, [0.0, 1.0, 0.0])]
+    got = sorted((tuple(r) for r in embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    # the second vector of 7 links with its first and with 8, those two with each other and with it
+    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (8, 2, 7, False), (None, 0, None, True)], key=str)
+
+
 def test_recordings_align_where_they_share_a_stretch(spark):
     rnd = random.Random(6)
     words = lambda n: [f"w{rnd.randrange(10**8)}" for _ in range(n)]
