@@ -1,21 +1,27 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token counts are summed over the cells of (source, language, topic). Raking multiplies the cells by
+Token counts are summed over the cells of (source, language, topic). Raking multiplies the values of each dimension by
 factors until every marginal has its target share, and a document is sampled with its
 cell's factor over the largest. Only cells are raked, so the work of a round does not depend on
-the number of documents; cells stay a distributed table, and each marginal is a window sum over it.
+the number of documents. Cells stay a distributed table that is summed by value with partial aggregation, so that a
+value which all cells share is no task of its own; the factors, a row for each value, are written once a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import cut, release
 
 #: Target shares are the observed ones to these powers, where no targets are given.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
-ROUNDS, ROUNDS_A_WRITE = 15, 5
+#: Raking goes on until no marginal is off by more than ``TOLERANCE`` of its target before it is set, for ``MOST_ROUNDS`` at
+#: most, and stops where ``STALL`` rounds have not brought that down; the SQL does ``ROUNDS``.
+ROUNDS, MOST_ROUNDS, STALL, TOLERANCE = 15, 100, 10, 1e-11
 SEED = "mix-1"
 #: Cells are broadcast up to this many rows (four short values each), beyond it joined by shuffle.
 BROADCAST_CELLS = 100_000
@@ -33,51 +39,71 @@ def topic_of(text: Column, tokens: Column) -> Column:
     return F.when(text.contains("icense"), "legal").when(text.rlike("[0-9]"), "data").when(tokens < 100, "short").when(tokens < 1000, "article").otherwise("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """Uniform number in [0, 1) fixed by seed and id: 52 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(NONE))))
+def draw(doc_id: Column, seed: str = SEED, text: Column | None = None) -> Column:
+    """Uniform number in [0, 1) fixed by seed and id: 52 bits of a digest. Without id the text's digest stands for it."""
+    other = F.lit(NONE) if text is None else F.concat(F.lit(NONE), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), other)))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, rounds: int = MOST_ROUNDS) -> DataFrame:
     """cells: the dimensions of ``temper`` and ``tokens``. Adds ``factor``. targets: for a dimension, rows of
     (its value, share); values without tokens are left out, and shares of the rest scaled to one.
-    A value without tokens or target keeps its factor, so its weight is not moved."""
+    A value without tokens or target keeps its factor, so its weight is not moved. Targets that contradict each other, or that
+    ``rounds`` do not reach, give a warning with what a marginal was off by in the last round."""
     dims = list(temper)
-    shares = {}
+    goals = None
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0
     for d in dims:
-        seen = cells.groupBy(d).agg(F.sum("tokens").alias("_n")).where("_n > 0")
+        seen = cells.groupBy(F.col(d).cast("string").alias("value")).agg(F.sum("tokens").alias("_n"))
         if targets and d in targets:
-            share = seen.join(targets[d].toDF(d, "_share"), d).select(d, "_share").where("_share > 0")
+            share = seen.join(targets[d].toDF("value", "_share"), "value", "left").withColumn("_share", F.when((F.col("_n") > 0) & (F.col("_share") > 0), F.col("_share")))
         else:
-            share = seen.select(d, F.pow(F.col("_n").cast("double"), F.lit(temper[d])).alias("_share"))
-        whole = share.agg(F.sum("_share")).first()[0]
-        shares[d] = share.select(d, (F.col("_share") / F.lit(whole)).alias(f"_to_{d}"))
-    state = cells
-    for d in dims:
-        state = state.join(shares[d], d, "left")
-    grand = F.lit(cells.agg(F.sum("tokens")).first()[0])
-    state = cut(state.withColumn("factor", F.lit(1.0)), "cells")
-    done = 0
-    while done < rounds:
-        before = state
-        for _ in range(min(ROUNDS_A_WRITE, rounds - done)):
-            for d in dims:
-                now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(d))
-                state = state.withColumn("factor", F.when((now > 0) & F.col(f"_to_{d}").isNotNull(), F.col("factor") * (F.col(f"_to_{d}") * grand / now)).otherwise(F.col("factor")))
-            done += 1
-        state = cut(state, "cells")
-        release(before)
-    return state.select(*dims, "tokens", "factor")
-
-
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None, report: bool = False) -> DataFrame:
+            share = seen.withColumn("_share", F.when(F.col("_n") > 0, F.pow(F.col("_n").cast("double"), F.lit(temper[d]))))
+        total = share.agg(F.sum("_share")).first()[0] or 1.0
+        part = share.select(F.lit(d).alias("dim"), "value", (F.col("_share") / F.lit(total) * F.lit(float(whole))).alias("goal"))
+        goals = part if goals is None else goals.unionByName(part)
+    goals = cut(goals, "goals")
+    factors = cut(goals.select("dim", "value", F.lit(1.0).alias("factor")), "factors")
+
+    def weighed(by: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+        """Cells with the factors of some dimensions, and their product."""
+        out = cells
+        for d, f in by.items():
+            out = out.join(f.select(F.col("value").alias(f"_v_{d}"), F.col("factor").alias(f"_f_{d}")), F.col(d).cast("string") == F.col(f"_v_{d}"))
+        return out, reduce(lambda a, b: a * b, [F.col(f"_f_{d}") for d in by])
+
+    of = lambda table, d: table.where(F.col("dim") == d).select("value", *[c for c in table.columns if c not in ("dim", "value")])
+    off = [0.0]
+    for done in range(1, rounds + 1):
+        now = {d: of(factors, d) for d in dims}
+        for d in dims:
+            rows, weight = weighed({k: f for k, f in now.items() if k != d})
+            sums = rows.groupBy(F.col(d).cast("string").alias("value")).agg(F.sum(F.col("tokens") * weight).alias("sum"))
+            now[d] = of(goals, d).join(sums, "value").select("value", F.when((F.col("sum") > 0) & F.col("goal").isNotNull(), F.col("goal") / F.col("sum")).otherwise(F.lit(1.0)).alias("factor"))
+        after = cut(reduce(DataFrame.unionByName, [f.select(F.lit(d).alias("dim"), "value", "factor") for d, f in now.items()]), "factors")
+        # what a factor changes by is what its marginal was off by
+        off.append(after.join(factors.withColumnRenamed("factor", "before"), ["dim", "value"]).agg(F.max(F.abs(F.col("factor") / F.col("before") - 1))).first()[0] or 0.0)
+        release(factors)
+        factors = after
+        if off[-1] <= TOLERANCE or done > 2 * STALL and off[-1] > 0.9 * off[-1 - STALL]:
+            break
+    if off[-1] > 1e-6:
+        warnings.warn(f"marginals are not met after {len(off) - 1} rounds: one was off by {off[-1]:.2g} of its target", stacklevel=2)
+    rows, weight = weighed({d: of(factors, d) for d in dims})
+    out = cut(rows.select(*dims, "tokens", weight.alias("factor")), "raked")
+    release(goals, factors)
+    return out
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, rounds: int = MOST_ROUNDS, seed: str = SEED, topic: Column | None = None, report: bool = False) -> DataFrame:
     """Sample documents so that expected token shares meet the targets. Columns and rows of ``docs``
     that are drawn; with ``report``, for every row ``doc_id, tokens, topic, probability, kept``.
 
     Null sources and languages form a value of their own. A document without tokens, null or empty,
     takes its cell's probability, or 1 where no document of the cell has tokens. Rows of one ``doc_id`` in one cell
-    are drawn together. An empty table gives an empty result. Extra columns pass through."""
+    are drawn together, and so are rows without ``doc_id`` of one text. Texts of any length count whole. An empty table
+    gives an empty result. Extra columns pass through."""
     names = docs.columns
     at = {n: F.col(f"_c{names.index(n)}") for n in ("doc_id", "text", "source", "lang")}
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
@@ -87,17 +113,18 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: di
     plain = plain.withColumns({"source": F.coalesce(at["source"].cast("string"), F.lit(NONE)), "lang": F.coalesce(at["lang"].cast("string"), F.lit(NONE)), "topic": kind})
     dims = list(temper)
     cells = cut(plain.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = cut(rake(cells, targets, temper, rounds), "raked")
+    raked = rake(cells, targets, temper, rounds)
+    release(cells)
     most = raked.where("tokens > 0").agg(F.max("factor")).first()[0]
     odds = raked.select(*dims, F.coalesce(F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / F.lit(most))), F.lit(1.0)).alias("probability"))
     odds = F.broadcast(odds) if raked.count() <= BROADCAST_CELLS else odds
-    drawn = plain.join(odds, dims).withColumn("kept", draw(at["doc_id"], seed) < F.col("probability"))
+    drawn = plain.join(odds, dims).withColumn("kept", draw(at["doc_id"], seed, at["text"]) < F.col("probability"))
     if report:
         return drawn.select(at["doc_id"].alias("doc_id"), "tokens", "topic", "probability", "kept")
     return drawn.where("kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def mixing_sql(rounds: int = ROUNDS, temper: dict[str, float] = TEMPER, seed: str = SEED, source: str = "documents") -> str:
+def mixing_sql(rounds: int = ROUNDS, temper: dict[str, float] = TEMPER, seed: str = SEED, source: str = "documents", targets: dict[str, dict[str, float]] | None = None) -> str:
     """The report of ``mix`` over ``source`` as DuckDB SQL: the rounds are unrolled."""
     dims = list(temper)
     steps = [
@@ -108,7 +135,11 @@ def mixing_sql(rounds: int = ROUNDS, temper: dict[str, float] = TEMPER, seed: st
         f"s0 AS (SELECT {', '.join(dims)}, sum(tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS factor FROM d GROUP BY ALL)",
     ]
     for name in dims:
-        steps.append(f"m_{name} AS (SELECT {name}, pow(sum(tokens), {temper[name]}) AS share FROM s0 GROUP BY 1 HAVING sum(tokens) > 0)")
+        if targets and name in targets:
+            given = ", ".join(f"('{v}', {share!r}::DOUBLE)" for v, share in targets[name].items())
+            steps.append(f"m_{name} AS (SELECT {name}, any_value(share) AS share FROM s0 JOIN (VALUES {given}) g(v, share) ON v = {name} GROUP BY 1 HAVING sum(tokens) > 0)")
+        else:
+            steps.append(f"m_{name} AS (SELECT {name}, pow(sum(tokens), {temper[name]}) AS share FROM s0 GROUP BY 1 HAVING sum(tokens) > 0)")
         steps.append(f"t_{name} AS (SELECT {name}, share / (SELECT sum(share) FROM m_{name}) * (SELECT sum(tokens) FROM s0) AS goal FROM m_{name})")
     k = 0
     for _ in range(rounds):
@@ -118,5 +149,5 @@ def mixing_sql(rounds: int = ROUNDS, temper: dict[str, float] = TEMPER, seed: st
             steps.append(f"s{k + 1} AS MATERIALIZED (SELECT {keep}, s.tokens, CASE WHEN now > 0 AND goal IS NOT NULL THEN factor * (goal / now) ELSE factor END AS factor FROM s{k} s JOIN n{k + 1} USING ({name}) LEFT JOIN t_{name} USING ({name}))")
             k += 1
     steps.append(f"odds AS (SELECT {', '.join(dims)}, CASE WHEN tokens > 0 THEN least(1.0, factor / (SELECT max(factor) FROM s{k} WHERE tokens > 0)) ELSE 1.0 END AS probability FROM s{k})")
-    u = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '{NONE}')), 1, 13))::BIGINT / {float(16**13)!r}"
+    u = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '{NONE}' || md5(coalesce(text, '')))), 1, 13))::BIGINT / {float(16**13)!r}"
     return f"WITH {', '.join(steps)} SELECT doc_id, d.tokens, d.topic, round(probability, 9) AS probability, {u} < probability AS kept FROM d JOIN odds USING ({', '.join(dims)})"

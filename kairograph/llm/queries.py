@@ -18,8 +18,13 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "record_id", "refers_to", "warc_type", "target_uri", warc.digest(F.col("source_headers")).alias("source_headers_digest"), "source_digest", "block_digest", "content_length")
 
 
+#: Shares that the mix shall have: of languages and topics; sources keep their observed shares, tempered.
+MIX = {"lang": {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1}, "topic": {"article": 0.5, "long": 0.25, "data": 0.15, "short": 0.08, "legal": 0.02}}
+
+
 def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"), report=True)
+    shares = {name: spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in of.items() for x in pair])).alias("value", "share")) for name, of in MIX.items()}
+    out = mixing.mix(table(spark, sf_dir, "documents"), shares, report=True)
     return out.withColumn("probability", F.round("probability", 9))
 
 
@@ -74,20 +79,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
+_TRIM = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_derivatives": warc.derivative_sql(),
-    "op2_mixing_weights": mixing.mixing_sql(),
+    "op2_mixing_weights": mixing.mixing_sql(targets=MIX),
     "op4_license_scan": licenses.license_sql(),
     "op5_line_dedup": f"""
-        WITH firsts AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
-        lines AS (
-            SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+        WITH lines AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
                    generate_subscripts(string_split(text, chr(10)), 1) AS pos
             FROM documents WHERE text IS NOT NULL),
         common AS (
-            SELECT trim(line) AS line FROM lines SEMI JOIN firsts USING (doc_id, text) WHERE trim(line) <> ''
-            GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}),
-        judged AS (SELECT l.*, c.line IS NULL AS stays FROM lines l LEFT JOIN common c ON trim(l.line) = c.line)
+            SELECT {_TRIM} AS line FROM lines WHERE {_TRIM} <> ''
+            GROUP BY ALL HAVING count(DISTINCT coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}),
+        judged AS (SELECT l.*, c.line IS NULL AS stays FROM lines l LEFT JOIN common c ON {_TRIM.replace("line", "l.line")} = c.line)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
                md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_md5
         FROM judged GROUP BY doc_id

@@ -2,10 +2,12 @@
 
 import random
 import struct
+import warnings
 import zlib
 from collections import Counter
 
 import public_tokenizers
+import pytest
 from helpers import awkward, docs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -94,13 +96,31 @@ def test_raked_shares_meet_their_targets(spark):
     assert round(weight(lang="x") / weight(), 6) == round(mass["x"] / sum(mass.values()), 6)
 
 
+def test_targets_are_met_or_reported(spark):
+    # sources tied to a language converge slowly, contradicting targets not at all
+    cells = [("a", "x", "p", 900), ("a", "y", "p", 90), ("b", "y", "p", 700), ("b", "x", "p", 70), ("c", "x", "q", 50), ("c", "y", "q", 5)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    share = lambda rows: spark.createDataFrame(rows, "v string, share double")
+    goal = {"source": share([("a", 0.45), ("b", 0.5), ("c", 0.05)]), "lang": share([("x", 0.6), ("y", 0.4)]), "topic": share([("p", 0.95), ("q", 0.05)])}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        out = mixing.rake(df, goal).collect()
+    total = sum(r["tokens"] * r["factor"] for r in out)
+    for column, value, want in (("source", "a", 0.45), ("lang", "y", 0.4), ("topic", "q", 0.05)):
+        assert abs(sum(r["tokens"] * r["factor"] for r in out if r[column] == value) / total - want) < 1e-9
+    bad = {**goal, "topic": share([("p", 0.5), ("q", 0.5)])}
+    with pytest.warns(UserWarning, match="marginals are not met after 4 rounds"):
+        mixing.rake(df, bad, rounds=4)
+
+
 def test_mixing_handles_awkward_rows(spark):
-    rows = [(i, "word " * (i % 7 + 1), f"s{i % 3}") for i in range(200)] + [(500, None, None), (501, "", "s0"), (1, "word word", "s1"), (None, "x y", "s2")]
+    rows = [(i, "word " * (i % 7 + 1), f"s{i % 3}") for i in range(200)] + [(500, None, None), (501, "", "s0"), (1, "word word", "s1"), (None, "x y", "s2"), (502, "word " * 300_000, "s1")]
     df = awkward(docs(spark, rows).drop("tokens"))
-    report = mixing.mix(df, report=True).cache()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # so few rows do not allow all shares
+        report, kept = mixing.mix(df, report=True, rounds=3).cache(), mixing.mix(df, rounds=3).cache()
     assert report.count() == len(rows) and report.where("probability < 0 or probability > 1 or probability is null").count() == 0
     assert report.agg(F.max("probability")).first()[0] == 1.0
-    kept = mixing.mix(df)
     assert kept.columns == df.columns
     assert Counter(r[0] for r in kept.select("doc_id").collect()) == Counter(r[0] for r in report.where("kept").select("doc_id").collect())
     assert mixing.mix(df.limit(0)).count() == 0
