@@ -12,7 +12,7 @@ from kairograph.llm import line_dedup, ngram_join, substring_dedup
 
 def plain_substrings(rows, window):
     words = [WORD.findall(t or "") for _, t in rows]
-    order = [2**63 if d is None else d for d, _ in rows]
+    order = [2**64 if d is None else d for d, _ in rows]
     first = {}
     for d, w in zip(order, words, strict=True):
         for i in range(len(w) - window + 1):
@@ -45,6 +45,16 @@ def test_substrings_match_the_plain_version(spark):
     assert kept[3] == rows[1][1] and len(kept[5].split()) == 50
 
 
+def test_substrings_of_repeated_rows_and_the_largest_id(spark, monkeypatch):
+    rnd = random.Random(13)
+    passage = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(80))
+    rows = [(7, "x " + passage)] * 1000 + [(2**63 - 1, passage + " y"), (None, passage + " z"), (None, "x " + passage), (-(2**63), passage[:300]), (3, passage), (2**63 - 1, passage)]
+    for ids in (10**6, 0):
+        monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", ids)
+        got = substring_dedup.dedup_substrings(docs(spark, rows)).collect()
+        assert sorted((tuple(r) for r in got), key=str) == plain_substrings(rows, 50)
+
+
 def test_own_quarters_are_the_least_of_each_window():
     import numpy as np
 
@@ -59,17 +69,40 @@ def test_lines_spread_over_sites_go(spark):
     copies = [(100 + i, "copied document\nof two lines", f"site{i}") for i in range(20)]
     seven = [(200 + i, f"b{i}\nalmost", f"site{i}") for i in range(7)]
     df = awkward(docs(spark, rows + copies + seven))
-    out = line_dedup.dedup_lines(df)
+    out = line_dedup.dedup_lines(df, copies_once=True)
     assert out.columns == df.columns and out.count() == df.count()
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert got[0] == ("own 0\n", 6) and got[8] == ("last", 4) and got[9] == (None, 0) and got[10] == ("", 0) and got[11][0] == "only here"
     assert got[100][0] == "copied document\nof two lines"  # whole copies count once
     assert got[200][0] == "b0\nalmost"
+    every = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert every == {d: ("", 0) if 100 <= (d or 0) < 120 else v for d, v in got.items()}  # on 20 sites, copied or not
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
     report = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(df, report=True).collect()}
     assert report[0] == (4, 2) and report[9] == (0, 0) and report[8] == (3, 2)
 
 
+def test_lines_match_the_plain_version(spark, monkeypatch):
+    rnd = random.Random(14)
+    pool = [f"line {k}" for k in range(30)] + ["", " ", "\t"]
+    rows = [(k if k % 17 else None, "\n".join(rnd.choice(pool) + rnd.choice(["", "\r", " \t"]) for _ in range(rnd.randrange(1, 6))), rnd.choice(["a", "b", "c", "d", None])) for k in range(60)]
+    rows += [(99, "line 1\n" * 50_000 + "own", "a"), (98, None, "b"), rows[3], rows[3], (97, rows[3][1], "z")]
+    sites = {}
+    for _, text, site in rows:
+        for x in (text or "").split("\n"):
+            sites.setdefault(x.strip(line_dedup.BLANK), set()).add(site)
+    gone = {x for x, v in sites.items() if x and len(v) >= 4}
+    want = []
+    for d, text, _ in rows:
+        left = None if text is None else [x for x in text.split("\n") if x.strip(line_dedup.BLANK) not in gone]
+        want.append((d, len(text.split("\n")) if text is not None else 0, len(text.split("\n")) - len(left) if text is not None else 0, None if left is None else "\n".join(left)))
+    assert 3 < len(gone) < 28
+    for ids in (10**6, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_IDS", ids)
+        got = line_dedup.dedup_lines(awkward(docs(spark, rows)), min_sites=4, report=True).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_spread_near_and_far_from_the_threshold(spark):
     rows = [(h, f"s{k}") for h, n in ((1, 1), (2, 19), (3, 20), (4, 21), (5, 500)) for k in range(n) for _ in range(3)]
     got = {r["h"]: r["sites"] for r in line_dedup.boilerplate(spark.createDataFrame(rows, "h long, site string"), 20).collect()}
