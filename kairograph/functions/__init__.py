@@ -4,7 +4,6 @@ from kairograph.functions.expressions import (
     choose,
     delta_of,
     fold_intervals,
-    literal_string,
     local_name,
     overlaps,
     pair_count,
@@ -13,4 +12,4 @@ from kairograph.functions.expressions import (
     rule_support,
 )
 
-__all__ = ["choose", "delta_of", "fold_intervals", "literal_string", "local_name", "overlaps", "pair_count", "parse_resource_uri", "pattern_support", "rule_support"]
+__all__ = ["choose", "delta_of", "fold_intervals", "local_name", "overlaps", "pair_count", "parse_resource_uri", "pattern_support", "rule_support"]

@@ -83,7 +83,3 @@ def parse_resource_uri(uri: Column, prefix: int = MOVIE_PREFIX) -> Column:
     vtype, name = F.try_element_at(parts, F.lit(1)), F.try_url_decode(F.try_element_at(parts, F.lit(2)))
     whole = vtype.isNotNull() & (vtype != "") & name.isNotNull() & (name != "")
     return F.when(whole, F.struct(vtype.alias("vtype"), name.alias("id"), F.concat(name, F.lit("-"), vtype).alias("vertex_uri")))
-
-
-def literal_string(vtype: Column, attr: Column, val: Column) -> Column:
-    return F.concat(vtype, F.lit("."), attr, F.lit("="), val)

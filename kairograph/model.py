@@ -123,14 +123,16 @@ class PatternNode:
     level: int
     support: float | None = None
     parents: list[PatternNode] = field(default_factory=list)
+    center_parent: PatternNode | None = None
     pruned: bool = False
     minimal: list[Dependency] = field(default_factory=list)
+    minimal_constant: list[Dependency] = field(default_factory=list)
 
-    def inherited(self) -> list[Dependency]:
-        """Minimal dependencies of this pattern and all its ancestors."""
-        out = list(self.minimal)
+    def inherited(self, constant: bool = False) -> list[Dependency]:
+        """Minimal dependencies, or minimal constant ones, of this pattern and all its ancestors."""
+        out = list(self.minimal_constant if constant else self.minimal)
         for p in self.parents:
-            out += [d for d in p.inherited() if d not in out]
+            out += [d for d in p.inherited(constant) if d not in out]
         return out
 
 

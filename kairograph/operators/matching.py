@@ -61,6 +61,57 @@ def match(g: Graph, pattern: Pattern, active: Active, mode: str = "structural",
     return rows.select("t", F.col("uri").alias("center_uri"), *[F.col(f"`{c}`") for c in names], "n").where(valid(names, at_least))
 
 
+def _below(g: Graph, pattern: Pattern, vtype: str, came: Edge | None, rows, by: list[str], folded) -> DataFrame:
+    """Rows of a vertex type joined with those of the subtrees under it. rows: vertex type -> t, uri, columns; what
+    reaches a parent is grouped by ``by`` and the subtree's own columns and folded by ``folded``."""
+    out = rows(vtype)
+    for e in pattern.incident(vtype):
+        if e == came:
+            continue
+        below = _below(g, pattern, e.other(vtype), e, rows, by, folded)
+        near, far = ("src", "dst") if e.src == vtype else ("dst", "src")
+        hop = g.edges.where(F.col("label") == e.label).select("t", F.col(near).alias("_near"), F.col(far).alias("uri"))
+        own = [c for c in below.columns if c.startswith("v__")]
+        part = hop.join(below, ["t", "uri"]).groupBy(F.col("t"), F.col("_near").alias("uri"), *own, *by).agg(folded)
+        part = part.withColumnsRenamed({c: f"_{c}" for c in ("filled", "n") if c in part.columns})
+        out = out.join(part, ["t", "uri"]).withColumn("filled", F.col("filled") + F.col("_filled"))
+        out = out.withColumn("n", F.col("n") * F.col("_n")) if "_n" in out.columns else out
+        out = out.drop("_filled", "_n")
+    return out
+
+
+def _filled(attrs: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.col("attrs")[a].isNotNull().cast("int") for a in attrs], F.lit(0)).alias("filled")
+
+
+def match_counts(g: Graph, pattern: Pattern, active: Active, at_least: int | None = None) -> DataFrame:
+    """``entity_counts`` of the structural matches, without their values: center_uri, t, n. What moves is how many combinations
+    below a vertex hold how many values."""
+    at_least = len(pattern.vertices) + 1 if at_least is None else at_least
+    rows = lambda v: g.vertices.where(F.col("vtype") == v).select("t", "uri", _filled(active.get(v, [])), F.lit(1).cast("long").alias("n"))
+    out = _below(g, pattern, pattern.center, None, rows, ["filled"], F.sum("n").alias("n"))
+    return out.where(F.col("filled") >= at_least).groupBy(F.col("uri").alias("center_uri"), "t").agg(F.sum("n").alias("n"))
+
+
+def match_choices(g: Graph, pattern: Pattern, active: Active, at_least: int | None = None) -> DataFrame:
+    """Of the structural matches, all sets of values with one attribute of every vertex: t, cells (one (vtype, attr,
+    val) for each vertex type, in order of their names), each once a snapshot. Choosing at the leaves keeps the values of several
+    attributes of a vertex from multiplying with those of all others."""
+    at_least = len(pattern.vertices) + 1 if at_least is None else at_least
+
+    def rows(v: str) -> DataFrame:
+        attrs = active.get(v, [])
+        each = F.array(*[F.struct(F.lit(v).alias("vtype"), F.lit(a).alias("attr"), F.col("attrs")[a].alias("val")) for a in attrs])
+        own = g.vertices.where(F.col("vtype") == v).select("t", "uri", _filled(attrs), F.explode(each).alias(f"v__{v}"))
+        return own.where(F.col(f"`v__{v}`")["val"].isNotNull())
+
+    if not all(active.get(v) for v in pattern.vertices):
+        return g.vertices.where("false").select("t", F.array(F.struct(F.lit("").alias("vtype"), F.lit("").alias("attr"), F.lit("").alias("val"))).alias("cells"))
+    out = _below(g, pattern, pattern.center, None, rows, [], F.max("filled").alias("filled"))
+    order = sorted(pattern.vertices, key=lambda v: column(v, ""))
+    return out.where(F.col("filled") >= at_least).select("t", F.array(*[F.col(f"`v__{v}`") for v in order]).alias("cells")).distinct()
+
+
 def _crossed(g: Graph, pattern: Pattern, active: Active) -> DataFrame:
     """Centres whose neighbourhood has exactly the edge types of the pattern; every combination of neighbours,
     one of each type, counts."""

@@ -55,3 +55,8 @@ def signatures(g: Graph, center_type: str, hops: int, types: list[str]) -> DataF
     along = F.col("dir") == 0
     sig = F.concat_ws(" ", F.when(along, F.col("prev_type")).otherwise(F.col("vtype")), "label", F.when(along, F.col("vtype")).otherwise(F.col("prev_type")))
     return tree.groupBy("t", "center").agg(F.array_sort(F.collect_set(sig)).alias("signature"))
+
+
+def fragment_jobs(g: Graph, fragments: DataFrame, center_type: str) -> DataFrame:
+    """fragments: uri, fragment. The centres that each fragment's job starts from: t, uri, fragment."""
+    return g.vertices.where(F.col("vtype") == center_type).select("t", "uri").join(fragments.select("uri", "fragment"), "uri").select("t", "uri", "fragment")

@@ -37,9 +37,19 @@ def value_groups(matches: DataFrame, dependencies: list[Dependency]) -> DataFram
     return out
 
 
-def entity_counts(groups: DataFrame) -> DataFrame:
+def choice_groups(choices: DataFrame) -> DataFrame:
+    """choices: t and cells, as ``match_choices`` gives them, and more columns. Every cell in turn is the right side of the
+    others: those columns, dep, x, y, t. Each group comes from one row, so nothing is shuffled."""
+    name = lambda s: F.concat(s["vtype"], F.lit("__"), s["attr"])
+    others = lambda y: F.filter("cells", lambda s: s["vtype"] != y["vtype"])
+    sides = F.transform("cells", lambda y: F.struct(F.concat(F.array_join(F.transform(others(y), name), ","), F.lit("->"), name(y)).alias("dep"), others(y).alias("x"), y.alias("y")))
+    rest = [c for c in choices.columns if c not in ("t", "cells")]
+    return choices.select(*rest, "t", F.explode(sides).alias("s")).select(*rest, "s.dep", "s.x", "s.y", "t")
+
+
+def entity_counts(groups: DataFrame, by: tuple[str, ...] = ("dep",)) -> DataFrame:
     """dep -> number of distinct left sides."""
-    return groups.select("dep", "x").distinct().groupBy("dep").agg(F.count(F.lit(1)).alias("entities"))
+    return groups.select(*by, "x").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("entities"))
 
 
 def ranked_values(groups: DataFrame) -> DataFrame:
@@ -48,17 +58,31 @@ def ranked_values(groups: DataFrame) -> DataFrame:
     return total.withColumn("rank", F.row_number().over(Window.partitionBy("dep", "x").orderBy(F.desc("n"), "y")))
 
 
+def occurrences(groups: DataFrame, by: tuple[str, ...] = ("dep",)) -> DataFrame:
+    """``by``, x, y, ts: the snapshots (at most T) that hold these values."""
+    return groups.groupBy(*by, "x", "y").agg(F.collect_set("t").alias("ts"))
+
+
 def intervals(groups: DataFrame) -> DataFrame:
     """dep, x, y, p (snapshots), dmin, dmax; pairs of values seen in one snapshot only are absent."""
-    times = groups.groupBy("dep", "x", "y").agg(F.collect_set("t").alias("ts"))  # at most T values
-    return times.select("dep", "x", "y", F.size("ts").alias("p"), delta_of(F.col("ts")).alias("d")).where("d is not null").select("dep", "x", "y", "p", "d.dmin", "d.dmax")
+    return _intervals(occurrences(groups))
+
+
+def _intervals(times: DataFrame) -> DataFrame:
+    rest = [c for c in times.columns if c != "ts"]
+    return times.select(*rest, F.size("ts").alias("p"), delta_of(F.col("ts")).alias("d")).where("d is not null").select(*rest, "p", "d.dmin", "d.dmax")
 
 
 def candidates(groups: DataFrame, timestamps: int, theta: float) -> DataFrame:
     """Constant rules at the threshold, before conflicts: dep, x, y, dmin, dmax, pairs, entities, support."""
-    out = intervals(groups).withColumn("pairs", pair_count(F.col("p"))).join(F.broadcast(entity_counts(groups)), "dep")
+    return candidates_of(occurrences(groups), timestamps, theta)
+
+
+def candidates_of(times: DataFrame, timestamps: int, theta: float, by: tuple[str, ...] = ("dep",)) -> DataFrame:
+    """As ``candidates``, from ``occurrences``."""
+    out = _intervals(times).withColumn("pairs", pair_count(F.col("p"))).join(entity_counts(times, by), list(by))
     out = out.withColumn("support", rule_support(F.col("pairs"), F.col("entities"), timestamps))
-    return out.where(F.col("support") >= theta).select("dep", "x", "y", "dmin", "dmax", "pairs", "entities", "support")
+    return out.where(F.col("support") >= theta).select(*by, "x", "y", "dmin", "dmax", "pairs", "entities", "support")
 
 
 def without_conflicts(found: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -89,6 +113,30 @@ def general_rules(found: DataFrame, by: list[str] | None = None) -> DataFrame:
     return folded_intervals(found, by or ["dep"])
 
 
+def with_variables(general: DataFrame) -> DataFrame:
+    """Adds the sides of a rule between attributes, from the name of its dependency: x (array of (vtype, attr)), y, and support 0."""
+    pair = lambda s: F.struct(F.substring_index(s, "__", 1).alias("vtype"), F.substring(s, F.length(F.substring_index(s, "__", 1)) + 3, F.lit(1 << 30)).alias("attr"))
+    left, right = F.substring_index("dep", "->", 1), F.substring_index("dep", "->", -1)
+    return general.withColumns({"x": F.transform(F.filter(F.split(left, ","), lambda s: s != ""), pair), "y": pair(right), "support": F.lit(0.0)})
+
+
+def finalise_general(general: DataFrame, by: tuple[str, ...] = ("dep", "level")) -> DataFrame:
+    """General rules of all patterns, folded by what they say: intervals of one dependency, found in several patterns,
+    become one rule where they overlap. ``by``, dmin, dmax."""
+    return folded_intervals(general, list(by))
+
+
+def finalise_constants(found: DataFrame, timestamps: int, theta: float) -> DataFrame:
+    """Constant rules of several runs as the result of one: equal ones merged, those below the threshold dropped,
+    contradicting ones removed."""
+    return without_conflicts(merge_rules(found, timestamps).where(F.col("support") >= theta))
+
+
+def by_right_value(found: DataFrame) -> DataFrame:
+    """Rules of one key grouped by the value on the right: key, val, rules (how many intervals)."""
+    return with_keys(found).select("key", F.col("y.val").alias("val"), "dmin", "dmax").distinct().groupBy("key", "val").agg(F.count(F.lit(1)).alias("rules"))
+
+
 def merge_rules(rules: DataFrame, timestamps: int) -> DataFrame:
     """Rules from several runs: equal (x, y) have their intervals folded. A left side and value whose fold is no
     shorter than its intervals keeps them; else the folded intervals take the sum of the pairs that

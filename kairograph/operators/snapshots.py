@@ -130,3 +130,12 @@ def extract(g: Graph, edges: DataFrame) -> Graph:
     kept = g.edges.join(edges.select("t", "src", "dst"), ["t", "src", "dst"], "left_semi")
     ends = kept.select("t", F.explode(F.array("src", "dst")).alias("uri")).distinct()
     return Graph(g.vertices.join(ends, ["t", "uri"], "left_semi"), kept)
+
+
+def rebind(g: Graph, changed: Graph) -> Graph:
+    """The part of a graph that an update speaks of: its vertices that ``changed`` has too, by uri and type, with the attributes that
+    it gives them, and the edges between them."""
+    v = g.vertices.select("t", "uri", "vtype").join(changed.vertices.select("t", "uri", "vtype", "attrs"), ["t", "uri", "vtype"])
+    ends = v.select("t", "uri")
+    e = g.edges.join(ends.withColumnRenamed("uri", "src"), ["t", "src"], "left_semi").join(ends.withColumnRenamed("uri", "dst"), ["t", "dst"], "left_semi")
+    return Graph(v, e)

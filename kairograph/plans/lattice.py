@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from kairograph.model import Dependency, Edge, Pattern, PatternNode, column
+from kairograph.model import Dependency, Edge, Pattern, PatternNode, column, split_column
 from kairograph.operators.matching import Active
 
 
@@ -41,7 +41,7 @@ def has_edge(p: Pattern, e: Edge) -> bool:
 
 def grow(level: list[PatternNode], edges: list[Edge], above: list[PatternNode] = ()) -> list[PatternNode]:
     """Patterns one edge larger than the unpruned ones of a level: each once, none that holds a pruned
-    pattern, with all patterns of the level that they hold as parents."""
+    pattern of the same centre type, with all patterns of the level that they hold as parents."""
     out: list[PatternNode] = []
     made: set[frozenset[Edge]] = set()
     pruned = [n for n in (*above, *level) if n.pruned]
@@ -54,13 +54,25 @@ def grow(level: list[PatternNode], edges: list[Edge], above: list[PatternNode] =
             new = extend(node.pattern, e)
             if new is None or new.key in made:
                 continue
-            if any(holds(new, n.pattern) for n in pruned):
+            if any(barred(new, n.pattern) for n in pruned):
                 continue
             made.add(new.key)
-            out.append(PatternNode(new, node.level + 1, parents=[n for n in level if not n.pruned and holds(new, n.pattern)]))
+            kept = [n for n in level if not n.pruned]
+            out.append(PatternNode(new, node.level + 1, parents=[n for n in kept if holds(new, n.pattern)], center_parent=center_parent(new, kept)))
     return out
 
 
+def barred(new: Pattern, pruned: Pattern) -> bool:
+    """Supports count centres, so they say nothing across centre types; a pruned single vertex bars all that is centred on it."""
+    return new.center == pruned.center and pruned.key <= new.key
+
+
+def center_parent(new: Pattern, level: list[PatternNode]) -> PatternNode | None:
+    """The node with the same edges and centre type, else the first with the same centre type."""
+    same = [n for n in level if n.pattern.center == new.center]
+    return next((n for n in same if n.pattern.key == new.key), same[0] if same else None)
+
+
 def holds(large: Pattern, small: Pattern) -> bool:
     """By edges, or for a single vertex by its type."""
     return small.vertices[0] in large.vertices if not small.edges else small.key <= large.key
@@ -82,6 +94,12 @@ def unpruned(found: list[Dependency], minimal: list[Dependency]) -> list[Depende
     return [d for d in found if not any(d.covers(m) for m in minimal)]
 
 
+def attributes_of(p: Pattern, d: Dependency) -> dict[str, list[str]]:
+    """The pattern's vertices with the attributes that a dependency names on them."""
+    named = [split_column(c) for c in (*d.lhs, d.rhs)]
+    return {v: sorted(a for u, a in named if u == v) for v in p.vertices}
+
+
 def covers_types(path: list[tuple[str, str]], p: Pattern) -> bool:
     """The (type, attribute) pairs of a path touch every vertex type."""
     return set(p.vertices) <= {v for v, _ in path}

@@ -1,11 +1,13 @@
 """The mining run: histogram, pattern growth level by level, rules.
 
-The driver holds patterns and supports only. All candidates of a level are matched and their supports
-computed in one job; all dependencies of a pattern share one pass over its matches."""
+The driver holds patterns and supports only. The graph is written once. All candidates of a level are counted in one job, without
+their values; the values of those that stay are matched in a second one, which serves all their dependencies, and what it
+finds is written once for both kinds of rules."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from kairograph.config import MinerConfig
 from kairograph.model import Dependency, Edge, Graph, PatternNode
 from kairograph.operators import histogram, rules, support
-from kairograph.operators.matching import Active, distinct_matches, entity_counts, match
+from kairograph.operators.matching import Active, distinct_matches, entity_counts, match, match_choices, match_counts
 from kairograph.plans import lattice
+from kairograph.tables import cut, release
 
 
 @dataclass
@@ -44,24 +47,28 @@ def search_space(g: Graph, config: MinerConfig) -> SearchSpace:
 
 @dataclass
 class Result:
+    """Rules, and the tables that they read, which ``drop`` removes."""
+
     constant: DataFrame | None = None
     general: DataFrame | None = None
     levels: list[list[PatternNode]] = field(default_factory=list)
+    tables: list[DataFrame] = field(default_factory=list)
 
     @property
     def patterns(self) -> list[PatternNode]:
         return [n for level in self.levels for n in level]
 
+    def drop(self) -> None:
+        release(*self.tables)
+
 
 def score_level(g: Graph, nodes: list[PatternNode], space: SearchSpace, config: MinerConfig) -> None:
     """Supports of all patterns of a level by one action; those below the threshold are pruned."""
     if not nodes:
         return
     spark = g.vertices.sparkSession
-    counts = None
-    for k, node in enumerate(nodes):
-        part = entity_counts(match(g, node.pattern, space.active, config.match_mode)).withColumn("pattern_id", F.lit(k))
-        counts = part if counts is None else counts.unionByName(part)
+    counted = lambda p: match_counts(g, p, space.active) if config.match_mode == "structural" else entity_counts(match(g, p, space.active, config.match_mode))
+    counts = reduce(DataFrame.unionByName, [counted(n.pattern).withColumn("pattern_id", F.lit(k)) for k, n in enumerate(nodes)])
     centers = spark.createDataFrame([(k, int(space.counts.get(n.pattern.center, 0))) for k, n in enumerate(nodes)], "pattern_id int, centers long")
     for r in support.support_of_patterns(counts, centers, config.timestamps).collect():
         node = nodes[r["pattern_id"]]
@@ -69,50 +76,76 @@ def score_level(g: Graph, nodes: list[PatternNode], space: SearchSpace, config:
         node.pruned = node.support < config.theta_pattern
 
 
-def pattern_rules(g: Graph, node: PatternNode, deps: list[Dependency], space: SearchSpace, config: MinerConfig) -> tuple[DataFrame, DataFrame]:
-    """Candidates and surviving constant rules of one pattern."""
-    found = distinct_matches(match(g, node.pattern, space.active, config.match_mode))
-    cands = rules.candidates(rules.value_groups(found, deps), config.timestamps, config.theta_rule)
-    return cands, rules.without_conflicts(cands)
+def _redundant(nodes: list[PatternNode], groups: DataFrame) -> DataFrame:
+    """Groups without those of dependencies that a minimal one of the pattern or its ancestors covers."""
+    rows = [(n.pattern.name, m.rhs, list(m.lhs)) for n in nodes for m in n.inherited()]
+    if not rows:
+        return groups
+    small = groups.sparkSession.createDataFrame(rows, "pattern_id string, _rhs string, _lhs array<string>")
+    names = F.split(F.substring_index("dep", "->", 1), ",")
+    covered = (F.substring_index("dep", "->", -1) == F.col("_rhs")) & (F.size(F.array_except("_lhs", names)) == 0)
+    return groups.join(F.broadcast(small.withColumnRenamed("pattern_id", "_pattern")), (F.col("pattern_id") == F.col("_pattern")) & covered, "left_anti")
+
+
+def level_occurrences(g: Graph, nodes: list[PatternNode], space: SearchSpace, config: MinerConfig) -> DataFrame:
+    """pattern_id, level, dep, x, y, ts of all dependencies of the patterns, without those that minimal ones cover."""
+    mark = lambda df, n: df.withColumns({"pattern_id": F.lit(n.pattern.name), "level": F.lit(len(n.pattern.vertices))})
+    for n in nodes:  # refuses patterns of too many dependencies
+        lattice.dependencies(n.pattern, space.active, config.max_dependencies)
+    if config.match_mode == "structural":
+        groups = rules.choice_groups(reduce(DataFrame.unionByName, [mark(match_choices(g, n.pattern, space.active), n) for n in nodes]))
+    else:
+        parts = []
+        for n in nodes:
+            found = distinct_matches(match(g, n.pattern, space.active, config.match_mode))
+            parts.append(mark(rules.value_groups(found, lattice.dependencies(n.pattern, space.active)).drop("n"), n))
+        groups = reduce(DataFrame.unionByName, parts)
+    return rules.occurrences(_redundant(nodes, groups), BY)
+
+
+BY = ("pattern_id", "level", "dep")
+
+
+def mine(g: Graph, config: MinerConfig) -> Result:
+    """Constant rules (pattern_id, level, dep, x, y, dmin, dmax, pairs, entities, support) and general rules
+    (pattern_id, level, dep, x, y, dmin, dmax, support), x and y of the latter without values. level counts vertices. The graph
+    and what is matched are written to the shared folder."""
+    result = Result()
 
+    def held(df: DataFrame, label: str) -> DataFrame:
+        result.tables.append(cut(df, label))
+        return result.tables[-1]
 
-def mine(g: Graph, config: MinerConfig, keep: bool = True) -> Result:
-    """Constant rules (kind, pattern_id, level, dep, x, y, dmin, dmax, pairs, entities, support) and general rules
-    (pattern_id, level, dep, dmin, dmax). level counts vertices. With ``keep``, the graph is cached for the run;
-    it is read for every pattern."""
-    if keep:
-        g = Graph(g.vertices.persist(), g.edges.persist())
+    g = Graph(held(g.vertices, "vertices"), held(g.edges, "edges"))
     space = search_space(g, config)
     level = lattice.seeds(space.types)
     seeds = {r["vtype"]: r["support"] for r in support.seed_support(g, config.timestamps).collect()}
     for node in level:
         node.support = seeds.get(node.pattern.center, 0.0)
         node.pruned = node.support < config.theta_pattern
-    result = Result(levels=[level])
+    result.levels.append(level)
     above: list[PatternNode] = []
     for step in range(1, config.k + 1):
         new = lattice.grow(level, space.edges, above)
         if not new:
             break
         score_level(g, new, space, config)
-        for node in new:
-            if node.pruned or len(node.pattern.edges) < config.min_level and (step == config.k or len(node.pattern.vertices) <= 2):
-                continue
-            deps = lattice.unpruned(lattice.dependencies(node.pattern, space.active, config.max_dependencies), node.inherited())
-            if not deps:
-                continue
-            cands, kept = pattern_rules(g, node, deps, space, config)
-            general = rules.general_rules(cands)
-            # Left sides of two attributes or more that give a rule make larger ones redundant in patterns to
-            # come; nothing needs them after the last step.
-            if step < config.k and len(node.pattern.vertices) > 2:
-                by = {d.name: d for d in deps}
-                node.minimal = [by[r["dep"]] for r in general.select("dep").distinct().collect()]
-            if len(node.pattern.edges) < config.min_level:
-                continue
-            mark = lambda df, node=node: df.withColumns({"pattern_id": F.lit(node.pattern.name), "level": F.lit(len(node.pattern.vertices))})
-            result.constant = mark(kept) if result.constant is None else result.constant.unionByName(mark(kept))
-            result.general = mark(general) if result.general is None else result.general.unionByName(mark(general))
         result.levels.append(new)
+        # Left sides of two attributes or more that give a rule make larger ones redundant in patterns to
+        # come; nothing needs them after the last step.
+        asked = [n for n in new if not n.pruned and all(space.active.get(v) for v in n.pattern.vertices) and (len(n.pattern.edges) >= config.min_level or step < config.k and len(n.pattern.vertices) > 2)]
+        if asked:
+            times = held(level_occurrences(g, asked, space, config), "occurrences")
+            found = rules.candidates_of(times, config.timestamps, config.theta_rule, BY)
+            if step < config.k and step > 1:
+                by = {n.pattern.name: n for n in asked}
+                for r in found.select("pattern_id", "dep").distinct().collect():
+                    lhs, _, rhs = r["dep"].partition("->")
+                    by[r["pattern_id"]].minimal.append(Dependency(tuple(lhs.split(",")), rhs))
+            if step >= config.min_level:
+                kept = rules.without_conflicts(found, [*BY, "x"])
+                general = rules.with_variables(rules.general_rules(found, list(BY)))
+                result.constant = kept if result.constant is None else result.constant.unionByName(kept)
+                result.general = general if result.general is None else result.general.unionByName(general)
         above, level = [*above, *level], new
     return result

@@ -9,20 +9,19 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.config import MinerConfig
 from kairograph.functions import parse_resource_uri
 from kairograph.model import Dependency, Edge, Graph, Pattern
 from kairograph.operators import histogram, neighbourhood, rules, snapshots, support
-from kairograph.operators.matching import distinct_matches, entity_counts, match, match_induced
+from kairograph.operators.matching import distinct_matches, entity_counts, match, match_counts, match_induced
 from kairograph.plans import lattice
-from kairograph.plans.miner import mine
 from kairograph.sources import sinks, views
 from kairograph.sources.changes import parse_changes
 
 T = views.YEARS
 PAIRS_OF_T = T * (T + 1) // 2
 ACTIVE = {"customer": ["seg", "tier"], "nation": ["name", "code"], "region": ["name", "code"], "supplier": ["tier", "digit"], "part": ["brand", "ptype"]}
-IN_NATION, IN_REGION, BASED_IN, BOUGHT = Edge("customer", "in_nation", "nation"), Edge("nation", "in_region", "region"), Edge("supplier", "based_in", "nation"), Edge("customer", "bought", "part")
+IN_NATION, IN_REGION, BASED_IN = Edge("customer", "in_nation", "nation"), Edge("nation", "in_region", "region"), Edge("supplier", "based_in", "nation")
+BOUGHT, SUPPLIES = Edge("customer", "bought", "part"), Edge("supplier", "supplies", "part")
 SINGLE = Pattern(("customer", "nation"), (IN_NATION,), "customer")
 PATH = Pattern(("customer", "nation", "region"), (IN_NATION, IN_REGION), "nation")
 STAR = Pattern(("customer", "nation", "region", "supplier"), (IN_NATION, IN_REGION, BASED_IN), "nation")
@@ -34,7 +33,6 @@ DEPENDENCIES = [
     Dependency(("customer__tier", "region__name"), "nation__code"),
 ]
 THETA = 1e-4
-MINER = MinerConfig(timestamps=T, k=2, gamma=20, n_edges=10, theta_pattern=1e-6, theta_rule=THETA)
 TOP_ATTRIBUTES, TOP_EDGES = 3, 4
 
 
@@ -42,28 +40,24 @@ def _g(spark: SparkSession, d: str) -> Graph:
     return views.commerce(spark, d)
 
 
-def _small(spark: SparkSession, d: str) -> Graph:
-    return views.commerce(spark, d, bought=False)
+def _first(spark: SparkSession, d: str) -> Graph:
+    return views.commerce(spark, d, only=0)
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return rules.value_groups(distinct_matches(match(_small(spark, d), PATH, ACTIVE)), DEPENDENCIES)
+    return rules.value_groups(distinct_matches(match(_g(spark, d), PATH, ACTIVE)), DEPENDENCIES)
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return rules.candidates(_groups(spark, d), T, THETA)
 
 
-def _long(df: DataFrame) -> DataFrame:
-    return df.select(F.col("n").cast("long").alias("n"), *[c for c in df.columns if c != "n"])
-
-
 def pattern_support_query(spark: SparkSession, d: str) -> DataFrame:
-    g = _small(spark, d)
+    g = _g(spark, d)
     patterns = [SINGLE, PATH, FORK]
     counts = None
     for k, p in enumerate(patterns):
-        part = entity_counts(match(g, p, ACTIVE)).withColumn("pattern_id", F.lit(k))
+        part = match_counts(g, p, ACTIVE).withColumn("pattern_id", F.lit(k))
         counts = part if counts is None else counts.unionByName(part)
     start = g.vertices.where("t = 0").groupBy("vtype").agg(F.count_distinct("uri").alias("centers"))
     ids = spark.createDataFrame([(k, p.center) for k, p in enumerate(patterns)], "pattern_id int, vtype string").join(start, "vtype").select("pattern_id", "centers")
@@ -102,7 +96,7 @@ def snapshot_vertices_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> Graph:
-    g = _small(spark, d)
+    g = _g(spark, d)
     later = g.at(1)
     again = Graph(later.vertices.select(F.lit(0).alias("t"), "uri", "vtype", F.create_map(F.lit("tier"), F.lit("again")).alias("attrs")), later.edges.select(F.lit(0).alias("t"), "src", "dst", "label"))
     return snapshots.upsert_merge(g.at(0), again)
@@ -125,37 +119,31 @@ def result_lines_query(spark: SparkSession, d: str) -> DataFrame:
     return rules.flat(sinks.parse_rule_lines(sinks.rule_lines(kept)))
 
 
-def flagship_miner(spark: SparkSession, d: str) -> DataFrame:
-    """All constant rules of patterns up to two edges over the commerce graph."""
-    found = mine(_small(spark, d), MINER, keep=False).constant
-    return rules.flat(found).select("pattern_id", "level", "dep", "x", "y", "dmin", "dmax", "pairs", "entities", "support")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "hist_vertex_types": lambda s, d: histogram.vertex_type_counts(_g(s, d).at(0)),
-    "hist_type_attrs": lambda s, d: histogram.type_attributes(_g(s, d).at(0)),
-    "hist_attr_spread": lambda s, d: histogram.attribute_spread(_g(s, d).at(0)),
-    "hist_edge_types": lambda s, d: histogram.edge_type_counts(_g(s, d).at(0)),
+    "hist_vertex_types": lambda s, d: histogram.vertex_type_counts(_first(s, d)),
+    "hist_type_attrs": lambda s, d: histogram.type_attributes(_first(s, d)),
+    "hist_attr_spread": lambda s, d: histogram.attribute_spread(_first(s, d)),
+    "hist_edge_types": lambda s, d: histogram.edge_type_counts(_first(s, d)),
     "hist_all_snapshots": lambda s, d: histogram.edge_type_counts(_g(s, d)),
-    "topk_attrs": lambda s, d: histogram.top_attributes(_g(s, d).at(0), TOP_ATTRIBUTES),
-    "active_attrs": lambda s, d: histogram.active_attributes(_g(s, d).at(0), TOP_ATTRIBUTES),
-    "topk_edges": lambda s, d: histogram.top_edges(_g(s, d).at(0), TOP_EDGES),
-    "frequent_vertex_types": lambda s, d: histogram.frequent_vertex_types(_g(s, d).at(0), TOP_EDGES),
-    "clean_edges": lambda s, d: histogram.clean_edges(histogram.top_edges(_g(s, d).at(0), TOP_EDGES), histogram.active_attributes(_g(s, d).at(0), TOP_ATTRIBUTES)),
-    "typed_edges": lambda s, d: histogram.typed_edges(_small(s, d)),
-    "presence": lambda s, d: histogram.presence(_small(s, d)),
+    "topk_attrs": lambda s, d: histogram.top_attributes(_first(s, d), TOP_ATTRIBUTES),
+    "active_attrs": lambda s, d: histogram.active_attributes(_first(s, d), TOP_ATTRIBUTES),
+    "topk_edges": lambda s, d: histogram.top_edges(_first(s, d), TOP_EDGES),
+    "frequent_vertex_types": lambda s, d: histogram.frequent_vertex_types(_first(s, d), TOP_EDGES),
+    "clean_edges": lambda s, d: histogram.clean_edges(histogram.top_edges(_first(s, d), TOP_EDGES), histogram.active_attributes(_first(s, d), TOP_ATTRIBUTES)),
+    "typed_edges": lambda s, d: histogram.typed_edges(_g(s, d)),
+    "presence": lambda s, d: histogram.presence(_g(s, d)),
     "seed_support": lambda s, d: support.seed_support(_g(s, d), T),
-    "khop_1": lambda s, d: neighbourhood.khop(_small(s, d), "nation", 1, ["customer", "nation", "region", "supplier"]),
-    "khop_2": lambda s, d: neighbourhood.khop(_small(s, d), "region", 2, ["customer", "nation", "region", "supplier"]),
-    "khop_edges": lambda s, d: neighbourhood.edges_within(_small(s, d), "region", 1, ["nation", "region"]),
-    "neighbour_type_coverage": lambda s, d: neighbourhood.covering_centers(_small(s, d), "nation", 1, ["customer", "supplier"]),
-    "match_single_edge": lambda s, d: distinct_matches(match(_small(s, d), SINGLE, ACTIVE)),
-    "match_star": lambda s, d: distinct_matches(match(_small(s, d), STAR, ACTIVE)),
-    "match_path": lambda s, d: match(_small(s, d), PATH, ACTIVE),
+    "khop_1": lambda s, d: neighbourhood.khop(_g(s, d), "nation", 1, ["customer", "nation", "region", "supplier"]),
+    "khop_2": lambda s, d: neighbourhood.khop(_g(s, d), "region", 2, ["customer", "nation", "region", "supplier"]),
+    "khop_edges": lambda s, d: neighbourhood.edges_within(_g(s, d), "region", 1, ["nation", "region"]),
+    "neighbour_type_coverage": lambda s, d: neighbourhood.covering_centers(_g(s, d), "nation", 1, ["customer", "supplier"]),
+    "match_single_edge": lambda s, d: distinct_matches(match(_g(s, d), SINGLE, ACTIVE)),
+    "match_star": lambda s, d: distinct_matches(match(_g(s, d), STAR, ACTIVE)),
+    "match_path": lambda s, d: match(_g(s, d), PATH, ACTIVE),
     "match_tree": lambda s, d: distinct_matches(match(_g(s, d), TREE, ACTIVE)),
-    "match_signature": lambda s, d: match(_small(s, d), FORK, ACTIVE, "signature"),
-    "match_induced": lambda s, d: match_induced(_small(s, d), [("a", "*", "b"), ("b", "in_region", "c")], {"a": "customer", "b": "nation", "c": "region"}),
-    "pattern_entity_counts": lambda s, d: entity_counts(match(_small(s, d), PATH, ACTIVE)),
+    "match_signature": lambda s, d: match(_g(s, d), FORK, ACTIVE, "signature"),
+    "match_induced": lambda s, d: match_induced(_g(s, d), [("a", "*", "b"), ("b", "in_region", "c")], {"a": "customer", "b": "nation", "c": "region"}),
+    "pattern_entity_counts": lambda s, d: entity_counts(match(_g(s, d), PATH, ACTIVE)),
     "pattern_support": pattern_support_query,
     "entity_groups": lambda s, d: rules.flat(_groups(s, d)),
     "entity_count": lambda s, d: rules.entity_counts(_groups(s, d)),
@@ -182,7 +170,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_lines": result_lines_query,
     "uri_parse": uri_parse_query,
     "change_json_parse": change_json_parse_query,
-    "flagship_miner": flagship_miner,
 }
 
 # ---------------------------------------------------------------------------------------------------------
@@ -260,12 +247,12 @@ _GROUPS = " UNION ALL ".join(_group(x, "dm") for x in DEPENDENCIES)
 _RULES = f"{_VIEW}, dm AS ({_distinct(PATH)}), {_rule_steps(_GROUPS, THETA)}"
 
 
-def _fold(by: str) -> str:
+def _fold(by: str, source: str = "cand") -> str:
     """Distinct intervals by group, folded: the list of one-element lists gives the accumulator its type."""
     last, new = "acc[len(acc)]", "x[1]"
     step = f"CASE WHEN {last}.dmax >= {new}.dmin THEN list_concat(acc[1:len(acc) - 1], [{{'dmin': greatest({last}.dmin, {new}.dmin), 'dmax': least({last}.dmax, {new}.dmax)}}]) ELSE list_concat(acc, x) END"
     return f"""SELECT {by}, d.dmin AS dmin, d.dmax AS dmax FROM (
-        SELECT {by}, unnest(list_reduce(list_transform(list_sort(list(DISTINCT {{'dmin': dmin, 'dmax': dmax}})), lambda s: [s]), lambda acc, x: {step})) AS d FROM cand GROUP BY {by})"""
+        SELECT {by}, unnest(list_reduce(list_transform(list_sort(list(DISTINCT {{'dmin': dmin, 'dmax': dmax}})), lambda s: [s]), lambda acc, x: {step})) AS d FROM {source} GROUP BY {by})"""
 
 
 _EVENTS = """
@@ -287,7 +274,7 @@ ee AS (SELECT ev.t, ev.u, ev.k, seq, CASE WHEN event_type = 'view' THEN 3 ELSE 0
 el AS (SELECT ds.t, u, k, rank FROM ds JOIN ee ON ee.t <= ds.t QUALIFY row_number() OVER (PARTITION BY ds.t, u, k ORDER BY ee.t DESC, rank DESC, seq DESC) = 1)"""
 
 _STEPS = """
-st AS (SELECT t, src AS here, label, 0 AS dir, dst AS next FROM es UNION ALL SELECT t, dst, label, 1, src FROM es),
+st AS (SELECT t, src AS here, label, 0 AS dir, dst AS next FROM e UNION ALL SELECT t, dst, label, 1, src FROM e),
 h1 AS (SELECT a.t, a.uri AS center, next AS uri, b.vtype, 1 AS hop, here AS prev, label, dir FROM vs a JOIN st ON st.t = a.t AND here = a.uri JOIN vs b ON b.t = a.t AND b.uri = next WHERE a.vtype = '{0}' QUALIFY row_number() OVER (PARTITION BY a.t, a.uri, next ORDER BY dir, here, label) = 1),
 h2 AS (SELECT * FROM h1 UNION ALL (SELECT h.t, h.center, next, b.vtype, 2, here, st.label, st.dir FROM h1 h JOIN st ON st.t = h.t AND here = h.uri JOIN vs b ON b.t = h.t AND b.uri = next
     WHERE next <> h.center AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.t = h.t AND x.center = h.center AND x.uri = next) QUALIFY row_number() OVER (PARTITION BY h.t, h.center, next ORDER BY st.dir, here, st.label) = 1))"""
@@ -308,17 +295,6 @@ def _dependency_sql(p: Pattern) -> str:
     return "VALUES " + ", ".join(f"('{','.join(sorted(x for x in c if x != r))}', '{r}')" for c, r in rows)
 
 
-def _flagship_sql() -> str:
-    parts, sources = [], []
-    for k, p in enumerate((PATH, FORK, _SUPPLY)):
-        sources.append(f"dm{k} AS ({_distinct(p)})")
-        for c in product(*[[f"{v}__{a}" for a in ACTIVE[v]] for v in p.vertices]):
-            for r in c:
-                d = Dependency(tuple(sorted(x for x in c if x != r)), r)
-                parts.append(_group(d, f"dm{k}").replace("SELECT ", f"SELECT '{p.name}' AS pattern_id, ", 1))
-    return f"WITH {_VIEW}, {', '.join(sources)}, {_rule_steps(' UNION ALL '.join(parts), THETA, 'pattern_id, dep')} SELECT pattern_id, 3 AS level, dep, x, y, dmin, dmax, pairs, entities, support FROM kept"
-
-
 _SUPPORT_COUNTS = " UNION ALL ".join(f"SELECT {k} AS pattern_id, center_uri AS entity, t, sum(n) AS n FROM ({_matches(p)}) GROUP BY ALL" for k, p in enumerate((SINGLE, PATH, FORK)))
 _CENTERS = "SELECT * FROM (VALUES (0, 'customer'), (1, 'nation'), (2, 'nation')) x(pattern_id, vtype) JOIN vt USING (vtype)"
 
@@ -338,19 +314,19 @@ ORACLE_SQL: dict[str, str] = {
     "topk_edges": _view("SELECT src_type, label, dst_type, n, rank FROM top_edge"),
     "frequent_vertex_types": _view("SELECT vtype, n, row_number() OVER (ORDER BY n DESC, vtype)::INT AS rank FROM vt WHERE vtype IN (SELECT src_type FROM top_edge UNION SELECT dst_type FROM top_edge)"),
     "clean_edges": _view("SELECT src_type, label, dst_type, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rank) AS k FROM top_edge) WHERE k = 1 AND src_type <> dst_type AND src_type IN (SELECT vtype FROM act) AND dst_type IN (SELECT vtype FROM act)"),
-    "typed_edges": _view("SELECT es.t, src, label, dst, a.vtype AS src_type, b.vtype AS dst_type FROM es JOIN vs a ON a.t = es.t AND a.uri = src JOIN vs b ON b.t = es.t AND b.uri = dst"),
+    "typed_edges": _view("SELECT t, src, label, dst, src_type, dst_type FROM te"),
     "presence": _view("SELECT vtype, uri, t, count(*) AS n FROM v GROUP BY ALL"),
     "seed_support": _view(f"SELECT vtype, numerator, centers, {_support()} AS support FROM ({_numerators('SELECT vtype, uri AS entity, t, count(*) AS n FROM v GROUP BY ALL', 'vtype')}) JOIN (SELECT vtype, n AS centers FROM vt) USING (vtype)"),
     "khop_1": _view("," + _STEPS.format("nation") + " SELECT * FROM h1"),
     "khop_2": _view("," + _STEPS.format("region") + " SELECT * FROM h2"),
-    "khop_edges": _view("SELECT t, dst AS center, src, dst, label FROM es WHERE label = 'in_region'"),
+    "khop_edges": _view("SELECT t, dst AS center, src, dst, label FROM e WHERE label = 'in_region'"),
     "neighbour_type_coverage": _view("SELECT DISTINCT n.t, n.uri AS center FROM n SEMI JOIN c ON c.t = n.t AND c.nation_uri = n.uri SEMI JOIN s ON s.t = n.t AND s.nation_uri = n.uri"),
     "match_single_edge": _view(_distinct(SINGLE)),
     "match_star": _view(_distinct(STAR)),
     "match_path": _view(_matches(PATH)),
     "match_tree": _view(_distinct(TREE)),
     "match_signature": _view(_matches(FORK)),
-    "match_induced": _view("SELECT x.t, x.src AS a, x.dst AS b, y.dst AS c FROM es x JOIN es y ON y.t = x.t AND y.src = x.dst AND y.label = 'in_region' JOIN vs a ON a.t = x.t AND a.uri = x.src AND a.vtype = 'customer' WHERE NOT EXISTS (SELECT 1 FROM es z WHERE z.t = x.t AND ((z.src, z.dst) IN ((x.dst, x.src), (y.dst, y.src), (x.src, y.dst), (y.dst, x.src))))"),
+    "match_induced": _view("SELECT x.t, x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.t = x.t AND y.src = x.dst AND y.label = 'in_region' JOIN v a ON a.t = x.t AND a.uri = x.src AND a.vtype = 'customer' WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.t = x.t AND ((z.src, z.dst) IN ((x.dst, x.src), (y.dst, y.src), (x.src, y.dst), (y.dst, x.src))))"),
     "pattern_entity_counts": _view(f"SELECT center_uri, t, sum(n)::BIGINT AS n FROM ({_matches(PATH)}) GROUP BY ALL"),
     "pattern_support": _view(f"SELECT pattern_id, coalesce(numerator, 0) AS numerator, centers, {_support('coalesce(numerator, 0)')} AS support FROM (SELECT pattern_id, n AS centers FROM ({_CENTERS})) LEFT JOIN ({_numerators(_SUPPORT_COUNTS, 'pattern_id')}) USING (pattern_id)"),
     "entity_groups": f"WITH {_RULES} SELECT * FROM g",
@@ -381,7 +357,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT uri, 'region', unnest(['name', 'code', 'tier']), unnest([region__name, region__code, 'again']) FROM r WHERE t = 0
         UNION ALL SELECT uri, 'supplier', unnest(['tier', 'digit']), unnest(['again', supplier__digit]) FROM s WHERE t = 0
         UNION ALL SELECT uri, 'part', unnest(['brand', 'ptype', 'tier']), unnest([part__brand, part__ptype, 'again']) FROM p WHERE t = 0)"""),
-    "graph_upsert_edges": _view("SELECT DISTINCT src, dst, label FROM es WHERE t IN (0, 1)"),
+    "graph_upsert_edges": _view("SELECT DISTINCT src, dst, label FROM e WHERE t IN (0, 1)"),
     "rule_overlap": f"WITH {_RULES}, a AS (SELECT DISTINCT x, y, dmin, dmax FROM cand), b AS (SELECT DISTINCT x, y, dmin, dmax FROM kept) SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS n_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS n_left_only, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS n_right_only",
     "rule_diff": f"WITH {_RULES} SELECT x, y, dmin, dmax FROM cand EXCEPT SELECT x, y, dmin, dmax FROM kept",
     "result_lines": f"WITH {_RULES} SELECT x, y, dmin, dmax, support, 3 AS level FROM kept",
@@ -389,5 +365,4 @@ ORACLE_SQL: dict[str, str] = {
     "change_json_parse": f"""WITH {_EVENTS}, c AS (SELECT *, CASE event_type WHEN 'signup' THEN 'insertVertex' WHEN 'error' THEN 'deleteEdge' ELSE 'changeAttr' END AS op FROM ev)
         SELECT t, seq, seq::INT AS id, op, CASE WHEN op = 'deleteEdge' THEN u END AS src, CASE WHEN op = 'deleteEdge' THEN k || '-item' END AS dst, CASE WHEN op = 'deleteEdge' THEN 'viewed' END AS label,
                CASE WHEN op <> 'deleteEdge' THEN u END AS uri, CASE WHEN op = 'changeAttr' THEN 'last' END AS attr, CASE WHEN op = 'changeAttr' THEN k END AS val, CASE WHEN op = 'insertVertex' THEN 'user' END AS vtype, CASE WHEN op = 'insertVertex' THEN k END AS start FROM c""",
-    "flagship_miner": _flagship_sql(),
 }

@@ -14,23 +14,44 @@ EDGE_OPS = ("insertEdge", "deleteEdge")
 
 def typed(raw: DataFrame, edges: bool = True) -> DataFrame:
     """raw: t, seq and the fields of ``CHANGE``. The type of a vertex is the first of its types. A change of type
-    concerns the previous vertex. Without ``edges``, changes of edges are left out."""
+    concerns the previous vertex. Of several values of one attribute name the least counts. Without ``edges``, changes of
+    edges are left out."""
     first = lambda c: F.try_element_at(F.col(f"{c}.types"), F.lit(1))
     pairs = F.col("vertex.allAttributesList")
-    attrs = F.map_from_entries(F.transform(F.filter(pairs, lambda a: a["attrName"].isNotNull()), lambda a: F.struct(a["attrName"], a["attrValue"])))
+    named = F.array_distinct(F.transform(F.filter(pairs, lambda a: a["attrName"].isNotNull()), lambda a: a["attrName"]))
+    least = lambda n: F.array_min(F.transform(F.filter(pairs, lambda a: a["attrName"] == n), lambda a: a["attrValue"]))
+    attrs = F.map_from_entries(F.transform(named, lambda n: F.struct(n, least(n))))
     uri: Column = F.coalesce(F.col("uri"), F.col("vertex.vertexURI"), F.col("previousVertex.vertexURI"))
     out = raw.select("t", "seq", "id", F.col("typeOfChange").alias("op"), "src", "dst", "label", uri.alias("uri"), F.col("attribute.attrName").alias("attr"), F.col("attribute.attrValue").alias("val"), F.coalesce(first("vertex"), first("previousVertex")).alias("vtype"), first("newVertex").alias("new_vtype"), attrs.alias("attrs"))
     return out if edges else out.where(~F.col("op").isin(*EDGE_OPS))
 
 
 def read_changes(spark: SparkSession, folder: str, timestamps: int, edges: bool = True) -> DataFrame:
-    """The change log of T snapshots: files for steps 1..T-1, all of which must be there. ``seq`` is the
-    place in the file."""
+    """The change log of T snapshots: files for steps 1..T-1, all of which must be there and whole: one that is no JSON
+    array of changes ends the run with an error. ``seq`` is the place in the file."""
     paths = [f"{folder}/{FILE.format(t - 1, t)}" for t in range(1, timestamps)]
-    raw = spark.read.text(paths, wholetext=True).withColumn("_file", F.input_file_name())
-    step = F.regexp_extract("_file", r"changes_t\d+_t(\d+)_", 1).cast("int")
-    each = raw.select(step.alias("t"), F.posexplode(F.from_json("value", f"array<struct<{_ddl(CHANGE)}>>")).alias("seq", "c"))
-    return typed(each.select("t", F.col("seq").cast("long").alias("seq"), "c.*"), edges)
+    raw = spark.read.format("binaryFile").load(paths)
+    # Spark passes over files without a byte
+    missing = spark.range(1, timestamps).select(F.col("id").cast("int").alias("t")).join(raw.select(_step().alias("t")), "t", "left_anti")
+    empty = missing.where(F.raise_error(F.concat(F.lit("no JSON array of changes: step "), F.col("t").cast("string"))).isNotNull())
+    each = steps_of(raw)
+    return typed(each.unionByName(empty, allowMissingColumns=True), edges)
+
+
+def _step() -> Column:
+    return F.regexp_extract("path", r"changes_t\d+_t(\d+)_", 1).cast("int")
+
+
+def steps_of(raw: DataFrame) -> DataFrame:
+    """raw: path, content of change files. t, seq and the fields of ``CHANGE``."""
+    each = raw.select(_step().alias("t"), F.posexplode(changes_of(F.col("content").cast("string"))).alias("seq", "c"))
+    return each.select("t", F.col("seq").cast("long").alias("seq"), "c.*")
+
+
+def changes_of(text: Column) -> Column:
+    """The array of changes of a file; anything else fails, lest a step be lost."""
+    whole = F.from_json(text, f"array<struct<{_ddl(CHANGE)}>>", {"mode": "FAILFAST"})
+    return F.coalesce(whole, F.raise_error(F.concat(F.lit("no JSON array of changes: "), F.substring(text, 1, 80))).cast(f"array<struct<{_ddl(CHANGE)}>>"))
 
 
 def _ddl(columns: str) -> str:

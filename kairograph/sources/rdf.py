@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from kairograph.functions import parse_resource_uri
 from kairograph.functions.expressions import ENCYCLOPEDIA_PREFIX, MOVIE_PREFIX
 from kairograph.model import Graph
+from kairograph.tables import ship
 
 # Fixed value: the property that states the type of a resource.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -21,96 +23,130 @@ STATEMENTS = "subject string, predicate string, object string, is_literal boolea
 _LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
 
 
+_ESCAPE = r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[tbnrf\"'\\])"
+# What follows a backslash, and what both stand for.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
 def _unescaped(c: Column) -> Column:
-    for one, other in ((r"\t", "\t"), (r"\n", "\n"), (r"\r", "\r"), (r"\"", '"'), (r"\\", "\\")):
-        c = F.replace(c, F.lit(one), F.lit(other))
-    return c
+    """Escapes undone from left to right, each once."""
+    pieces, found = F.split(c, _ESCAPE, -1), F.regexp_extract_all(c, F.lit(_ESCAPE), F.lit(0))
+    table = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+    code = lambda e: F.decode(F.unhex(F.lpad(F.substring(e, 3, 8), 8, "0")), "UTF-32")
+    meant = lambda e: F.coalesce(F.try_element_at(table, F.substring(e, 2, 1)), code(e))
+    rest = F.zip_with(found, F.slice(pieces, F.lit(2), F.size(found)), lambda e, p: F.concat(meant(e), p))
+    return F.when(c.contains("\\"), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(c)
+
+
+def skipped_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines that ``read_ntriples`` skips though they are neither empty nor comments: path, value."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value")
+    return lines.where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
 
 
 def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """subject, predicate, object, is_literal. Lines that are no triple between resources and literals (blank
-    nodes, comments, errors) are skipped."""
+    nodes, comments, errors) are skipped; ``skipped_ntriples`` gives them."""
     lines = spark.read.text(path).where(F.col("value").rlike(_LINE))
     part = lambda k: F.regexp_extract("value", _LINE, k)
     resource = part(3) != ""
     return lines.select(part(1).alias("subject"), part(2).alias("predicate"), F.when(resource, part(3)).otherwise(_unescaped(part(4))).alias("object"), (~resource).alias("is_literal"))
 
 
-_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^>]*>)|(?P<long>\"\"\"(?:.|\n)*?\"\"\")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[A-Za-z][A-Za-z0-9-]*)|(?P<type>\^\^)|(?P<name>[A-Za-z_][\w.-]*?:[\w.%/-]*[\w%/-]|[A-Za-z_][\w-]*:|:[\w%/-]+)|(?P<num>[+-]?\d+(?:\.\d+)?)|(?P<word>a\b|true\b|false\b)|(?P<punct>[;,.\[\]])""")
+_STRINGS = r'''(?P<long>"""(?:[^\\]|\\.)*?"""|''' + r"""'''(?:[^\\]|\\.)*?''')|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^>\s]*>)|""" + _STRINGS + r"""|(?P<lang>@[A-Za-z][A-Za-z0-9-]*)|(?P<type>\^\^)|(?P<blank>_:[\w.-]*\w)|(?P<name>[A-Za-z][\w.-]*?:[\w.%/-]*[\w%/-]|[A-Za-z][\w-]*:|:[\w%/-]+|:)|(?P<num>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>a\b|true\b|false\b)|(?P<punct>[;,.\[\]()])""", re.S)
+_ESCAPED = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
 
 
-def turtle_statements(text: str) -> Iterator[tuple[str, str, str, bool]]:
-    """Statements of the part of Turtle that data sets use: prefixes, ``a``, lists by ; and , ; literals lose
-    language and type."""
-    prefixes: dict[str, str] = {}
-    subject = predicate = None
-    declare: list[str] | None = None
-    skip = False
-    at = 0
+def _plain(text: str) -> str:
+    return _ESCAPED.sub(lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else ESCAPES.get(e[3], e[3]), text)
+
+
+def _statements(text: str) -> Iterator[list[tuple[str, str]]]:
+    """Tokens (kind, text) up to each full stop; what is no token is one of kind ``error``."""
+    at, out = 0, []
     while at < len(text):
         m = _TOKEN.match(text, at)
-        if m is None:
-            raise ValueError(f"no Turtle at {at}: {text[at : at + 40]!r}")
-        at = m.end()
-        kind, token = m.lastgroup, m.group()
-        if kind is None:
-            continue
-        if kind == "lang" and token in ("@prefix", "@base"):
-            declare = []
-            continue
-        if declare is not None:
-            if kind == "punct" and token == ".":
-                if len(declare) == 2:
-                    prefixes[declare[0]] = declare[1]
-                declare = None
-            else:
-                declare.append(token[1:-1] if kind == "iri" else token)
-            continue
-        if kind == "lang":
-            continue
-        if kind == "type":
-            skip = True
-            continue
-        if skip:
-            skip = False
+        kind, token = (m.lastgroup, m.group()) if m else ("error", text[at])
+        at += len(token)
+        if kind == "punct" and token == ".":
+            yield out
+            out = []
+        elif kind is not None:
+            out.append((kind, token))
+    if out:
+        yield [*out, ("error", "")]  # a last statement without its stop
+
+
+def turtle_statements(text: str) -> Iterator[tuple[str | None, str | None, str, bool]]:
+    """Statements of the part of Turtle that data sets use: prefixes, ``a``, lists by ; and , ; literals lose
+    language and type. A statement with blank nodes, collections or errors is skipped; it gives one row without subject, whose
+    object is its text."""
+    prefixes: dict[str, str] = {}
+    for tokens in _statements(text):
+        if tokens and tokens[0] in (("lang", "@prefix"), ("lang", "@base")):
+            if len(tokens) == 3:
+                prefixes[tokens[1][1]] = tokens[2][1][1:-1]
             continue
-        if kind == "punct":
-            if token == ".":
-                subject = predicate = None
-            elif token == ";":
+        found, subject, predicate, skip, bad = [], None, None, False, False
+        for kind, token in tokens:
+            if kind in ("blank", "error") or kind == "punct" and token in "[]()":
+                bad = True
+                break
+            if kind == "type":
+                skip = True
+            elif skip or kind == "lang":
+                skip = False
+            elif token == ";" and kind == "punct":
                 predicate = None
-            elif token != ",":
-                raise ValueError("blank nodes are not read")
-            continue
-        literal = kind in ("str", "long", "num") or token in ("true", "false")
-        if kind == "iri":
-            value = token[1:-1]
-        elif kind == "long":
-            value = token[3:-3]
-        elif kind == "str":
-            value = re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t", "r": "\r"}.get(e[1], e[1]), token[1:-1])
-        elif kind == "name":
-            prefix, _, rest = token.partition(":")
-            value = prefixes.get(prefix + ":", prefix + ":") + rest
+            elif kind != "punct":
+                literal = kind in ("str", "long", "num") or token in ("true", "false")
+                if kind == "iri":
+                    value = _plain(token[1:-1])
+                elif kind == "long":
+                    value = _plain(token[3:-3])
+                elif kind == "str":
+                    value = _plain(token[1:-1])
+                elif kind == "name":
+                    prefix, _, rest = token.partition(":")
+                    value = prefixes.get(prefix + ":", prefix + ":") + rest
+                else:
+                    value = RDF_TYPE if token == "a" else token
+                if subject is None:
+                    subject, bad = value, bad or literal
+                elif predicate is None:
+                    predicate, bad = value, bad or literal
+                else:
+                    found.append((subject, predicate, value, literal))
+        if bad:
+            yield None, None, " ".join(token for _, token in tokens), False
         else:
-            value = RDF_TYPE if token == "a" else token
-        if subject is None:
-            subject = value
-        elif predicate is None:
-            predicate = value
-        else:
-            yield subject, predicate, value, literal
+            yield from found
+
+
+def _turtle(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    ship(spark)
+    return spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("path")).mapInPandas(_parse_turtle, f"path string, {STATEMENTS}")
+
+
+def _parse_turtle(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        for text, path in zip(pdf["value"], pdf["path"], strict=True):
+            rows = turtle_statements(text)
+            while part := list(islice(rows, 50_000)):
+                out = pd.DataFrame(part, columns=["subject", "predicate", "object", "is_literal"])
+                out.insert(0, "path", path)
+                yield out
 
 
 def read_turtle(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """As ``read_ntriples``; one file is parsed by one task."""
+    """As ``read_ntriples``; one file is parsed by one task. Statements that are not read are skipped; ``skipped_turtle`` gives them."""
+    return _turtle(spark, path).where("subject is not null").drop("path")
 
-    def parse(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for text in pdf["value"]:
-                yield pd.DataFrame(list(turtle_statements(text)), columns=["subject", "predicate", "object", "is_literal"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, STATEMENTS)
+def skipped_turtle(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The statements that ``read_turtle`` skips: path, value."""
+    return _turtle(spark, path).where("subject is null").select("path", F.col("object").alias("value"))
 
 
 def _one_each(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.model import CHANGES, Graph
+from kairograph.model import Graph
 
 FIRST_YEAR, YEARS = 1995, 7
 DAYS = 30
@@ -29,12 +29,14 @@ def _tier(balance: str) -> Column:
     return F.when(F.col(balance) < 0, "debit").when(F.col(balance) < 5000, "low").otherwise("high")
 
 
-def commerce(spark: SparkSession, folder: str, bought: bool = True) -> Graph:
-    """Snapshots are years. Customers are there in the years in which they order; nations, regions, parts and
-    suppliers always. Edges: in_nation, in_region, based_in, and by year bought (customer to part) and
-    supplies (supplier to part)."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(YEARS - 1))).alias("t")
-    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", (F.year("o_orderdate") - FIRST_YEAR).cast("int").alias("t"))
+def commerce(spark: SparkSession, folder: str, only: int | None = None, first_year: int = FIRST_YEAR, years: int = YEARS) -> Graph:
+    """Snapshots are years, from ``first_year`` on, or ``only`` one of them, for which the scan of orders skips the rest. Customers
+    are there in the years in which they order; nations, regions, parts and suppliers always. Edges: in_nation, in_region,
+    based_in, and by year bought (customer to part) and supplies (supplier to part)."""
+    lo, hi = (0, years - 1) if only is None else (only, only)
+    every = F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("t")
+    dated = _table(spark, folder, "orders").where((F.col("o_orderdate") >= F.lit(f"{first_year + lo}-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit(f"{first_year + hi + 1}-01-01").cast("timestamp")))
+    orders = dated.select("o_orderkey", "o_custkey", (F.year("o_orderdate") - first_year).cast("int").alias("t"))
     active = orders.select("t", F.col("o_custkey").alias("c_custkey")).distinct()
     customer, nation, region = (_table(spark, folder, n) for n in ("customer", "nation", "region"))
     part, supplier = (_table(spark, folder, n) for n in ("part", "supplier"))
@@ -50,33 +52,48 @@ def commerce(spark: SparkSession, folder: str, bought: bool = True) -> Graph:
     e = buyers.select("t", _uri("c_custkey", "customer").alias("src"), _uri("c_nationkey", "nation").alias("dst"), F.lit("in_nation").alias("label"))
     e = e.unionByName(nation.select(every, _uri("n_nationkey", "nation").alias("src"), _uri("n_regionkey", "region").alias("dst"), F.lit("in_region").alias("label")))
     e = e.unionByName(supplier.select(every, _uri("s_suppkey", "supplier").alias("src"), _uri("s_nationkey", "nation").alias("dst"), F.lit("based_in").alias("label")))
-    if bought:
-        lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        e = e.unionByName(lines.select("t", _uri("o_custkey", "customer").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("bought").alias("label")).distinct())
-        e = e.unionByName(lines.select("t", _uri("l_suppkey", "supplier").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("supplies").alias("label")).distinct())
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    e = e.unionByName(lines.select("t", _uri("o_custkey", "customer").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("bought").alias("label")).distinct())
+    e = e.unionByName(lines.select("t", _uri("l_suppkey", "supplier").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("supplies").alias("label")).distinct())
     return Graph(v, e)
 
 
+def _change(rows: DataFrame, op: str, **fields: Column) -> DataFrame:
+    none = lambda kind="string": F.lit(None).cast(kind)
+    blank = {"src": none(), "dst": none(), "label": none(), "uri": none(), "attr": none(), "val": none(), "vtype": none(), "new_vtype": none(), "attrs": none("map<string,string>")}
+    return rows.select("t", "seq", F.col("seq").cast("int").alias("id"), F.lit(op).alias("op"), *[c.alias(n) for n, c in (blank | fields).items()])
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return _table(spark, folder, "events").select(F.col("event_id").alias("seq"), F.dayofmonth("ts").cast("int").alias("t"), F.concat(F.col("user_id").cast("string"), F.lit("-user")).alias("user"), "event_type", k.alias("k"))
+
+
+def lives(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a change log in which users come, change type and go: signup and click insert the user, error deletes it, purchase
+    makes it a buyer, view inserts the edge to the item ``k``."""
+    e = _events(spark, folder)
+    user, item = F.col("user"), F.concat("k", F.lit("-item"))
+    kinds = lambda *names: e.where(F.col("event_type").isin(*names))
+    out = _change(kinds("signup", "click"), "insertVertex", uri=user, vtype=F.lit("user"), attrs=F.create_map(F.lit("start"), F.col("k")))
+    out = out.unionByName(_change(kinds("error"), "deleteVertex", uri=user, vtype=F.lit("user")))
+    out = out.unionByName(_change(kinds("purchase"), "changeType", uri=user, vtype=F.lit("user"), new_vtype=F.lit("buyer")))
+    return out.unionByName(_change(kinds("view"), "insertEdge", src=user, dst=item, label=F.lit("viewed")))
+
+
 def user_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The events as a change log, steps by day from 1: signup inserts the user, click and view change ``last``,
     purchase inserts ``first``, error deletes ``last``; view also inserts the edge to the item ``k``, and
     error deletes it."""
-    k = F.get_json_object("props", "$.k")
-    e = _table(spark, folder, "events").select(F.col("event_id").alias("seq"), F.dayofmonth("ts").cast("int").alias("t"), F.concat(F.col("user_id").cast("string"), F.lit("-user")).alias("user"), "event_type", k.alias("k"))
-    none = lambda kind="string": F.lit(None).cast(kind)
-
-    def change(rows: DataFrame, op: Column, **fields: Column) -> DataFrame:
-        blank = {"src": none(), "dst": none(), "label": none(), "uri": none(), "attr": none(), "val": none(), "vtype": none(), "new_vtype": none(), "attrs": none("map<string,string>")}
-        return rows.select("t", "seq", F.col("seq").cast("int").alias("id"), op.alias("op"), *[c.alias(n) for n, c in (blank | fields).items()])
-
+    e = _events(spark, folder)
     user, item = F.col("user"), F.concat("k", F.lit("-item"))
     kinds = lambda *names: e.where(F.col("event_type").isin(*names))
-    out = change(kinds("signup"), F.lit("insertVertex"), uri=user, vtype=F.lit("user"), attrs=F.create_map(F.lit("start"), F.col("k")))
-    out = out.unionByName(change(kinds("click", "view"), F.lit("changeAttr"), uri=user, attr=F.lit("last"), val=F.col("k")))
-    out = out.unionByName(change(kinds("purchase"), F.lit("insertAttr"), uri=user, attr=F.lit("first"), val=F.col("k")))
-    out = out.unionByName(change(kinds("error"), F.lit("deleteAttr"), uri=user, attr=F.lit("last")))
-    out = out.unionByName(change(kinds("view"), F.lit("insertEdge"), src=user, dst=item, label=F.lit("viewed")))
-    out = out.unionByName(change(kinds("error"), F.lit("deleteEdge"), src=user, dst=item, label=F.lit("viewed")))
+    out = _change(kinds("signup"), "insertVertex", uri=user, vtype=F.lit("user"), attrs=F.create_map(F.lit("start"), F.col("k")))
+    out = out.unionByName(_change(kinds("click", "view"), "changeAttr", uri=user, attr=F.lit("last"), val=F.col("k")))
+    out = out.unionByName(_change(kinds("purchase"), "insertAttr", uri=user, attr=F.lit("first"), val=F.col("k")))
+    out = out.unionByName(_change(kinds("error"), "deleteAttr", uri=user, attr=F.lit("last")))
+    out = out.unionByName(_change(kinds("view"), "insertEdge", src=user, dst=item, label=F.lit("viewed")))
+    out = out.unionByName(_change(kinds("error"), "deleteEdge", src=user, dst=item, label=F.lit("viewed")))
     return out
 
 
@@ -84,7 +101,3 @@ def items(spark: SparkSession) -> Graph:
     """The first graph of ``user_changes``: a hundred items, no edges."""
     v = spark.range(100).select(F.lit(0).alias("t"), F.concat(F.col("id").cast("string"), F.lit("-item")).alias("uri"), F.lit("item").alias("vtype"), F.create_map(F.lit("name"), F.col("id").cast("string")).alias("attrs"))
     return Graph(v, spark.createDataFrame([], "t int, src string, dst string, label string"))
-
-
-def changes_schema() -> str:
-    return CHANGES

@@ -4,18 +4,17 @@ snapshots are built as in batch. Files that arrive again are not read again."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kairograph.sources.changes import CHANGE, _ddl, typed
+from kairograph.sources.changes import steps_of, typed
+
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def stream_changes(spark: SparkSession, folder: str, edges: bool = True) -> DataFrame:
     """A streaming table of typed changes from the change files of a folder."""
-    raw = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "changes_t*_t*_*.json").load(folder).withColumn("_file", F.input_file_name())
-    step = F.regexp_extract("_file", r"changes_t\d+_t(\d+)_", 1).cast("int")
-    each = raw.select(step.alias("t"), F.posexplode(F.from_json("value", f"array<struct<{_ddl(CHANGE)}>>")).alias("seq", "c"))
-    return typed(each.select("t", F.col("seq").cast("long").alias("seq"), "c.*"), edges)
+    raw = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "changes_t*_t*_*.json").load(folder)
+    return typed(steps_of(raw), edges)
 
 
 def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, edges: bool = True) -> StreamingQuery:

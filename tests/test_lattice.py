@@ -19,12 +19,30 @@ def test_growth_by_one_edge_with_exactly_one_end_inside():
     assert lattice.grow(second, [AB, BC, Edge("c", "z", "a")]) == []  # no cycles
 
 
-def test_pruned_patterns_do_not_grow_and_bar_larger_ones():
+def test_pruned_patterns_do_not_grow_and_bar_larger_ones_of_their_centre():
     level = lattice.seeds(["a", "b", "c"])
     first = lattice.grow(level, [AB, BC])
-    first[0].pruned = True
-    assert lattice.grow(first, [AB, BC, CD])[0].pattern.name == "b-q->c;c-r->d"
-    assert all(not lattice.holds(n.pattern, first[0].pattern) for n in lattice.grow(first, [AB, BC, CD]))
+    first[0].pruned = True  # a-p->b, centred on a
+    second = lattice.grow(first, [AB, BC, CD])
+    assert [(n.pattern.name, n.pattern.center) for n in second] == [("a-p->b;b-q->c", "b"), ("b-q->c;c-r->d", "c")]
+    first[0].pruned, first[1].pruned = False, True  # b-q->c, centred on b
+    assert [n.pattern.name for n in lattice.grow(first, [AB, BC, AD])] == ["a-p->b;a-s->d"]
+    # a pruned type bars what is centred on it, and only that
+    level[1].pruned = True
+    assert [n.pattern.center for n in lattice.grow(level, [AB, BC])] == ["a", "c"]
+    assert lattice.grow(lattice.grow(level, [AB]), [BC], level) == []
+
+
+def test_parents_of_the_same_centre():
+    level = lattice.seeds(["a", "b", "c"])
+    first = lattice.grow(level, [AB, BC])
+    assert [n.center_parent.pattern.name for n in first] == ["a", "b"]
+    second = lattice.grow(first, [AB, BC])
+    assert second[0].pattern.center == "b" and second[0].center_parent is first[1]
+    d = Dependency(("a__m",), "b__n")
+    assert lattice.attributes_of(second[0].pattern, d) == {"a": ["m"], "b": ["n"], "c": []}
+    second[0].minimal_constant, first[0].minimal_constant = [d], [Dependency(("b__n",), "a__m")]
+    assert second[0].inherited(constant=True) == [d, Dependency(("b__n",), "a__m")] and second[0].inherited() == []
 
 
 def test_edges_already_there_ignore_case_of_labels():

@@ -7,10 +7,11 @@ from kairograph.config import MinerConfig
 from kairograph.functions import choose, delta_of, fold_intervals
 from kairograph.model import EDGES, VERTICES, Dependency, Edge, Graph, Pattern
 from kairograph.operators import histogram, rules, support
-from kairograph.operators.matching import compatible, concerns, distinct_matches, entity_counts, match
+from kairograph.operators.matching import compatible, concerns, distinct_matches, entity_counts, match, match_choices, match_counts
 from kairograph.operators.neighbourhood import khop
 from kairograph.plans import lattice
 from kairograph.plans.miner import mine, search_space
+from kairograph.sources import sinks
 
 ATTRS = {
     "c1": ("customer", {"seg": "A", "tier": "gold"}),
@@ -139,11 +140,40 @@ def test_miner_end_to_end(spark):
     for r in result.constant.collect():
         assert 0 <= r["support"] <= 1 and 1 <= r["dmin"] <= r["dmax"] <= 3
     assert result.general.where("dep = 'customer__seg,nation__name->region__name'").count() == 1
+    crossed = mine(g, MinerConfig(timestamps=4, k=2, theta_rule=0.0, match_mode="signature"))
+    assert rows(rules.flat(crossed.constant)) == rows(rules.flat(result.constant))
+    crossed.drop()
     # A larger threshold leaves no pattern, and so no rules.
     none = mine(g, MinerConfig(timestamps=4, k=2, theta_pattern=0.9))
     assert none.constant is None and all(n.pruned for n in none.levels[0])
 
 
+def test_counts_and_choices_agree_with_the_matches(spark):
+    g = small_graph(spark, [(1, "n1", "r9", "in_region", "region")])
+    hole = g.vertices.withColumn("attrs", F.when((F.col("uri") == "c1") & (F.col("t") == 1), F.create_map(F.lit("tier"), F.lit("gold"))).otherwise(F.col("attrs")))
+    g = Graph(hole, g.edges)
+    for at_least in (None, 6):
+        full = match(g, PATH, ACTIVE, at_least=at_least)
+        assert rows(match_counts(g, PATH, ACTIVE, at_least)) == rows(entity_counts(full))
+        deps = lattice.dependencies(PATH, ACTIVE)
+        want = {tuple(r) for r in rules.flat(rules.value_groups(distinct_matches(full), deps)).select("dep", "x", "y", "t").collect()}
+        got = [tuple(r) for r in rules.flat(rules.choice_groups(match_choices(g, PATH, ACTIVE, at_least))).select("dep", "x", "y", "t").collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_general_rules_are_folded_over_patterns_and_written(spark, tmp_path):
+    data = [("p", 3, "a__x,b__z->c__y", 1, 3), ("q", 3, "a__x,b__z->c__y", 2, 5), ("q", 3, "a__x,b__z->c__y", 7, 8), ("q", 3, "a__x->b_c__y__z", 1, 1)]
+    general = rules.with_variables(spark.createDataFrame(data, "pattern_id string, level int, dep string, dmin int, dmax int"))
+    assert {(r["dep"], tuple(map(tuple, r["x"])), tuple(r["y"])) for r in general.collect()} == {("a__x,b__z->c__y", (("a", "x"), ("b", "z")), ("c", "y")), ("a__x->b_c__y__z", (("a", "x"),), ("b_c", "y__z"))}
+    final = rules.with_variables(rules.finalise_general(general))
+    assert rows(final.select("dep", "dmin", "dmax")) == [("a__x,b__z->c__y", 2, 3), ("a__x,b__z->c__y", 7, 8), ("a__x->b_c__y__z", 1, 1)]
+    sinks.write_rules(final, str(tmp_path), "general")
+    lines = sorted(r["value"] for r in spark.read.text(f"{tmp_path}/General-TGFD").collect())
+    assert lines[-1] == "TGFD{dependency=DataDependency{x=[VariableLiteral(vertexType=a, attrName=x)], y=[VariableLiteral(vertexType=b_c, attrName=y__z)]}, delta=Pair(min=1, max=1), tgfdSupport=0.0, level=3}"
+    back = sinks.read_rules(spark, str(tmp_path), "general")
+    assert sorted((tuple(map(tuple, r["x"])), tuple(r["y"]), r["dmin"], r["dmax"], r["support"], r["level"]) for r in back.collect()) == sorted((tuple(map(tuple, r["x"])), tuple(r["y"]), r["dmin"], r["dmax"], 0.0, 3) for r in final.collect())
+
+
 def test_smaller_rules_cover_larger_ones_and_keys(spark):
     a, b, y = ("a", "x", "1"), ("b", "x", "2"), ("c", "z", "3")
     kind = f"dep string, x array<{rules.LITERAL}>, y {rules.LITERAL}, dmin int, dmax int"

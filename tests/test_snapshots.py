@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
+
 from kairograph.model import CHANGES, EDGES, VERTICES, Graph
 from kairograph.operators import snapshots
 from kairograph.operators.matching import match_induced
+from kairograph.operators.neighbourhood import fragment_jobs
 from kairograph.sources import changes, rdf, sinks
 from kairograph.streaming.change_stream import ingest
 
@@ -111,6 +114,50 @@ def test_movie_and_encyclopedia_graphs(spark, tmp_path):
     assert [r["uri"] for r in only.vertices.collect()] == ["oslo"] and only.edges.count() == 0
 
 
+def test_bad_statements_are_skipped_and_told(spark, tmp_path):
+    nt = tmp_path / "x.nt"
+    nt.write_text('<http://imdb.org/a/1> <http://x/p> "C:\\\\new \\u00e9\\U0001F600 \\t\\"q\\"" .\n_:b <http://x/p> "v" .\n\n# note\nnonsense\n<http://imdb.org/a/2> <http://x/p> <http://imdb.org/b/3> .\n')
+    got = sorted((r["subject"], r["object"], r["is_literal"]) for r in rdf.read_ntriples(spark, str(nt)).collect())
+    assert got == [("http://imdb.org/a/1", 'C:\\new \u00e9\U0001f600 \t"q"', True), ("http://imdb.org/a/2", "http://imdb.org/b/3", False)]
+    skipped = rdf.skipped_ntriples(spark, str(nt)).collect()
+    assert [r["value"] for r in skipped] == ['_:b <http://x/p> "v" .', "nonsense"] and all(r["path"].endswith("x.nt") for r in skipped)
+    ttl = tmp_path / "x.ttl"
+    ttl.write_text("""@prefix r: <http://dbpedia.org/resource/> .
+        r:One r:p 'single \\\\n \\u0041' , \"\"\"long "quoted"
+line\"\"\" ; r:q 1.5e3 , true , r:Two .
+        r:Bad r:p [ r:q "x" ] ; r:r r:Two .
+        _:x r:p r:One . r:List r:p (1 2) . r:Junk ~ r:p .
+        r:Two a r:Kind .
+        r:Open r:p "never ends""")
+    got = sorted((r["subject"].rsplit("/", 1)[1], r["object"], r["is_literal"]) for r in rdf.read_turtle(spark, str(ttl)).collect())
+    assert got == sorted([("One", "single \\n A", True), ("One", 'long "quoted"\nline', True), ("One", "1.5e3", True), ("One", "true", True), ("One", "http://dbpedia.org/resource/Two", False), ("Two", "http://dbpedia.org/resource/Kind", False)])
+    assert rdf.skipped_turtle(spark, str(ttl)).count() == 5
+    empty = tmp_path / "e.ttl"
+    empty.write_text("")
+    assert rdf.read_turtle(spark, str(empty)).count() == 0
+
+
+def test_broken_change_files_and_repeated_attributes(spark, tmp_path):
+    pairs = [{"attrName": "n", "attrValue": "b"}, {"attrName": "n", "attrValue": "a"}, {"attrName": "m", "attrValue": None}, {"attrName": None, "attrValue": "x"}]
+    (tmp_path / changes.FILE.format(0, 1)).write_text(json.dumps([{"id": 1, "typeOfChange": "insertVertex", "vertex": {"vertexURI": "u", "types": ["x"], "allAttributesList": pairs}}]))
+    assert changes.read_changes(spark, str(tmp_path), 2).first()["attrs"] == {"n": "a", "m": None}
+    for k, text in enumerate(('[{"id": 1, "typeOfChange": "insertEdge"}, {"id"', "", "no json")):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        (folder / changes.FILE.format(0, 1)).write_text(text)
+        with pytest.raises(Exception, match="no JSON array of changes|MALFORMED"):
+            changes.read_changes(spark, str(folder), 2).collect()
+
+
+def test_rebinding_and_jobs(spark):
+    a = first_graph(spark)
+    b = Graph(spark.createDataFrame([(0, "u1", "person", {"age": "5"}), (0, "u2", "town", {}), (0, "u9", "person", {})], VERTICES), a.edges)
+    g = snapshots.rebind(a, b)
+    assert {(r["uri"], r["vtype"]): r["attrs"] for r in g.vertices.collect()} == {("u1", "person"): {"age": "5"}} and g.edges.count() == 0
+    jobs = fragment_jobs(a, spark.createDataFrame([("u1", 3), ("u2", 4)], "uri string, fragment int"), "person")
+    assert [tuple(r) for r in jobs.collect()] == [(0, "u1", 3)]
+
+
 def test_rule_lines_round_trip(spark, tmp_path):
     lit = "struct<vtype:string,attr:string,val:string>"
     rule = spark.createDataFrame([([("film", "genre", "drama"), ("actor", "name", "x")], ("country", "name", "usa"), 1, 3, 0.15, 3)], f"x array<{lit}>, y {lit}, dmin int, dmax int, support double, level int")
