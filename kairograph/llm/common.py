@@ -1,22 +1,20 @@
 """Helpers shared by the training-data operators: column selection that ignores
-clashing extra columns, and lineage cuts in the shared folder of the cluster."""
+clashing extra columns, and what Python workers keep."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import re
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairograph.tables import cut, release, ship
+
+__all__ = ["cut", "in_worker", "parallelism", "pick", "release", "scratch", "ship", "table"]
+
 #: What a Python worker keeps from task to task, for one operator at a time.
 _scratch: dict[str, object] = {}
 
@@ -49,75 +47,10 @@ def in_worker(name: str, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
     return task
 
 
-_own_dir: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the Python workers, once an application, as they may run on
-    machines that do not have it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    here = Path(__file__).resolve().parent
-    to = os.path.join(tempfile.mkdtemp(prefix="kairograph-"), "kairograph_llm.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        z.write(here.parent / "__init__.py", "kairograph/__init__.py")
-        for p in sorted(here.glob("*.py")):
-            z.write(p, f"kairograph/llm/{p.name}")
-    spark.sparkContext.addPyFile(to)
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only in local mode (tests) may it be unset; then
-    a folder is made for this application."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="kairograph-")
-    return _own_dir[app]
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, every executor sees the
-    files, and a lost executor costs no recomputation of what came before. What the write
-    shuffled is not needed afterwards, so Spark removes it when the write ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly these columns, taken by position, so that neither extra columns nor ones
     that differ only in case make a reference ambiguous."""

@@ -2,8 +2,9 @@
 
 Texts are brought to a canonical form (case, punctuation, copyright lines, equivalent spellings)
 and hashed; the digests of whole documents, and of their lines, are hash-joined to those of known
-licences and notices. A notice has one form however it grants a licence (licensed, released, SPDX). All
-of it is built-in functions. The join sends out digests only.
+licences and notices. A notice has one form however it grants a licence (licensed, released, SPDX). Known texts of several
+lines are also found whole within longer documents, such as a file that begins with its licence. All
+of it is built-in functions. Known digests are few, so a document's lines are looked up in its own row, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import pick
 from kairograph.llm.license_texts import WHOLE
 
-#: Known digests are broadcast up to this many (100 bytes each), beyond it joined by shuffle.
-BROADCAST_KNOWN = 100_000
+#: Known digests are held in expressions and broadcast up to this many (100 bytes each), beyond it joined by shuffle.
+BROADCAST_KNOWN = 10_000
+#: Known texts of several lines that are looked for within documents.
+MOST_BLOCKS = 200
 
 # Spellings that count as the same, after punctuation is gone.
 SPELLINGS = (
@@ -132,32 +135,56 @@ def further_digests(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.split(F.lit(",".join(rows)), ",")).alias("pair")).select(pair[0].alias("license_id"), pair[1].alias("digest"))
 
 
+def whole_texts(known: DataFrame) -> DataFrame:
+    """license_id and canonical text of the known texts of several lines."""
+    return known.where(F.col("text").contains("\n")).select("license_id", canonical(canonical_lines(F.col("text"))).alias("text")).where("text <> ''").distinct()
+
+
 def digests(known: DataFrame) -> DataFrame:
     """license_id, digest; texts that are equal in canonical form take the least name."""
     return known.select("license_id", F.sha2(notice(canonical(canonical_lines(F.col("text")))), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``doc_id, digest, license_id, n_notices, notices`` per row of ``docs``.
+    """``doc_id, digest, license_id, n_notices, notices, blocks`` per row of ``docs``.
 
     ``license_id``: the licence whose whole text the document is, else null. ``notices``: licences of which
     a line of the document is the whole text, sorted, joined by commas, null without one; ``n_notices``: such
-    lines. Null and empty texts have the digest of the empty string and match nothing. Rows of one ``doc_id``
-    share their notices. An empty table gives an empty result. Other columns are not looked at."""
+    lines. ``blocks``: licences of several lines whose text stands whole within the document, of those known by their
+    text, likewise. Null and empty texts have the digest of the empty string and match nothing. Each row is judged by its own
+    text, so repeated rows, null ids and ids with several texts are like any other. Texts are read whole. An empty table gives an
+    empty result. Other columns are not looked at."""
     spark = docs.sparkSession
-    ids = digests(known if known is not None else known_licenses(spark))
+    texts = known if known is not None else known_licenses(spark)
+    ids = digests(texts)
     if known is None:
         ids = ids.unionByName(further_digests(spark)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     ids = ids.where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).withColumnRenamed("digest", "_key")
-    if ids.count() <= BROADCAST_KNOWN:
+    few = ids.count() <= BROADCAST_KNOWN
+    long_texts = [(r["license_id"], r["text"]) for r in whole_texts(texts).limit(MOST_BLOCKS + 1).collect()] if few else []
+    if len(long_texts) > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} known texts of several lines")
+    rows = pick(docs, "doc_id", "text").select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    rows = rows.select("doc_id", "lines", canonical(F.col("lines")).alias("text"))
+    keys = F.transform(F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.sha2(notice(x), 256))
+    held = F.concat(F.lit(" "), "text", F.lit(" "))
+    blocks = F.array_compact(F.array(*[F.when(held.contains(f" {t} ") & (F.col("text") != t), F.lit(name)) for name, t in long_texts])) if long_texts else F.array().cast("array<string>")
+    rows = rows.select("doc_id", F.sha2("text", 256).alias("digest"), F.sha2(notice(F.col("text")), 256).alias("_key"), keys.alias("_keys"), F.array_sort(F.array_distinct(blocks)).alias("_blocks"))
+    listed = lambda names: F.when(F.size(names) > 0, F.array_join(names, ","))
+    if few:
+        # Known digests as one map: lines need no shuffle, and no row id.
         ids = F.broadcast(ids)
-    lines = pick(docs, "doc_id", "text").select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    text = lines.select("doc_id", canonical(F.col("lines")).alias("text"))
-    whole = text.select("doc_id", F.sha2("text", 256).alias("digest"), F.sha2(notice(F.col("text")), 256).alias("_key")).join(ids, "_key", "left")
-    each = lines.select("doc_id", F.explode(F.split("lines", "\n")).alias("line")).where(F.trim("line") != "")
-    found = each.select("doc_id", F.sha2(notice(F.trim("line")), 256).alias("_key")).join(ids, "_key").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.select("doc_id", "digest", "license_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), "notices")
+        table = F.map_from_entries(F.array(*[F.struct(F.lit(r["_key"]), F.lit(r["license_id"])) for r in ids.collect()]))
+        rows = rows.withColumn("_hits", F.array_intersect("_keys", F.map_keys(table)))
+        rows = rows.withColumn("_names", F.when(F.size("_hits") > 0, F.transform("_hits", lambda k: F.try_element_at(table, k))).otherwise(F.array().cast("array<string>")))
+    else:
+        rows = rows.withColumn("_row", F.xxhash64(F.array_join("_keys", "")))
+        each = rows.select("_row", "_keys").distinct().select("_row", "_keys", F.explode(F.array_distinct("_keys")).alias("_key")).join(ids, "_key")
+        found = each.groupBy("_row", "_keys").agg(F.collect_set("_key").alias("_hits"), F.collect_set("license_id").alias("_names"))
+        rows = rows.join(found, ["_row", "_keys"], "left")
+    n = F.when(F.size("_hits") > 0, F.size(F.filter("_keys", lambda k: F.array_contains("_hits", k)))).otherwise(0)
+    out = rows.join(ids, "_key", "left")
+    return out.select("doc_id", "digest", "license_id", n.cast("long").alias("n_notices"), listed(F.array_sort(F.array_distinct("_names"))).alias("notices"), listed(F.col("_blocks")).alias("blocks"))
 
 
 def license_sql(source: str = "documents") -> str:
@@ -170,13 +197,16 @@ def license_sql(source: str = "documents") -> str:
             out = f"replace({out}, '{one}', '{other}')"
         return out
 
-    whole = lambda x: f"sha256(trim(regexp_replace({x}, '[\\n ]+', ' ', 'g')))"
+    form = lambda x: f"trim(regexp_replace({x}, '[\\n ]+', ' ', 'g'))"
+    whole = lambda x: f"sha256({form(x)})"
     return f"""
         WITH known(license_id, text) AS (VALUES {known}),
         ids AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, {whole(lines("text"))} AS digest FROM known) GROUP BY digest),
         d AS (SELECT doc_id, {lines("coalesce(text, '')")} AS lines FROM {source}),
         found AS (
             SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-            FROM (SELECT doc_id, sha256(trim(unnest(string_split(lines, chr(10))))) AS digest FROM d) JOIN ids USING (digest) GROUP BY doc_id)
-        SELECT d.doc_id, {whole("lines")} AS digest, license_id, coalesce(n_notices, 0) AS n_notices, notices
-        FROM d LEFT JOIN ids ON ids.digest = {whole("lines")} LEFT JOIN found USING (doc_id)"""
+            FROM (SELECT doc_id, sha256(trim(unnest(string_split(lines, chr(10))))) AS digest FROM d) JOIN ids USING (digest) GROUP BY doc_id),
+        longer AS (SELECT license_id, {form(lines("text"))} AS text FROM known WHERE contains(text, chr(10))),
+        within AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS blocks FROM (SELECT doc_id, {form("lines")} AS own FROM d) JOIN longer ON contains(' ' || own || ' ', ' ' || text || ' ') AND own <> text GROUP BY doc_id)
+        SELECT d.doc_id, {whole("lines")} AS digest, license_id, coalesce(n_notices, 0) AS n_notices, notices, blocks
+        FROM d LEFT JOIN ids ON ids.digest = {whole("lines")} LEFT JOIN found USING (doc_id) LEFT JOIN within USING (doc_id)"""
