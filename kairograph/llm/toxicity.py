@@ -10,7 +10,8 @@
    texts; a document's score is a logistic function of the strength and number of its evidence.
 
 Python scores text in batches; what it holds is bounded: the trigram table, the evidence table
-(``EVIDENCE`` rows) and a word memory of ``MEMORY`` entries.
+(significant words of at most ``TRAINING_ROWS`` texts) and a word memory of ``MEMORY`` entries. Decoding takes time in
+proportion to the length of a run.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ BEGINNINGS = (3, 4, 5, 6)
 #: Evidence must be this strong (log odds less one standard error), and its log-likelihood ratio must
 #: exceed what the best of all features would reach by chance, about twice the logarithm of their number.
 STRONG = 1.5
-EVIDENCE = 50_000
 MEMORY = 200_000
 SYMBOLS = 64
 
@@ -302,8 +302,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 def significant(texts: DataFrame, model: np.ndarray, known: set[str] | None, bad: int, good: int) -> dict[str, float]:
-    """Feature -> log odds, of the features of ``_counts`` that tell the labels apart: the ``EVIDENCE`` most
-    significant at most."""
+    """Feature -> log odds, of all features of ``_counts`` that tell the labels apart."""
     n = texts.mapInArrow(in_worker("toxicity", _counts(model, known)), "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (F.lit(bad) + 1)) - F.log((F.col("q") + 0.5) / (F.lit(good) + 1)) - F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
     # Log-likelihood ratio of seeing p and q against one rate for both.
@@ -312,7 +311,7 @@ def significant(texts: DataFrame, model: np.ndarray, known: set[str] | None, bad
     ratio = 2 * (part(F.col("p"), both * bad / (bad + good)) + part(F.col("q"), both * good / (bad + good)))
     n = cut(n, "features")
     least = 2 * math.log(max(n.count(), 2))
-    rows = n.select("feature", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") >= least) & (F.col("odds") >= STRONG)).orderBy(F.desc("ratio"), "feature").limit(EVIDENCE).collect()
+    rows = n.select("feature", odds.alias("odds"), ratio.alias("ratio")).where((F.col("ratio") >= least) & (F.col("odds") >= STRONG)).collect()
     release(n)
     return {r["feature"]: r["odds"] for r in rows}
 
@@ -331,6 +330,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, training_rows:
     table = significant(texts, model, None, bad, good)
     table |= significant(texts, model, set(table), bad, good)
     seen = texts.select("toxic", "text").mapInArrow(in_worker("toxicity", _summaries(model, table, ["toxic"], [pa.int32()])), "toxic int, strongest double, amount double").toPandas()
+    release(texts)
     return table, fit_logistic(seen[["strongest", "amount"]].to_numpy(), seen["toxic"].to_numpy(dtype=float))
 
 
