@@ -87,9 +87,14 @@ def unquoted(value: Column) -> Column:
     return F.when(value.startswith('"') | value.startswith("'"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
+def visible(html: Column) -> Column:
+    """A page without comments, scripts and other hidden parts."""
+    return F.regexp_replace(html, HIDDEN, " ")
+
+
 def untagged(html: Column) -> Column:
-    """A page without hidden parts and tags, one block a line."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAKING, "\n"), TAG, "")
+    """A page, as ``visible`` leaves it, without tags, one block a line."""
+    return F.regexp_replace(F.regexp_replace(html, BREAKING, "\n"), TAG, "")
 
 
 def plain_text(untagged: Column) -> Column:
@@ -98,6 +103,15 @@ def plain_text(untagged: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[\n ]*", "\n"), r"^[\n ]+|[\n ]+$", "")
 
 
+#: Characters that may not stand in a field; the last, which only goes with line ends, becomes nothing and the others blanks.
+_CONTROL = "".join(map(chr, [*range(1, 13), *range(14, 32), 127, 0x85, 0x2028, 0x2029, 13]))
+
+
+def one_line(text: Column) -> Column:
+    """Without control characters, which would end a field."""
+    return F.translate(text, _CONTROL, " " * (len(_CONTROL) - 1))
+
+
 def responses_of_pages(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
     """Response records (``record_id, target_uri, warc_date, http_headers, payload``) of crawled pages
     (``page_id, url, html``). A null page has an empty payload; a null url stays null."""
@@ -110,54 +124,76 @@ def responses_of_pages(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
 def derive(responses: DataFrame) -> DataFrame:
     """Two records for each response: ``metadata`` (title, language, links) and ``conversion`` (text).
 
-    An empty or null payload gives records with no title and an empty text. Repeated responses give repeated
-    records, with one identifier. No responses give no records. Columns of ``responses`` beyond those named
-    in ``responses_of_pages`` stay beside the record's, unless they have one of its names."""
-    extra = [c for c in responses.columns if c not in (*RECORD, "http_headers", "payload")]
-    r = responses.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("_digest", digest(F.col("payload")))
+    Links, language and title are those outside comments, scripts and other hidden parts. An empty or null payload gives records with
+    no title and an empty text; null headers stay null. Repeated responses give repeated
+    records, with one identifier; responses without identifier refer to none, and their records are identified by address and
+    payload. No responses give no records. Columns of ``responses`` beyond those named
+    in ``responses_of_pages`` stay beside the record's, unless they have one of its names in any case."""
+    names = responses.columns
+    taken = {"record_id", "target_uri", "warc_date", "http_headers", "payload"}
+    extra = [i for i, c in enumerate(names) if c.lower() not in (*RECORD, "http_headers", "payload")]
+    kept = [f"_x{i}" for i in extra]
+    r = responses.toDF(*[c if c in taken else f"_x{i}" for i, c in enumerate(names)]).select(*kept, *sorted(taken))
+    r = r.withColumn("payload", F.coalesce("payload", F.lit("")))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     found = lambda value: F.regexp_replace(F.regexp_replace(value, TAG, ""), r"\s+", " ")
+    shown = lambda value: F.trim(one_line(readable(value)))
     # Columns of their own, as what an expression holds twice is computed twice.
-    r = r.select("*", found(F.regexp_extract("payload", TITLE, 1)).alias("_title"), found(unquoted(F.regexp_extract("payload", LANGUAGE, 1))).alias("_language"), F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)).alias("_links"), untagged(F.col("payload")).alias("_untagged"))
+    r = r.select("*", digest(F.col("payload")).alias("_digest"), visible(F.col("payload")).alias("_visible"))
+    r = r.select("*", found(F.regexp_extract("_visible", TITLE, 1)).alias("_title"), found(unquoted(F.regexp_extract("_visible", LANGUAGE, 1))).alias("_language"), F.regexp_extract_all("_visible", F.lit(LINK), F.lit(1)).alias("_links"), untagged(F.col("_visible")).alias("_untagged"))
     links = F.transform("_links", unquoted)
-    outlinks = F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), readable(x), F.lit(f" L a/@href{CRLF}"))), "")
-    fields = F.concat(field("title", F.trim(readable(F.col("_title")))), field("language", F.trim(readable(F.col("_language")))), field("source-digest", F.col("_digest")), field("outlinks", F.size("_links").cast("string")), outlinks)
+    outlinks = F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), one_line(readable(x)), F.lit(f" L a/@href{CRLF}"))), "")
+    fields = F.concat(field("title", shown(F.col("_title"))), field("language", shown(F.col("_language"))), field("source-digest", F.col("_digest")), field("outlinks", F.size("_links").cast("string")), outlinks)
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_untagged")).alias("block")),
     )
-    d = r.select(*extra, F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("_digest").alias("source_digest"), F.explode(kinds).alias("k"))
-    d = d.select("*", "k.warc_type", "k.content_type", "k.block").drop("k")
-    d = d.withColumn("record_id", uuid_of(F.concat_ws(" ", "warc_type", "refers_to"))).withColumn("block_digest", digest(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
-    return d.select(*extra, *RECORD)
+    source = F.coalesce("record_id", F.concat_ws(" ", F.coalesce("target_uri", F.lit("-")), "_digest"))
+    d = r.select(*kept, F.col("record_id").alias("refers_to"), source.alias("_source"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("_digest").alias("source_digest"), F.explode(kinds).alias("_kind"))
+    d = d.select("*", "_kind.warc_type", "_kind.content_type", "_kind.block")
+    d = d.withColumn("record_id", uuid_of(F.concat_ws(" ", "warc_type", "_source"))).withColumn("block_digest", digest(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
+    return d.select(*[F.col(f"_x{i}").alias(names[i]) for i in extra], *RECORD)
 
 
 def record_text(df: DataFrame) -> DataFrame:
     """Each record as text of a WARC file, without the blank lines that end it."""
-    line = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{CRLF}{name}: "), F.col(c).cast("string"))).otherwise("")
-    head = F.concat(F.lit(VERSION), line("WARC-Type", "warc_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "target_uri"), line("WARC-Date", "warc_date"), line("WARC-Block-Digest", "block_digest"), line("WARC-Source-Payload-Digest", "source_digest"), F.concat(F.lit(f"{CRLF}WARC-Source-Headers: "), F.replace(F.base64(F.col("source_headers").cast("binary")), F.lit(CRLF), F.lit(""))), line("Content-Type", "content_type"), line("Content-Length", "content_length"))
+    line = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{CRLF}{name}: "), one_line(F.col(c).cast("string")))).otherwise("")
+    head = F.concat(F.lit(VERSION), line("WARC-Type", "warc_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "target_uri"), line("WARC-Date", "warc_date"), line("WARC-Block-Digest", "block_digest"), line("WARC-Source-Payload-Digest", "source_digest"), F.coalesce(F.concat(F.lit(f"{CRLF}WARC-Source-Headers: "), F.replace(F.base64(F.col("source_headers").cast("binary")), F.lit(CRLF), F.lit(""))), F.lit("")), line("Content-Type", "content_type"), line("Content-Length", "content_length"))
     return df.select(F.concat(head, F.lit(CRLF + CRLF), "block").alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """gzip WARC files, one for each partition."""
+    """gzip WARC files, one for each partition, each one gzip member."""
     record_text(records).write.option("compression", "gzip").option("lineSep", CRLF * 2).mode("errorifexists").text(path)
 
 
+def _records(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """Of every record of WARC files its head and its block, as text."""
+    raw = spark.read.option("lineSep", f"{CRLF}{CRLF}{version}{CRLF}").text(path)
+    parts = raw.select(F.regexp_replace("value", f"^{version}{CRLF}", "").alias("t")).withColumn("h", F.substring_index("t", CRLF * 2, 1))
+    parts = parts.withColumn("b", F.expr(f"substring(t, length(h) + {len(CRLF * 2) + 1})"))
+    return parts.select("h", F.when(F.col("b").endswith(CRLF * 2), F.expr("left(b, length(b) - 4)")).otherwise(F.col("b")).alias("b"))
+
+
+def _of(name: str) -> Column:
+    return F.nullif(F.regexp_extract("h", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of files that ``write_warc`` wrote, as ``derive`` gives them, and ``complete``: whether
     the block has the length and the digest that its header states."""
-    raw = spark.read.option("lineSep", f"{CRLF}{CRLF}{VERSION}{CRLF}").text(path)
-    text = F.regexp_replace("value", f"^{VERSION}{CRLF}", "")
-    head = F.substring_index("t", CRLF * 2, 1)
-    block = F.expr(f"substring(t, length(h) + {len(CRLF * 2) + 1})")
-    parts = raw.select(text.alias("t")).withColumn("h", head).withColumn("b", block)
-    parts = parts.withColumn("b", F.when(F.col("b").endswith(CRLF * 2), F.expr("left(b, length(b) - 4)")).otherwise(F.col("b")))
-    of = lambda name: F.nullif(F.regexp_extract("h", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
-    out = parts.select(of("WARC-Record-ID").alias("record_id"), of("WARC-Refers-To").alias("refers_to"), of("WARC-Type").alias("warc_type"), of("WARC-Target-URI").alias("target_uri"), of("WARC-Date").alias("warc_date"), of("Content-Type").alias("content_type"), F.unbase64(of("WARC-Source-Headers")).cast("string").alias("source_headers"), of("WARC-Source-Payload-Digest").alias("source_digest"), of("WARC-Block-Digest").alias("block_digest"), of("Content-Length").cast("long").alias("content_length"), F.col("b").alias("block"))
+    out = _records(spark, path, VERSION).select(_of("WARC-Record-ID").alias("record_id"), _of("WARC-Refers-To").alias("refers_to"), _of("WARC-Type").alias("warc_type"), _of("WARC-Target-URI").alias("target_uri"), _of("WARC-Date").alias("warc_date"), _of("Content-Type").alias("content_type"), F.unbase64(_of("WARC-Source-Headers")).cast("string").alias("source_headers"), _of("WARC-Source-Payload-Digest").alias("source_digest"), _of("WARC-Block-Digest").alias("block_digest"), _of("Content-Length").cast("long").alias("content_length"), F.col("b").alias("block"))
     return out.withColumn("complete", (F.octet_length("block") == F.col("content_length")) & (digest(F.col("block")) == F.col("block_digest")))
 
 
+def read_responses(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """The response records of a crawl's WARC files (gzip or plain, of one version), for ``derive``. Other records are
+    left out. Files are read as UTF-8: bytes that are not become U+FFFD."""
+    kept = _records(spark, path, version).where(F.lower(_of("WARC-Type")) == "response")
+    head = F.substring_index("b", CRLF * 2, 1)
+    return kept.select(_of("WARC-Record-ID").alias("record_id"), _of("WARC-Target-URI").alias("target_uri"), _of("WARC-Date").alias("warc_date"), F.concat(head, F.lit(CRLF)).alias("http_headers"), F.expr(f"substring(b, length(substring_index(b, '\\r\\n\\r\\n', 1)) + {len(CRLF * 2) + 1})").alias("payload"))
+
+
 def derivative_sql(source: str = "pages") -> str:
     """Digest columns of ``derive`` over pages as DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -169,13 +205,14 @@ def derivative_sql(source: str = "pages") -> str:
 
     sub = lambda x, pattern, to="": f"regexp_replace({x}, {quote(pattern)}, {to if to.startswith('chr') else quote(to)}, 'g')"
     uuid = lambda d: f"'<urn:uuid:' || substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-' || substr({d}, 13, 4) || '-' || substr({d}, 17, 4) || '-' || substr({d}, 21, 12) || '>'"
-    text = read(sub(sub(sub("html", HIDDEN, " "), BREAKING, "chr(10)"), TAG))
+    text = read(sub(sub("seen", BREAKING, "chr(10)"), TAG))
     text = sub(sub(sub(text, r"[ \t\r\f]+", " "), r" ?\n[\n ]*", "chr(10)"), r"^[\n ]+|[\n ]+$")
-    found = lambda pattern: f"trim({read(sub(sub(f'regexp_extract(html, {quote(pattern)}, 1)', TAG), r'[\s]+', ' '))})"
+    found = lambda pattern: f"trim({read(sub(sub(f'regexp_extract(seen, {quote(pattern)}, 1)', TAG), r'[\s]+', ' '))})"
     end = "chr(13) || chr(10)"
     return f"""
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5('response ' || coalesce(page_id::VARCHAR, '-') || ' ' || coalesce(url, '-')) AS m FROM {source}),
-        r AS (SELECT *, {uuid("m")} AS refers_to, 'sha256:' || sha256(html) AS source_digest, regexp_extract_all(html, {quote(SQL_LINK)}, 1) AS links FROM p),
+        q AS (SELECT *, {sub("html", HIDDEN, " ")} AS seen FROM p),
+        r AS (SELECT *, {uuid("m")} AS refers_to, 'sha256:' || sha256(html) AS source_digest, regexp_extract_all(seen, {quote(SQL_LINK)}, 1) AS links FROM q),
         k AS (
             SELECT page_id, url, refers_to, source_digest, html, 'metadata' AS warc_type,
                    'title: ' || {found(TITLE)} || {end} || 'language: ' || {found(SQL_LANGUAGE)} || {end} || 'source-digest: ' || source_digest || {end}
