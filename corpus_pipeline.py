@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over many sources go; every document stays."""
-    return line_dedup.dedup_lines(docs)
+    """Lines spread over many sources go; every document stays. Copies count once, as the next stage removes them."""
+    return line_dedup.dedup_lines(docs, copies_once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
