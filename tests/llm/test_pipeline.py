@@ -65,12 +65,18 @@ def plain_mix(rows):
             seen[c[k]] += n
         share = {v: n ** mixing.TEMPER[name] for v, n in seen.items() if n}
         goals.append({v: s / sum(share.values()) * sum(weight.values()) for v, s in share.items()})
-    for _ in range(mixing.ROUNDS):
+    off = [0.0]
+    while len(off) <= mixing.MOST_ROUNDS:
+        worst = 0.0
         for k, goal in enumerate(goals):
             now = Counter()
             for c, n in weight.items():
                 now[c[k]] += n * factor[c]
+            worst = max([worst, *(abs(goal[v] / m - 1) for v, m in now.items() if m > 0)])
             factor = {c: f * goal[c[k]] / now[c[k]] if now[c[k]] > 0 else f for c, f in factor.items()}
+        off.append(worst)
+        if worst <= mixing.TOLERANCE or len(off) - 1 > 2 * mixing.STALL and worst > 0.9 * off[-1 - mixing.STALL]:
+            break
     most = max(f for c, f in factor.items() if weight[c])
     odds = {c: min(1.0, f / most) if weight[c] else 1.0 for c, f in factor.items()}
     draw = lambda d: int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:13], 16) / 16**13
