@@ -125,9 +125,17 @@ class _Memory(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [c for c in range(256) if c not in set(shown)]
         self.letters = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(hidden)}
+        self.space = chr(self.letters[32])
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + len(self.special))]
 
     def merged(self, chunk: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(chunk.encode().decode("latin-1").translate(self.letters))])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(chunk.encode().decode("latin-1").translate(self.letters))])
+
+    def merged_word(self, chunk: str) -> bytes:
+        """ASCII letters after a space or nothing, of which only the space is written otherwise."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(chunk.replace(" ", self.space))])
 
     def remembered(self, chunk: str) -> bytes:
         ids = self.known.get(chunk)
@@ -140,9 +148,12 @@ class _Memory(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes | None:
-        safe = chunk[-1:].isalnum() or chunk in (",", ".")
-        parts = self.find(chunk) if safe else ()
-        ids = None if not safe else self.merged(chunk) if len(parts) == 1 else b"".join(map(self.remembered, parts))
+        if chunk.removeprefix(" ").isalpha():  # one part of the pattern
+            ids = self.merged_word(chunk) if chunk.isascii() else self.merged(chunk)
+        else:
+            safe = chunk[-1:].isalnum() or chunk in (",", ".")
+            parts = self.find(chunk) if safe else ()
+            ids = None if not safe else self.merged(chunk) if len(parts) == 1 else b"".join(map(self.remembered, parts))
         if len(chunk) <= 64:
             if len(self) >= MEMORY:
                 self.clear()
@@ -154,7 +165,8 @@ def encoder(path: str, pattern: str):
     """text -> ids as bytes. The tokenizer splits a text by ``pattern`` before it merges, so the ids of a
     text are those of its chunks. Chunks always part before a space between two others and before a comma
     or full stop that follows a letter or digit, so a text is split there by plain replacement, and by the
-    pattern where some chunk rules that out. A text with the string of a special token goes whole."""
+    pattern around a chunk that rules that out. Letters, after one space or none, are one chunk of the pattern. A text with the string
+    of a special token goes whole."""
     memories = scratch("packing", dict)
     if (path, pattern) not in memories:
         memories[path, pattern] = _Memory(path, regex.compile(pattern).findall)
@@ -165,9 +177,18 @@ def encoder(path: str, pattern: str):
             return b"".join(i.to_bytes(4, "little") for i in memory.tokenizer.encode(text, add_special_tokens=False).ids)
         if not ("\0" in text or ".." in text or ",," in text or ".," in text or ",." in text):
             chunks = text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").split("\0")
-            ids = [memory[c] for c in chunks]
-            if None not in ids:
-                return b"".join(ids)
+            ids = list(map(memory.__getitem__, chunks))
+            if None in ids:
+                out, i = [], 0
+                ids.append(None)
+                while (bad := ids.index(None, i)) < len(chunks):
+                    out += ids[i:bad]
+                    i = bad + 1  # with what follows, up to the next letter or digit that ends a chunk
+                    while i < len(chunks) and not chunks[i - 1][-1:].isalnum():
+                        i += 1
+                    out += map(memory.remembered, memory.find("".join(chunks[bad:i])))
+                return b"".join(out + ids[i:-1])
+            return b"".join(ids)
         return b"".join(map(memory.remembered, memory.find(text)))
 
     return encode
