@@ -17,7 +17,7 @@ from kairograph.operators import neighbourhood, rules, snapshots, support
 from kairograph.operators.matching import distinct_matches, match, match_counts
 from kairograph.plans import lattice
 from kairograph.plans.miner import mine
-from kairograph.queries import ACTIVE, BASED_IN, BOUGHT, DEPENDENCIES, FORK, IN_NATION, IN_REGION, PAIRS_OF_T, PATH, SINGLE, SUPPLIES, THETA, TREE, T, _candidates, _columns, _first, _g, _group, _groups, _numerators, _rule_steps, _RULES, _support, _SUPPORT_COUNTS, _CENTERS, _VIEW, _distinct, _view, pattern_support_query
+from kairograph.queries import ACTIVE, BASED_IN, BOUGHT, DEPENDENCIES, IN_NATION, IN_REGION, PAIRS_OF_T, PATH, SINGLE, SUPPLIES, THETA, TREE, T, _candidates, _first, _g, _group, _groups, _numerators, _rule_steps, _RULES, _support, _SUPPORT_COUNTS, _CENTERS, _VIEW, _distinct, _view, pattern_support_query
 
 #: Edge types and vertex types of the commerce graph by how often its first year has them.
 EDGES = [BOUGHT, SUPPLIES, IN_NATION, BASED_IN, IN_REGION]
