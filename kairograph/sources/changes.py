@@ -31,9 +31,10 @@ def read_changes(spark: SparkSession, folder: str, timestamps: int, edges: bool
     array of changes ends the run with an error. ``seq`` is the place in the file."""
     paths = [f"{folder}/{FILE.format(t - 1, t)}" for t in range(1, timestamps)]
     raw = spark.read.format("binaryFile").load(paths)
-    # Spark passes over files without a byte
-    missing = spark.range(1, timestamps).select(F.col("id").cast("int").alias("t")).join(raw.select(_step().alias("t")), "t", "left_anti")
-    empty = missing.where(F.raise_error(F.concat(F.lit("no JSON array of changes: step "), F.col("t").cast("string"))).isNotNull())
+    # Spark passes over files without a byte. The test reads an aggregate, as a filter on one side of a join may run before the join.
+    lost = F.array_except(F.array(*[F.lit(t) for t in range(1, timestamps)]), "found")
+    whole = F.assert_true(F.size(lost) == 0, F.concat(F.lit("no JSON array of changes: step "), F.array_join(lost, ", ")))
+    empty = raw.agg(F.collect_set(_step()).alias("found")).where(whole.isNotNull()).select(F.lit(None).cast("int").alias("t"))
     each = steps_of(raw)
     return typed(each.unionByName(empty, allowMissingColumns=True), edges)
 

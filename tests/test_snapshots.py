@@ -149,6 +149,19 @@ def test_broken_change_files_and_repeated_attributes(spark, tmp_path):
             changes.read_changes(spark, str(folder), 2).collect()
 
 
+def test_change_files_that_the_engine_wrote_are_whole(spark, tmp_path):
+    for t in (1, 2, 3):  # folders of one text file
+        rows = json.dumps([{"id": t, "typeOfChange": "insertEdge", "src": "a", "dst": f"b{k}", "label": "l"} for k in range(t)])
+        spark.createDataFrame([(rows,)], "value string").write.text(f"{tmp_path}/{changes.FILE.format(t - 1, t)}")
+    out = str(tmp_path / "read")
+    changes.read_changes(spark, str(tmp_path), 4).write.parquet(out)
+    assert {r["t"]: r["count"] for r in spark.read.parquet(out).groupBy("t").count().collect()} == {1: 1, 2: 2, 3: 3}
+    part = next((tmp_path / changes.FILE.format(1, 2)).glob("part-*"))
+    part.write_text("")
+    with pytest.raises(Exception, match="no JSON array of changes: step 2"):
+        changes.read_changes(spark, str(tmp_path), 4).write.parquet(str(tmp_path / "again"))
+
+
 def test_rebinding_and_jobs(spark):
     a = first_graph(spark)
     b = Graph(spark.createDataFrame([(0, "u1", "person", {"age": "5"}), (0, "u2", "town", {}), (0, "u9", "person", {})], VERTICES), a.edges)
