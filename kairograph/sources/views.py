@@ -34,7 +34,8 @@ def commerce(spark: SparkSession, folder: str, only: int | None = None, first_ye
     are there in the years in which they order; nations, regions, parts and suppliers always. Edges: in_nation, in_region,
     based_in, and by year bought (customer to part) and supplies (supplier to part)."""
     lo, hi = (0, years - 1) if only is None else (only, only)
-    every = F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("t")
+    # joined, as Spark counts the rows that a join may give, but not those of an exploded array, and would broadcast large tables
+    every = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("t"))
     dated = _table(spark, folder, "orders").where((F.col("o_orderdate") >= F.lit(f"{first_year + lo}-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit(f"{first_year + hi + 1}-01-01").cast("timestamp")))
     orders = dated.select("o_orderkey", "o_custkey", (F.year("o_orderdate") - first_year).cast("int").alias("t"))
     active = orders.select("t", F.col("o_custkey").alias("c_custkey")).distinct()
@@ -48,13 +49,14 @@ def commerce(spark: SparkSession, folder: str, only: int | None = None, first_ye
         (part, "p_partkey", "part", _attrs(brand=F.lower("p_brand"), ptype=F.lower("p_type"))),
         (supplier, "s_suppkey", "supplier", _attrs(tier=_tier("s_acctbal"), digit=(F.col("s_suppkey") % 10).cast("string"))),
     ):
-        v = v.unionByName(df.select(every, _uri(key, vtype).alias("uri"), F.lit(vtype).alias("vtype"), attrs.alias("attrs")))
+        v = v.unionByName(df.crossJoin(every).select("t", _uri(key, vtype).alias("uri"), F.lit(vtype).alias("vtype"), attrs.alias("attrs")))
     e = buyers.select("t", _uri("c_custkey", "customer").alias("src"), _uri("c_nationkey", "nation").alias("dst"), F.lit("in_nation").alias("label"))
-    e = e.unionByName(nation.select(every, _uri("n_nationkey", "nation").alias("src"), _uri("n_regionkey", "region").alias("dst"), F.lit("in_region").alias("label")))
-    e = e.unionByName(supplier.select(every, _uri("s_suppkey", "supplier").alias("src"), _uri("s_nationkey", "nation").alias("dst"), F.lit("based_in").alias("label")))
+    e = e.unionByName(nation.crossJoin(every).select("t", _uri("n_nationkey", "nation").alias("src"), _uri("n_regionkey", "region").alias("dst"), F.lit("in_region").alias("label")))
+    e = e.unionByName(supplier.crossJoin(every).select("t", _uri("s_suppkey", "supplier").alias("src"), _uri("s_nationkey", "nation").alias("dst"), F.lit("based_in").alias("label")))
     lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    e = e.unionByName(lines.select("t", _uri("o_custkey", "customer").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("bought").alias("label")).distinct())
-    e = e.unionByName(lines.select("t", _uri("l_suppkey", "supplier").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("supplies").alias("label")).distinct())
+    # keys are shorter than names
+    e = e.unionByName(lines.select("t", "o_custkey", "l_partkey").distinct().select("t", _uri("o_custkey", "customer").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("bought").alias("label")))
+    e = e.unionByName(lines.select("t", "l_suppkey", "l_partkey").distinct().select("t", _uri("l_suppkey", "supplier").alias("src"), _uri("l_partkey", "part").alias("dst"), F.lit("supplies").alias("label")))
     return Graph(v, e)
 
 

@@ -195,3 +195,24 @@ def test_vertex_compatibility(spark):
     node = lattice.seeds(["a", "b"])
     node[0].support, node[1].support, node[1].pruned = 0.5, 0.1, True
     assert lattice.total_support(node) == 0.5
+
+
+def test_vertices_of_all_years_are_not_taken_for_a_small_table(spark, tmp_path):
+    from kairograph.sources import views
+
+    spark.range(2000).selectExpr("id p_partkey", "concat('Brand#', id % 7) p_brand", "concat('t', id) p_type").write.parquet(f"{tmp_path}/part.parquet")
+    for name, columns in {
+        "customer": "id c_custkey, int(id) c_nationkey, 1.0D c_acctbal, 'x' c_mktsegment",
+        "supplier": "id s_suppkey, int(id) s_nationkey, 1.0D s_acctbal",
+        "nation": "int(id) n_nationkey, 'n' n_name, int(id) n_regionkey",
+        "region": "int(id) r_regionkey, 'r' r_name",
+        "orders": "id o_orderkey, id o_custkey, timestamp '1996-02-01' o_orderdate",
+        "lineitem": "id l_orderkey, id l_partkey, id l_suppkey",
+    }.items():
+        twice = 2 if name == "lineitem" else 1
+        spark.range(3 * twice).selectExpr("id % 3 id").selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    g = views.commerce(spark, str(tmp_path))
+    assert size(g.vertices.where("vtype = 'part'")) >= views.YEARS * size(spark.read.parquet(f"{tmp_path}/part.parquet"))
+    assert g.vertices.where("vtype = 'part'").groupBy("t").count().where("count = 2000").count() == views.YEARS
+    assert sorted(map(tuple, g.edges.where("label = 'bought'").collect())) == [(1, f"{k}-customer", f"{k}-part", "bought") for k in range(3)]
