@@ -52,6 +52,14 @@ def linked(nodes: list[list[bytes]], copies: list[np.ndarray], pairs: Iterable[t
     return pd.DataFrame({"node": pd.Series([names[k] for k in found], dtype="object"), "links": links[found].astype(np.int64), "root": pd.Series([names[k] for k in labels.at[found].tolist()], dtype="object")})
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """edges: node, root; nodes of few roots each, as these are gathered in a row. The same components from one edge of each node, to
+    the least of its roots, and one from each other root to that, which nodes with the same roots share."""
+    of = edges.groupBy("node").agg(F.collect_set("root").alias("roots")).select("node", "roots", F.array_min("roots").alias("least"))
+    others = of.where(F.size("roots") > 1).select(F.explode("roots").alias("node"), "least").where("node <> least").distinct()
+    return of.select("node", F.col("least").alias("root")).unionByName(others.withColumnRenamed("least", "root"))
+
+
 def _falling(e: DataFrame) -> DataFrame:
     """Nodes with smaller and larger neighbours, and the least of them."""
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import cut, in_worker, parallelism, pick, release, ship
-from kairograph.llm.components import components, linked
+from kairograph.llm.components import components, contracted, linked
 from kairograph.llm.substring_dedup import BASES, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -234,7 +234,8 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     pairs = cut(pairs.unionByName(large.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
     values = reps.select("node", "values")
     edges = pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b").select("a", "b", "va", "vb").mapInArrow(in_worker("ngrams", _likely(threshold)), "a binary, b binary")
-    edges = cut(edges, "edges")
+    # a node has an edge for each band, or for each other member of a small bucket; one will do where they lead to the same
+    edges = cut(contracted(edges.select(F.col("b").alias("node"), F.col("a").alias("root"))), "edges")
     release(pairs)
     clusters = components(edges)
     # Large buckets that are still in several pieces.
@@ -248,7 +249,7 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
         blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("size") / SMALL), F.lit(busy(spark)))).cast("int")
         more = cut(_dealt(held, "band", blocks).select("band", "i", "j", "block", "node", "values").groupBy("band", "i", "j").applyInPandas(_ties(threshold), "node binary, root binary"), "ties")
         release(clusters, same)
-        clusters = components(edges.union(more))
+        clusters = components(edges.union(contracted(more)))
         release(more)
     release(members, edges, torn)
     return clusters
@@ -301,7 +302,8 @@ def _joined(docs: DataFrame, threshold: float) -> DataFrame:
     found = cut(dealt.select("cluster", "i", "j", "block", "node", "copies", "values", "set").groupBy("cluster", "i", "j").applyInPandas(_verify(threshold), "node binary, links long, root binary"), "links")
     release(reps, clusters, sizes)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.select("node", "root"))
+    # a node comes from as many tasks as there are blocks
+    groups = components(contracted(found.select("node", "root")))
     least = cut(groups.join(classes.select("digest", "class_id"), groups["node"] == classes["digest"]).groupBy("root").agg(F.min("class_id").alias("component_id")), "least")
     linked = links.join(groups.join(least, "root").select("node", "component_id"), "node").withColumnRenamed("node", "digest")
     verdict = cut(classes.where("rows > 1").select("digest", "class_id", "copies").join(linked, "digest", "full"), "verdict")

@@ -8,6 +8,7 @@ import pytest
 from helpers import WORD, awkward, docs, groups
 
 from kairograph.llm import line_dedup, ngram_join, substring_dedup
+from kairograph.llm.components import components, contracted
 
 
 def plain_substrings(rows, window):
@@ -185,3 +186,20 @@ def test_posterior_bound():
         m = ngram_join.least_matches(n)
         assert 0 < m < 0.8 * n
     assert ngram_join.least_matches(128) / 128 > 0.5
+
+
+def test_edges_of_near_copies_grow_with_members_alone(spark, monkeypatch):
+    counts, whole = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda e: counts.append(e.count()) or whole(e))
+    words = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*words[: k % 190], f"x{k}", *words[k % 190 + 1 :]])) for k in range(300)]
+    out = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()
+    assert {(r["component_id"], r["n_links"]) for r in out} == {(0, 299)}
+    assert counts and max(counts) <= 2 * len(rows)
+
+
+def test_contracted_edges_hold_together_what_the_whole_do(spark):
+    rnd = random.Random(5)
+    for n, m in ((40, 60), (200, 150), (30, 300)):
+        edges = spark.createDataFrame([(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)], "node int, root int")
+        assert set(components(contracted(edges)).collect()) == set(components(edges).collect())
