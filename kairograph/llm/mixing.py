@@ -4,7 +4,8 @@ Token counts are summed over the cells of (source, language, topic). Raking mult
 factors until every marginal has its target share, and a document is sampled with its
 cell's factor over the largest. Only cells are raked, so the work of a round does not depend on
 the number of documents. Cells stay a distributed table that is summed by value with partial aggregation, so that a
-value which all cells share is no task of its own; the factors, a row for each value, are written once a round.
+value which all cells share is no task of its own; the factors, a row for each value, are written once a round. Up to
+``BROADCAST_CELLS`` cells and values are raked within one row instead, by the same steps, as a hundred rounds of small jobs fill the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import cut, release
@@ -64,7 +65,6 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
         part = share.select(F.lit(d).alias("dim"), "value", (F.col("_share") / F.lit(total) * F.lit(float(whole))).alias("goal"))
         goals = part if goals is None else goals.unionByName(part)
     goals = cut(goals, "goals")
-    factors = cut(goals.select("dim", "value", F.lit(1.0).alias("factor")), "factors")
 
     def weighed(by: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
         """Cells with the factors of some dimensions, and their product."""
@@ -74,8 +74,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
         return out, reduce(lambda a, b: a * b, [F.col(f"_f_{d}") for d in by])
 
     of = lambda table, d: table.where(F.col("dim") == d).select("value", *[c for c in table.columns if c not in ("dim", "value")])
-    off = [0.0]
-    for done in range(1, rounds + 1):
+    few = cells.count() <= BROADCAST_CELLS and goals.count() <= BROADCAST_CELLS
+    if few:
+        factors, off = _raked_at_once(cells, goals, dims, rounds)
+    else:
+        factors, off = cut(goals.select("dim", "value", F.lit(1.0).alias("factor")), "factors"), [0.0]
+    for done in range(1, 1 if few else rounds + 1):
         now = {d: of(factors, d) for d in dims}
         for d in dims:
             rows, weight = weighed({k: f for k, f in now.items() if k != d})
@@ -96,6 +100,61 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
     return out
 
 
+def _raked_at_once(cells: DataFrame, goals: DataFrame, dims: list[str], rounds: int) -> tuple[DataFrame, list[float]]:
+    """All rounds of ``rake`` over one row that holds the cells, so that they are one job: dim, value, factor, and by how much the
+    marginals were off in each round. Factors are held in arrays, one a dimension, in the order of their values."""
+    at = cut(goals.withColumn("k", F.row_number().over(Window.partitionBy("dim").orderBy("value"))), "places")
+    named = cells.select(*[F.col(d).cast("string").alias(f"_v{n}") for n, d in enumerate(dims)], F.col("tokens").cast("double").alias("n"))
+    for n, d in enumerate(dims):
+        named = named.join(at.where(F.col("dim") == d).select(F.col("value").alias(f"_v{n}"), F.col("k").alias(f"k{n}")), f"_v{n}")
+    named = cut(named.select("n", *[f"k{n}" for n in range(len(dims))]), "places")
+    row = None
+    for n, d in enumerate(dims):
+        others = [f"k{m}" for m in range(len(dims)) if m != n]
+        own = named.groupBy(F.col(f"k{n}").alias("k")).agg(F.array_sort(F.collect_list(F.struct(*others, "n"))).alias("cells"))
+        held = at.where(F.col("dim") == d).join(own, "k", "left").select(F.struct("k", "value", "goal", "cells").alias("s"))
+        part = held.agg(F.array_sort(F.collect_list("s"), lambda a, b: a["k"] - b["k"]).alias(f"g{n}"))
+        row = part if row is None else row.crossJoin(part)
+
+    # One step sets one dimension, and one more a round sees what factors have changed by: ``f`` are factors, ``o`` those of the round before.
+    def fitted(s: Column, n: int) -> Column:
+        def weight(c: Column) -> Column:
+            return reduce(lambda a, b: a * b, [c["n"], *[F.get(s[f"f{m}"], c[f"k{m}"] - 1) for m in range(len(dims)) if m != n]])
+
+        def factor(v: Column) -> Column:
+            total = F.aggregate(F.coalesce(v["cells"], F.array().cast(kind_of[n])), F.lit(0.0), lambda acc, c: acc + weight(c))
+            return F.aggregate(F.array(total), F.lit(1.0), lambda _, x: F.when((x > 0) & v["goal"].isNotNull(), v["goal"] / x).otherwise(F.lit(1.0)))
+
+        return F.transform(f"g{n}", factor)
+
+    kind_of = [row.schema[f"g{n}"].dataType.elementType["cells"].dataType for n in range(len(dims))]
+
+    def step(s: Column, i: Column) -> Column:
+        turn = F.pmod(i, F.lit(len(dims) + 1))
+        seen = turn == len(dims)
+        change = [F.array_max(F.zip_with(s[f"f{n}"], s[f"o{n}"], lambda f, o: F.abs(f / o - 1))) for n in range(len(dims))]
+        worst = F.coalesce(F.array_max(F.array(*change)), F.lit(0.0))
+        off = F.when(seen, F.concat(s["off"], F.array(worst))).otherwise(s["off"])
+        new = [F.when(turn == n, fitted(s, n)).otherwise(s[f"f{n}"]).alias(f"f{n}") for n in range(len(dims))]
+        old = [F.when(seen, s[f"f{n}"]).otherwise(s[f"o{n}"]).alias(f"o{n}") for n in range(len(dims))]
+        last, long_ago = F.try_element_at(s["off"], F.lit(-1)), F.try_element_at(s["off"], F.lit(-1 - STALL))
+        # ``off`` begins with a zero for the start
+        met = (F.size(s["off"]) > 1) & ((last <= TOLERANCE) | (F.size(s["off"]) - 1 > 2 * STALL) & (last > 0.9 * long_ago))
+        held = [s[f"{c}{n}"].alias(f"{c}{n}") for c in "fo" for n in range(len(dims))]
+        return F.when((turn == 0) & met | s["done"], F.struct(*held, s["off"].alias("off"), F.lit(True).alias("done"))).otherwise(F.struct(*new, *old, off.alias("off"), F.lit(False).alias("done")))
+
+    ones = [F.transform(f"g{n}", lambda _: F.lit(1.0)) for n in range(len(dims))]
+    start = F.struct(*[x.alias(f"f{n}") for n, x in enumerate(ones)], *[x.alias(f"o{n}") for n, x in enumerate(ones)], F.array(F.lit(0.0)).alias("off"), F.lit(False).alias("done"))
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(rounds * (len(dims) + 1) - 1)), start, step) if rounds else start
+    named_factor = lambda d: lambda v, f: F.struct(F.lit(d).alias("dim"), v["value"].alias("value"), f.alias("factor"))
+    each = [F.zip_with(f"g{n}", F.col("end")[f"f{n}"], named_factor(d)) for n, d in enumerate(dims)]
+    out = cut(row.withColumn("end", end).select(F.concat(*each).alias("each"), "end.off"), "raked")
+    factors = cut(out.select(F.explode("each").alias("e")).select("e.*"), "factors")
+    off = out.select("off").first()[0]
+    release(at, named, out)
+    return factors, off
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, rounds: int = MOST_ROUNDS, seed: str = SEED, topic: Column | None = None, report: bool = False) -> DataFrame:
     """Sample documents so that expected token shares meet the targets. Columns and rows of ``docs``
     that are drawn; with ``report``, for every row ``doc_id, tokens, topic, probability, kept``.

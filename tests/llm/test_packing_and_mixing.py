@@ -126,3 +126,18 @@ def test_mixing_handles_awkward_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     shares = spark.range(20000).select(mixing.draw(F.col("id")).alias("u")).agg(F.avg("u"), F.min("u"), F.max("u")).first()
     assert abs(shares[0] - 0.5) < 0.01 and shares[1] >= 0 and shares[2] < 1
+
+
+def test_rounds_over_few_cells_are_one_job(spark, monkeypatch):
+    rnd = random.Random(4)
+    cells = [(s, lang, t, rnd.choice([0, 7, rnd.randint(1, 900)])) for s in "abcd" for lang in "xyz" for t in "pq" if rnd.random() < 0.8] + [("e", None, "p", 5)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    goal = {"lang": spark.createDataFrame([("x", 5.0), ("y", 3.0), ("none", 9.0)], "v string, share double")}
+    written, whole = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda d, label: written.append(label) or whole(d, label))
+    out = []
+    for most in (100_000, 0):  # all in one row, and as a distributed table
+        monkeypatch.setattr(mixing, "BROADCAST_CELLS", most)
+        out.append({tuple(r)[:4]: r["factor"] for r in mixing.rake(df, goal, rounds=4).collect()})
+        assert most == 0 or len(written) <= 6
+    assert out[0].keys() == out[1].keys() and all(abs(out[0][k] / out[1][k] - 1) < 1e-12 for k in out[1])
