@@ -8,6 +8,7 @@ from helpers import awkward, groups
 from pyspark.sql import functions as F
 
 from kairograph.llm import audio, embedding_dedup
+from kairograph.llm import components as stars
 from kairograph.llm.components import components
 
 
@@ -20,6 +21,24 @@ def test_components_of_chains_stars_and_repeats(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_no_rounds_and_give_what_rounds_do(spark, monkeypatch):
+    written, whole = [], stars.cut
+    monkeypatch.setattr(stars, "cut", lambda df, label: written.append(label) or whole(df, label))
+    rnd = random.Random(6)
+    pairs = [(i, i + 1) for i in range(300)] + [(rnd.randrange(400, 600), rnd.randrange(400, 600)) for _ in range(120)]
+    key = lambda x: bytes([x * 37 % 251, x % 256, x // 256])
+    for rows, kind in ((pairs, "long"), ([(key(a), key(b)) for a, b in pairs], "binary")):
+        edges = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+        few = components(edges)
+        assert few.dtypes == [("node", edges.dtypes[0][1]), ("root", edges.dtypes[0][1])]
+        assert written == ["edges", "components"]
+        with monkeypatch.context() as m:
+            m.setattr(stars, "FEW", 0)
+            assert sorted(map(tuple, few.collect())) == sorted(map(tuple, components(edges).collect()))
+        assert len(written) > 6
+        written.clear()
+
+
 def test_embeddings_match_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = list(rng.normal(size=(300, 16)))
