@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kairograph.model import Edge, Graph, Pattern, column
 from kairograph.operators.neighbourhood import khop, signatures
+from kairograph.tables import cut
 
 Active = dict[str, list[str]]
 
@@ -61,18 +62,35 @@ def match(g: Graph, pattern: Pattern, active: Active, mode: str = "structural",
     return rows.select("t", F.col("uri").alias("center_uri"), *[F.col(f"`{c}`") for c in names], "n").where(valid(names, at_least))
 
 
-def _below(g: Graph, pattern: Pattern, vtype: str, came: Edge | None, rows, by: list[str], folded) -> DataFrame:
+#: What reaches vertices from the subtrees under them, written once: (edge, upper vertex type, edges below) -> table.
+Held = dict[tuple[Edge, str, frozenset[Edge]], DataFrame]
+#: Few columns a vertex: where each partition of them is small they are hashed, and the edges need no sort.
+HASHED = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(32 << 20)}
+
+
+def _under(pattern: Pattern, vtype: str, came: Edge) -> frozenset[Edge]:
+    """Edges of the subtree under a vertex type, as reached by an edge."""
+    return frozenset(x for e in pattern.incident(vtype) if e != came for x in (e, *_under(pattern, e.other(vtype), e)))
+
+
+def _below(g: Graph, pattern: Pattern, vtype: str, came: Edge | None, rows, by: list[str], folded, held: Held | None = None) -> DataFrame:
     """Rows of a vertex type joined with those of the subtrees under it. rows: vertex type -> t, uri, columns; what
-    reaches a parent is grouped by ``by`` and the subtree's own columns and folded by ``folded``."""
+    reaches a parent is grouped by ``by`` and the subtree's own columns and folded by ``folded``, and taken from or written to ``held``."""
     out = rows(vtype)
     for e in pattern.incident(vtype):
         if e == came:
             continue
-        below = _below(g, pattern, e.other(vtype), e, rows, by, folded)
-        near, far = ("src", "dst") if e.src == vtype else ("dst", "src")
-        hop = g.edges.where(F.col("label") == e.label).select("t", F.col(near).alias("_near"), F.col(far).alias("uri"))
-        own = [c for c in below.columns if c.startswith("v__")]
-        part = hop.join(below, ["t", "uri"]).groupBy(F.col("t"), F.col("_near").alias("uri"), *own, *by).agg(folded)
+        key = (e, vtype, _under(pattern, e.other(vtype), e))
+        if held is None or key not in held:
+            below = _below(g, pattern, e.other(vtype), e, rows, by, folded, held)
+            near, far = ("src", "dst") if e.src == vtype else ("dst", "src")
+            hop = g.edges.where(F.col("label") == e.label).select("t", F.col(near).alias("_near"), F.col(far).alias("uri"))
+            own = [c for c in below.columns if c.startswith("v__")]
+            part = hop.join(below, ["t", "uri"]).groupBy(F.col("t"), F.col("_near").alias("uri"), *own, *by).agg(folded)
+            if held is not None:
+                part = held[key] = cut(part, "hop", "zstd", HASHED)
+        else:
+            part = held[key]
         part = part.withColumnsRenamed({c: f"_{c}" for c in ("filled", "n") if c in part.columns})
         out = out.join(part, ["t", "uri"]).withColumn("filled", F.col("filled") + F.col("_filled"))
         out = out.withColumn("n", F.col("n") * F.col("_n")) if "_n" in out.columns else out
@@ -84,12 +102,12 @@ def _filled(attrs: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col("attrs")[a].isNotNull().cast("int") for a in attrs], F.lit(0)).alias("filled")
 
 
-def match_counts(g: Graph, pattern: Pattern, active: Active, at_least: int | None = None) -> DataFrame:
+def match_counts(g: Graph, pattern: Pattern, active: Active, at_least: int | None = None, held: Held | None = None) -> DataFrame:
     """``entity_counts`` of the structural matches, without their values: center_uri, t, n. What moves is how many combinations
-    below a vertex hold how many values."""
+    below a vertex hold how many values. Patterns of one graph and its active attributes may share ``held``."""
     at_least = len(pattern.vertices) + 1 if at_least is None else at_least
     rows = lambda v: g.vertices.where(F.col("vtype") == v).select("t", "uri", _filled(active.get(v, [])), F.lit(1).cast("long").alias("n"))
-    out = _below(g, pattern, pattern.center, None, rows, ["filled"], F.sum("n").alias("n"))
+    out = _below(g, pattern, pattern.center, None, rows, ["filled"], F.sum("n").alias("n"), held)
     return out.where(F.col("filled") >= at_least).groupBy(F.col("uri").alias("center_uri"), "t").agg(F.sum("n").alias("n"))
 
 

@@ -28,5 +28,10 @@ def seed_support(g: Graph, timestamps: int) -> DataFrame:
 def support_of_patterns(counts: DataFrame, centers: DataFrame, timestamps: int) -> DataFrame:
     """counts: pattern_id, center_uri, t, n. centers: pattern_id, centers (of the first snapshot). One row a
     pattern of ``centers``: pattern_id, numerator, centers, support."""
-    out = F.broadcast(centers).join(recurring(counts, ["pattern_id"]), "pattern_id", "left").withColumn("numerator", F.coalesce("numerator", F.lit(0)).cast("long"))
+    return support_of(recurring(counts, ["pattern_id"]), centers, timestamps)
+
+
+def support_of(numerators: DataFrame, centers: DataFrame, timestamps: int) -> DataFrame:
+    """As ``support_of_patterns``, from pattern_id, numerator."""
+    out = F.broadcast(centers).join(numerators, "pattern_id", "left").withColumn("numerator", F.coalesce("numerator", F.lit(0)).cast("long"))
     return out.select("pattern_id", "numerator", "centers", pattern_support(F.col("numerator"), F.col("centers"), timestamps).alias("support"))

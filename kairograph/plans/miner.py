@@ -1,8 +1,8 @@
 """The mining run: histogram, pattern growth level by level, rules.
 
-The driver holds patterns and supports only. The graph is written once. All candidates of a level are counted in one job, without
-their values; the values of those that stay are matched in a second one, which serves all their dependencies, and what it
-finds is written once for both kinds of rules."""
+The driver holds patterns and supports only. The graph is written once. The candidates of a level are counted without their
+values, one by one, from what reaches a vertex from each subtree, which is written once for all; the values of those that stay are
+matched in one job, which serves all their dependencies, and what it finds is written once for both kinds of rules."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.config import MinerConfig
-from kairograph.model import Dependency, Edge, Graph, PatternNode
+from kairograph.model import Dependency, Edge, Graph, Pattern, PatternNode
 from kairograph.operators import histogram, rules, support
-from kairograph.operators.matching import Active, distinct_matches, entity_counts, match, match_choices, match_counts
+from kairograph.operators.matching import HASHED, Active, Held, distinct_matches, entity_counts, match, match_choices, match_counts
 from kairograph.plans import lattice
 from kairograph.tables import cut, release
 
@@ -62,15 +62,27 @@ class Result:
         release(*self.tables)
 
 
-def score_level(g: Graph, nodes: list[PatternNode], space: SearchSpace, config: MinerConfig) -> None:
-    """Supports of all patterns of a level by one action; those below the threshold are pruned."""
+def numerators(g: Graph, patterns: list[Pattern], active: Active, held: Held) -> DataFrame:
+    """pattern_id (the place in ``patterns``), numerator. A pattern at a time, so that the disk holds the shuffles of one; the subtrees
+    that patterns share are counted once."""
+    each = [cut(support.recurring(match_counts(g, p, active, held=held).withColumn("pattern_id", F.lit(k)), ["pattern_id"]), "numerators", settings=HASHED) for k, p in enumerate(patterns)]
+    rows = [tuple(r) for e in each for r in e.collect()]
+    release(*each)
+    return g.vertices.sparkSession.createDataFrame(rows, "pattern_id int, numerator long")
+
+
+def score_level(g: Graph, nodes: list[PatternNode], space: SearchSpace, config: MinerConfig, held: Held) -> None:
+    """Supports of all patterns of a level; those below the threshold are pruned."""
     if not nodes:
         return
     spark = g.vertices.sparkSession
-    counted = lambda p: match_counts(g, p, space.active) if config.match_mode == "structural" else entity_counts(match(g, p, space.active, config.match_mode))
-    counts = reduce(DataFrame.unionByName, [counted(n.pattern).withColumn("pattern_id", F.lit(k)) for k, n in enumerate(nodes)])
+    if config.match_mode == "structural":
+        found = numerators(g, [n.pattern for n in nodes], space.active, held)
+    else:
+        counts = [entity_counts(match(g, n.pattern, space.active, config.match_mode)).withColumn("pattern_id", F.lit(k)) for k, n in enumerate(nodes)]
+        found = support.recurring(reduce(DataFrame.unionByName, counts), ["pattern_id"])
     centers = spark.createDataFrame([(k, int(space.counts.get(n.pattern.center, 0))) for k, n in enumerate(nodes)], "pattern_id int, centers long")
-    for r in support.support_of_patterns(counts, centers, config.timestamps).collect():
+    for r in support.support_of(found, centers, config.timestamps).collect():
         node = nodes[r["pattern_id"]]
         node.support = r["support"]
         node.pruned = node.support < config.theta_pattern
@@ -112,11 +124,12 @@ def mine(g: Graph, config: MinerConfig) -> Result:
     and what is matched are written to the shared folder."""
     result = Result()
 
-    def held(df: DataFrame, label: str) -> DataFrame:
-        result.tables.append(cut(df, label))
+    def held(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+        result.tables.append(cut(df, label, codec))
         return result.tables[-1]
 
-    g = Graph(held(g.vertices, "vertices"), held(g.edges, "edges"))
+    g = Graph(held(g.vertices, "vertices"), held(g.edges, "edges", "zstd"))
+    hops: Held = {}
     space = search_space(g, config)
     level = lattice.seeds(space.types)
     seeds = {r["vtype"]: r["support"] for r in support.seed_support(g, config.timestamps).collect()}
@@ -129,7 +142,7 @@ def mine(g: Graph, config: MinerConfig) -> Result:
         new = lattice.grow(level, space.edges, above)
         if not new:
             break
-        score_level(g, new, space, config)
+        score_level(g, new, space, config, hops)
         result.levels.append(new)
         # Left sides of two attributes or more that give a rule make larger ones redundant in patterns to
         # come; nothing needs them after the last step.
@@ -148,4 +161,5 @@ def mine(g: Graph, config: MinerConfig) -> Result:
                 result.constant = kept if result.constant is None else result.constant.unionByName(kept)
                 result.general = general if result.general is None else result.general.unionByName(general)
         above, level = [*above, *level], new
+    release(*hops.values())
     return result

@@ -4,7 +4,6 @@ searches itself: it knows all trees of edge types, and finds which are made, bar
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +13,12 @@ from kairograph.config import MinerConfig
 from kairograph.functions import choose
 from kairograph.model import Dependency, Edge, Graph, Pattern, split_column
 from kairograph.operators import neighbourhood, rules, snapshots, support
-from kairograph.operators.matching import distinct_matches, match, match_counts
+from kairograph.operators.matching import distinct_matches, match
 from kairograph.plans import lattice
-from kairograph.plans.miner import mine
+from kairograph.plans.miner import mine, numerators
 from kairograph.queries import ACTIVE, BASED_IN, BOUGHT, DEPENDENCIES, IN_NATION, IN_REGION, PAIRS_OF_T, PATH, SINGLE, SUPPLIES, THETA, TREE, T, _candidates, _first, _g, _group, _groups, _numerators, _rule_steps, _RULES, _support, _SUPPORT_COUNTS, _CENTERS, _VIEW, _distinct, _view, pattern_support_query
+from kairograph.sources.views import commerce
+from kairograph.tables import cut, release
 
 #: Edge types and vertex types of the commerce graph by how often its first year has them.
 EDGES = [BOUGHT, SUPPLIES, IN_NATION, BASED_IN, IN_REGION]
@@ -66,11 +67,14 @@ def total_support(spark: SparkSession, d: str) -> DataFrame:
 
 def _level_support(spark: SparkSession, d: str) -> DataFrame:
     """Supports of the patterns of three edges from their counts alone."""
-    g, trees = _g(spark, d), [p for p in _trees() if len(p.edges) == 3]
-    counts = reduce(DataFrame.unionByName, [match_counts(g, p, MINED).withColumn("pattern_id", F.lit(p.name)) for p in trees])
+    g, trees, held = commerce(spark, d, numbers=True), [p for p in _trees() if len(p.edges) == 3], {}
+    g = Graph(cut(g.vertices, "vertices"), cut(g.edges, "edges", "zstd"))
     start = g.vertices.where("t = 0").groupBy("vtype").agg(F.count_distinct("uri").alias("centers"))
-    ids = spark.createDataFrame([(p.name, p.center) for p in trees], "pattern_id string, vtype string").join(start, "vtype").select("pattern_id", "centers")
-    return support.support_of_patterns(counts, ids, T)
+    sizes = {r["vtype"]: r["centers"] for r in start.collect()}
+    found = {r["pattern_id"]: r["numerator"] for r in numerators(g, trees, MINED, held).collect()}
+    release(g.vertices, g.edges, *held.values())
+    ids = spark.createDataFrame([(p.name, sizes[p.center]) for p in trees if p.center in sizes], "pattern_id string, centers long")
+    return support.support_of(spark.createDataFrame([(trees[k].name, n) for k, n in found.items()], "pattern_id string, numerator long"), ids, T)
 
 
 SMALL = Dependency(("nation__name",), "region__name")

@@ -51,21 +51,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", codec: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, every executor sees the
     files, and a lost executor costs no recomputation of what came before. What the write
-    shuffled is not needed afterwards, so Spark removes it when the write ends."""
+    shuffled is not needed afterwards, so Spark removes it when the write ends. ``settings`` of the session
+    hold for the write."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true"} | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

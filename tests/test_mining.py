@@ -216,3 +216,26 @@ def test_vertices_of_all_years_are_not_taken_for_a_small_table(spark, tmp_path):
     assert size(g.vertices.where("vtype = 'part'")) >= views.YEARS * size(spark.read.parquet(f"{tmp_path}/part.parquet"))
     assert g.vertices.where("vtype = 'part'").groupBy("t").count().where("count = 2000").count() == views.YEARS
     assert sorted(map(tuple, g.edges.where("label = 'bought'").collect())) == [(1, f"{k}-customer", f"{k}-part", "bought") for k in range(3)]
+
+
+def test_subtrees_that_patterns_share_are_counted_once(spark, monkeypatch):
+    from kairograph.operators import matching
+    from kairograph.plans.miner import numerators
+
+    written, whole = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df, *more: written.append(more[0]) or whole(df, *more))
+    g, edges = small_graph(spark), PATH.edges
+    patterns = [PATH, Pattern(PATH.vertices, edges, "region"), Pattern(PATH.vertices[:2], edges[:1], "nation"), Pattern(PATH.vertices, edges, "customer")]
+    got = {r["pattern_id"]: r["numerator"] for r in numerators(g, patterns, ACTIVE, {}).collect()}
+    alone = [support.recurring(match_counts(g, p, ACTIVE).withColumn("pattern_id", F.lit(0)), ["pattern_id"]).first()["numerator"] for p in patterns]
+    assert got == dict(enumerate(alone))
+    assert written == ["hop"] * 4  # of seven that the patterns hold
+
+
+def test_numbers_name_the_same_vertices_as_uris(spark):
+    from kairograph.sources import views
+
+    text, number = (views.commerce(spark, "/root/testdata/sf0.001", numbers=n) for n in (False, True))
+    key = lambda c: F.concat((F.col(c) / 8).cast("long").cast("string"), F.lit("-"), F.element_at(F.array(*[F.lit(v) for v in views.NUMBERED]), (F.col(c) % 8 + 1).cast("int"))).alias(c)
+    assert rows(number.edges.select("t", key("src"), key("dst"), "label")) == rows(text.edges)
+    assert rows(number.vertices.select("t", key("uri"), "vtype")) == rows(text.vertices.select("t", "uri", "vtype"))
