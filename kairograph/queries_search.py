@@ -30,7 +30,7 @@ MINED = {"customer": ["tier"], "nation": ["code", "name"], "region": ["code", "n
 
 def flagship_miner(spark: SparkSession, d: str) -> DataFrame:
     """All constant rules of patterns up to three edges over the whole commerce graph."""
-    return rules.flat(mine(_g(spark, d), MINER).constant).select("pattern_id", "level", "dep", "x", "y", "dmin", "dmax", "pairs", "entities", "support")
+    return rules.flat(mine(commerce(spark, d, numbers=True), MINER).constant).select("pattern_id", "level", "dep", "x", "y", "dmin", "dmax", "pairs", "entities", "support")
 
 
 def lattice_patterns(spark: SparkSession, d: str) -> DataFrame:
