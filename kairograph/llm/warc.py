@@ -21,6 +21,9 @@ CRLF = "\r\n"
 
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
 BREAKING = r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+#: The same with their common starts once, as Java tries the alternatives one by one at each character.
+_HIDDEN_ONCE = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
+_BREAKING_ONCE = r"(?i)</?(?:a(?:ddress|rticle|side)|b(?:lockquote|ody|r)|d(?:d|iv|l|t)|f(?:ieldset|igure|ooter|orm)|h(?:[1-6r]|ead|eader|tml)|li|main|nav|ol|p|pre|section|t(?:able|d|h|itle|r)|ul)\b[^>]*>"
 TAG = r"<[^>]*>"
 #: Attributes of a tag before the one sought, and a value with its quotes, if any.
 _BEFORE = r"(?=[\s/])(?:[^>=\s/]++|[\s/]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+){0,500}?(?<=[\s/\"'])"
@@ -74,13 +77,13 @@ def character(reference: Column) -> Column:
 
 
 def readable(text: Column) -> Column:
-    """References resolved, once each. Texts with the common ones alone need no search."""
+    """References resolved, once each. Texts with the common ones alone need no search, and those without any nothing."""
     plain = text
     for name, c in REFERENCES:
         plain = F.replace(plain, F.lit(name), F.lit(c))
     pieces, found = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
     rest = F.zip_with(found, F.slice(pieces, F.lit(2), F.size(found)), lambda r, p: F.concat(character(r), p))
-    return F.when(text.rlike(_OTHERS), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(plain)
+    return F.when(~text.contains("&"), text).when(text.rlike(_OTHERS), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(plain)
 
 
 def unquoted(value: Column) -> Column:
@@ -89,12 +92,12 @@ def unquoted(value: Column) -> Column:
 
 def visible(html: Column) -> Column:
     """A page without comments, scripts and other hidden parts."""
-    return F.regexp_replace(html, HIDDEN, " ")
+    return F.regexp_replace(html, _HIDDEN_ONCE, " ")
 
 
 def untagged(html: Column) -> Column:
     """A page, as ``visible`` leaves it, without tags, one block a line."""
-    return F.regexp_replace(F.regexp_replace(html, BREAKING, "\n"), TAG, "")
+    return F.regexp_replace(F.regexp_replace(html, _BREAKING_ONCE, "\n"), TAG, "")
 
 
 def plain_text(untagged: Column) -> Column:

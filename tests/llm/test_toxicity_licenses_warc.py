@@ -266,3 +266,16 @@ def test_records_survive_files(spark, tmp_path):
     back = warc.read_warc(spark, str(tmp_path / "w"))
     assert back.where("not complete").count() == 0
     assert sorted(map(tuple, back.select(*warc.RECORD).collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
+
+
+def test_tags_read_once_are_the_same_tags():
+    import re
+    from itertools import product
+
+    names = re.findall(r"\w+", warc.BREAKING.partition("(address")[2].join(["address", ""]).partition(")")[0])
+    assert len(names) == 37
+    words = [*names, *[n + "x" for n in names], *[n[:-1] for n in names], "script", "style", "noscript", "template", "!--"]
+    text = " ".join(a + (w.upper() if k else w) + b for w, a, b, k in product(words, ("<", "</", "< ", ""), (">", " a='1'>", "-->", "/", "\n>"), (0, 1)))
+    for old, new in ((warc.HIDDEN, warc._HIDDEN_ONCE), (warc.BREAKING, warc._BREAKING_ONCE)):
+        spans = [m.span() for m in re.finditer(old, text)]
+        assert spans and spans == [m.span() for m in re.finditer(new, text)]
