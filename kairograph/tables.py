@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,22 +53,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, label: str = "cut", codec: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, every executor sees the
-    files, and a lost executor costs no recomputation of what came before. What the write
-    shuffled is not needed afterwards, so Spark removes it when the write ends. ``settings`` of the session
-    hold for the write."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    settings = {_CLEANUP: "true"} | (settings or {})
+@contextmanager
+def holding(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` of the session hold within."""
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path, compression=codec)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, label: str = "cut", codec: str | None = None, settings: dict[str, str] | None = None, dealt: tuple[str, int] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, every executor sees the
+    files, and a lost executor costs no recomputation of what came before. What the write
+    shuffled is not needed afterwards, so Spark removes it when the write ends. ``settings`` of the session
+    hold for the write. A table that is ``dealt`` out by a column into so many buckets is read back so."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    with holding(spark, {_CLEANUP: "true"} | (settings or {})):
+        if dealt is None:
+            df.write.parquet(path, compression=codec)
+        else:
+            name = re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+            df.write.bucketBy(dealt[1], dealt[0]).saveAsTable(name, format="parquet", path=path, **({"compression": codec} if codec else {}))
+    if dealt is not None:
+        out = spark.table(name)
+        out._cut_path, out._cut_name = path, name
+        return out
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -76,5 +92,7 @@ def release(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:
         spark = t.sparkSession
+        if hasattr(t, "_cut_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {t._cut_name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -161,6 +161,47 @@ def test_counts_and_choices_agree_with_the_matches(spark):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_classes_give_the_counts_and_choices_of_the_matches(spark, monkeypatch):
+    from kairograph.operators import classes
+    from kairograph.operators.classes import class_choices, class_counts, classes_of
+
+    g = small_graph(spark, [(1, "n1", "r9", "in_region", "region")])
+    hole = g.vertices.withColumn("attrs", F.when((F.col("uri") == "c1") & (F.col("t") == 1), F.create_map(F.lit("tier"), F.lit("gold"))).otherwise(F.col("attrs")))
+    g = Graph(hole.unionByName(spark.createDataFrame([(t, "c1", "customer", ATTRS["c1"][1]) for t in (70, 100)], VERTICES)).unionByName(spark.createDataFrame([(t, u, *ATTRS[u]) for t in (70, 100) for u in ("n1", "r1")], VERTICES)), g.edges.unionByName(spark.createDataFrame([(t, a, b, e) for t in (70, 100) for a, b, e in (("c1", "n1", "in_nation"), ("n1", "r1", "in_region"))], EDGES)))
+    hubs = {(e, v): 10.0**9 for e in PATH.edges[:1] for v in (e.src, e.dst)}
+    c = classes_of(g, list(PATH.vertices), ACTIVE, {"customer": 3, "nation": 2, "region": 2}, hubs)
+    for center in PATH.vertices:
+        p = Pattern(PATH.vertices, PATH.edges, center)
+        for at_least in (None, 6):
+            assert rows(class_counts(c, p, at_least)) == rows(match_counts(g, p, ACTIVE, at_least))
+            want = {(tuple(map(tuple, r["cells"])), r["t"]) for r in match_choices(g, p, ACTIVE, at_least).collect()}
+            got = [(tuple(map(tuple, r["cells"])), t) for r in class_choices(c, p, at_least).collect() for t in r["ts"]]
+            assert len(got) == len(set(got)) and set(got) == want and want
+    assert len(c.held) < 12  # of the 24 that centres and values would need
+    c.drop()
+    # Types of many classes are matched by values, with the same rules.
+    config = MinerConfig(timestamps=4, k=2, theta_rule=0.0)
+    by_class, small = mine(small_graph(spark), config), small_graph(spark)
+    monkeypatch.setattr(classes, "MOST_CLASSES", 2)
+    by_value = mine(small, config)
+    assert not classes_of(small, list(PATH.vertices), ACTIVE).fits(PATH)
+    assert rows(rules.flat(by_class.constant)) == rows(rules.flat(by_value.constant)) and rows(by_class.general) == rows(by_value.general)
+
+
+def test_values_are_joined_where_few_rows_meet_and_written_once(spark, monkeypatch):
+    """Matched anew for each pattern, in wide rows, the miner wrote no such table and failed by time at 1 GB."""
+    from kairograph.operators import classes
+
+    written, whole = [], classes.cut
+    monkeypatch.setattr(classes, "cut", lambda df, *more: written.append(more[0]) or whole(df, *more))
+    mine(small_graph(spark), MinerConfig(timestamps=4, k=2, theta_rule=0.0)).drop()
+    assert written.count("hop") == 3  # both ways between customer and nation, and from region to nation
+    e, f = PATH.edges
+    counts, fan = {"customer": 10**6, "nation": 25, "region": 5}, {(e, "customer"): 1.0, (e, "nation"): 4.0e4, (f, "nation"): 1.0, (f, "region"): 5.0}
+    c = classes.Classes(small_graph(spark), ACTIVE, 3, 3, 4, values={v: [[]] * 30 for v in PATH.vertices}, sizes=counts, fan=fan)
+    assert c.root(Pattern(PATH.vertices, PATH.edges, "customer")) in ("nation", "region")
+
+
 def test_general_rules_are_folded_over_patterns_and_written(spark, tmp_path):
     data = [("p", 3, "a__x,b__z->c__y", 1, 3), ("q", 3, "a__x,b__z->c__y", 2, 5), ("q", 3, "a__x,b__z->c__y", 7, 8), ("q", 3, "a__x->b_c__y__z", 1, 1)]
     general = rules.with_variables(spark.createDataFrame(data, "pattern_id string, level int, dep string, dmin int, dmax int"))
